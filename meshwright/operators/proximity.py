@@ -272,11 +272,14 @@ def near_and_inside(sites: DataFrame, areas: DataFrame, radius: float = 25.0, *,
     else:
         split = sent.withColumns({"own": F.lit(0), "block": F.lit(0), "points": F.col("is_home"), "asks": F.lit(True), "part": F.lit(0)})
     pairs = split.groupBy("cell", "block", "part").applyInPandas(lambda pdf: _join_cell(pdf, radius), _PAIR)
-    # from places back to their recordings
+    # from places back to their recordings; a region stands for itself
     same = [rows["site"] == places["site"], rows["lat"] == places["lat"], rows["lon"] == places["lon"], rows["alt"].eqNullSafe(places["alt"])]
     members = rows.join(places, same).select(places["id"].alias("place"), "site_row")
-    left = pairs.filter("kind = 'site'").join(members.withColumnRenamed("site_row", "x"), F.col("a") == F.col("place")).select("x", "b")
-    both = left.join(members.withColumnRenamed("site_row", "y"), F.col("b") == F.col("place")).select("x", "y")
-    found = both.select(F.lit("site").alias("match_kind"), F.least("x", "y").alias("key_a"), F.greatest("x", "y").alias("key_b"))
-    held = pairs.filter("kind = 'area'").join(members, F.col("b") == F.col("place"))
-    return found.unionAll(held.select(F.lit("area").alias("match_kind"), F.col("a").alias("key_a"), F.col("site_row").alias("key_b")))
+    firsts = members.select(F.lit("site").alias("kind"), F.col("place").alias("a"), F.col("site_row").alias("x"))
+    firsts = firsts.unionAll(region_balls(areas).select(F.lit("area"), "id", "id"))
+    found = pairs.join(members.select(F.col("place").alias("b"), F.col("site_row").alias("y")), "b").join(firsts, ["kind", "a"])
+    is_site = F.col("kind") == "site"
+    return found.select(
+        F.col("kind").alias("match_kind"), F.when(is_site, F.least("x", "y")).otherwise(F.col("x")).alias("key_a"),
+        F.when(is_site, F.greatest("x", "y")).otherwise(F.col("y")).alias("key_b"),
+    )
