@@ -89,28 +89,29 @@ def _compared(rows: DataFrame, steps: DataFrame, *columns: str) -> DataFrame:
         F.struct(F.when(F.col("prev").isNotNull(), F.col("file_seq")).alias("to"), F.lit(True).alias("is_new")),
         F.struct(F.col("next").alias("to"), F.lit(False).alias("is_new")),
     )).alias("s")
-    return both.select("feed_id", *columns, states).select("feed_id", F.col("s.to").alias("file_seq"), F.col("s.is_new").alias("is_new"), *columns).filter("file_seq is not null")
+    both = both.select("feed_id", F.col("file_seq").alias("own"), *columns, states)
+    return both.select("feed_id", F.col("s.to").alias("file_seq"), F.col("s.is_new").alias("is_new"), "own", *columns).filter("file_seq is not null")
 
 
 def _field_states(feed: DataFrame, long: DataFrame) -> DataFrame:
     states = _compared(file_schemas(long), _steps(feed), "field", "kinds")
     return states.groupBy("feed_id", "file_seq", "field").agg(
-        F.max("is_new").alias("in_new"), F.max(~F.col("is_new")).alias("in_old"),
+        F.max("is_new").alias("in_new"), F.max(~F.col("is_new")).alias("in_old"), F.max("own").alias("own"),
         F.first(F.when(F.col("is_new"), F.col("kinds")), True).alias("new_kinds"), F.first(F.when(~F.col("is_new"), F.col("kinds")), True).alias("old_kinds"),
     )
 
 
 def renames(feed: DataFrame, long: DataFrame, states: DataFrame, aliases: dict[str, str]) -> DataFrame:
     """feed_id, file_seq, old_name, new_name of the same property, by alias or by equal values of all common sites."""
-    moved = states.filter("in_new <> in_old").select("feed_id", "file_seq", "field", F.col("in_new").alias("is_new"), _lookup(aliases, F.col("field")).alias("property"))
+    moved = states.filter("in_new <> in_old").select("feed_id", "file_seq", "own", "field", F.col("in_new").alias("is_new"), _lookup(aliases, F.col("field")).alias("property"))
     # only files with a gone and a new name can have renames
     both = moved.groupBy("feed_id", "file_seq").agg(F.count_if("is_new").alias("n"), F.count_if(~F.col("is_new")).alias("o")).filter("n > 0 and o > 0")
     moved = moved.join(both.select("feed_id", "file_seq"), ["feed_id", "file_seq"], "left_semi")
-    side = lambda df, new, name: df.filter("is_new" if new else "not is_new").drop("is_new").withColumnRenamed("field", name)
+    side = lambda df, new, name: df.filter("is_new" if new else "not is_new").drop("is_new", "own").withColumnRenamed("field", name)
     by_alias = side(moved.filter("property is not null"), False, "old_name").join(side(moved.filter("property is not null"), True, "new_name"), ["feed_id", "file_seq", "property"])
-    told = long.filter("kind <> 'null' and site is not null").withColumn("told", F.concat("kind", F.lit(":"), "text"))
-    told = told.groupBy("feed_id", "file_seq", "field", "site").agg(F.min("told").alias("least"), F.max("told").alias("most"))
-    told = _compared(told, _steps(feed), "field", "site", "least", "most").join(moved, ["feed_id", "file_seq", "field", "is_new"])
+    # of the values only those of such names in their own files are moved
+    told = long.filter("kind <> 'null' and site is not null").select("feed_id", F.col("file_seq").alias("own"), "field", "site", F.concat("kind", F.lit(":"), "text").alias("told"))
+    told = told.join(moved, ["feed_id", "own", "field"]).groupBy("feed_id", "file_seq", "own", "field", "site", "is_new", "property").agg(F.min("told").alias("least"), F.max("told").alias("most"))
     old, new = side(told, False, "old_name"), side(told, True, "new_name")
     for c in ("least", "most", "property"):
         old, new = old.withColumnRenamed(c, f"old_{c}"), new.withColumnRenamed(c, f"new_{c}")
