@@ -214,7 +214,7 @@ def _translate_sql(lon: str, lat: str, b: float, m: float) -> tuple[str, str]:
 
 _TO, _EAST, _NORTH, _UP = _translate_sql("lon", "lat", 75.0, 250.0), _translate_sql("lon", "lat", 90.0, 100.0)[0], _translate_sql("lon", "lat", 0.0, 100.0)[1], _translate_sql("tx_lon", "tx_lat", 0.0, 1000.0)
 _DMS = r'''^([+-]?\d+(?:\.\d+)?)[\s°]*(?:(\d+(?:\.\d+)?)[\s'′]+)?(?:(\d+(?:\.\d+)?)[\s"″]*)?([NSEWnsew]?)$'''
-_DMS = "'" + _DMS.replace("'", "''") + "'
+_DMS = "'" + _DMS.replace("'", "''") + "'"
 _TURNED = "round((a * 2) % 360, 4)"
 ORACLES = {
     "geo_haversine": BASE_SQL + f"SELECT link_row, round({_T}, 3) + 0 AS ground_m, round({length_sql()}, 3) + 0 AS length_m FROM ln",
