@@ -2,7 +2,7 @@ import pytest
 
 from meshwright.operators.linegrammar import header_fields, parse_line, parse_lines, read_text
 
-LATLON = header_fields("latlon", "﻿ base_lon , BASE_LAT,power,light,height,feet,type,remarks\r")
+LATLON = header_fields("latlon", "\ufeff base_lon , BASE_LAT,power,light,height,feet,type,remarks\r")
 MCS = header_fields("mcs", "snr_b, mcs_b,mbps_b,tx_backoff_b")
 
 
