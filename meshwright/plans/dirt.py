@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from meshwright.operators import linegrammar, orphans, proximity, schemadrift, units
+from meshwright.plans import dirt_oracles
 from meshwright.tables import table
 
 
@@ -68,7 +69,7 @@ c AS (SELECT e.*, EXISTS (SELECT 1 FROM s WHERE s.plan_id = e.plan_id AND s.k =
   FROM e WHERE k <> '' AND NOT EXISTS (SELECT 1 FROM s WHERE s.plan_id = e.plan_id AND s.k = e.k AND s.recorded_at <= e.planned_at
     AND (s.deleted_at IS NULL OR e.planned_at < s.deleted_at)))
 """
-ORACLES = {
+ORACLES = dirt_oracles.ORACLES | {
     "p1_found": _CASES + "SELECT link_row, link_side FROM c",
     "p1_orphans_by_month": _CASES + """, g AS (SELECT link_side, plan_id, k, strftime(planned_at, '%Y-%m') AS period,
   CASE WHEN seen_before THEN 'deleted' WHEN EXISTS (SELECT 1 FROM s WHERE s.plan_id = c.plan_id AND s.k = c.k) THEN 'not_yet_recorded' ELSE 'unknown' END AS cause FROM c)
