@@ -88,7 +88,7 @@ def _emails(text: str) -> Iterator[tuple[int, int]]:
 _ID = re.compile(
     r"(?<![\w./\-])(?:"
     r"[A-Z]{2}\s?\d\d\s?\d\d\s?\d\d\s?[A-D](?!\w)"  # two letters, three pairs, letter
-    r"|[A-Z]{2}[\- ]\d{3}[\- ]\d{3}[\- ]\d{1,3}(?![\w\-])"
+    r"|[A-Z]{2}[\-\s]\d{3}[\-\s]\d{3}[\-\s]\d{1,3}(?![\w\-])"
     r"|[A-Z]\d[\dA-Z]\d[\dA-Z]\d[\dA-Z]\d[\dA-Z](?!\w)|[A-Z]\d{8}(?!\w)|[A-Z]\d\d[A-Z]\d\d[A-Z]\d\d(?!\w)"
     r"|\d{3}[\-\s]\d\d[\-\s]\d{4}(?![\w\-])"
     r"|\d{8}-[A-Z](?!\w)"
@@ -210,9 +210,8 @@ _LEADS = frozenset("by to of de pour von nach i, zeuge zeugin is an a as según
 _TITLE = r"(?:(?:Mr|Mrs|Ms|Miss|Mister|Dr|Prof|Herrn?|Frau|Hr|Fr|Mme|Mlle|Monsieur|Madame|M|Sr|Sra|Srta|Señora?|Don|Doña)\b\.?\s)"
 #: Phrases that have a person's name behind them. Titles may stand in between.
 _BEFORE = re.compile(
-    rf"(?:(?<![\w]){_TITLE}|(?:\binventor(?:\sperson)?(?:\sis|\sare)?\s?:?\s|\binventeurs?\s?:\s|\berfinder(?:in)?\s?:\s|\binventores?\s?:\s)"
-    r"|(?:\b(?:contact person|correspondence to|thanks are due to|note of the examiner:|examiner:|witness:|zeuge|zeugin|testigo:|témoin ?:|declaration: i,|signed by|assigned by|drawing by|watched by|notebook of|owed to|handed to|établie pour|a nombre de|d['’]après|nach aussage von|llamar a|joindre|rückfragen an|según|agente?|avocat|anwalt|attorney|abogad[oa])\s)|\(72\)\s)\Z",
-    re.I,
+    rf"(?:(?<![\w]){_TITLE}|(?i:\binventor(?:\sperson)?(?:\sis|\sare)?\s?:?\s|\binventeurs?\s?:\s|\berfinder(?:in)?\s?:\s|\binventores?\s?:\s)"
+    r"|(?i:\b(?:contact person|correspondence to|thanks are due to|note of the examiner:|examiner:|witness:|zeuge|zeugin|testigo:|témoin ?:|declaration: i,|signed by|assigned by|drawing by|watched by|notebook of|owed to|handed to|établie pour|a nombre de|d['’]après|nach aussage von|llamar a|joindre|rückfragen an|según|agente?|avocat|anwalt|attorney|abogad[oa])\s)|\(72\)\s)\Z",
 )
 #: Phrases that have a person's name before them.
 _AFTER = re.compile(
@@ -228,7 +227,7 @@ _FIRM_BEFORE = re.compile(r"(?:\broutine|registry of|&|\bthe firm|\bcompany|\bfi
 _WORDS_NOT_NAMES = frozenset(
     "The This That These Those Here There Each Every Said See Let Use As At By For From If In It Its No Not Of On Or To When While With Without "
     "Alternatively Preferably According Known During Reference Method System Device Figure Fig Claims Abstract Description Background Summary "
-    "Agent Attorney Mail Phone Fax Tel Telephone Address Invoices Signed Assigned Inventor Inventors Contact Correspondence Note Scan Batch Serial Part Compound "
+    "Systems Works Holdings Industries Group Foundation Institute Company Agent Attorney Mail Phone Fax Tel Telephone Address Invoices Signed Assigned Inventor Inventors Contact Correspondence Note Scan Batch Serial Part Compound "
     "Certificate Identity Call Reach Questions Thanks Witness Declaration Please Drawing Tax Deed Licence Copy Apt Port San Lower Upper North South "
     "Das Der Die Ein Eine Einer Eines Dabei Bekannte Bevorzugt Gemäß Nach Vorrichtung Verfahren Anspruch Ansprüche Zeuge Erfinder Anschrift Adresse "
     "Rückfragen Tel Gehäuse Regen Staub Lösungen Zustand Seite Abstand Bauteil Baugruppe Element Träger Einheit Wert Halterung Ausführungsform "
@@ -306,7 +305,7 @@ def _names(text: str, solid: list[tuple[int, int, str]], caps: list[int]) -> lis
         at = m.start()
         start = max(text.rfind(" ", 0, at), text.rfind("\n", 0, at)) + 1
         lead = text[max(0, start - 14) : start].split()
-        if lead and (lead[-1].lower() in _LEADS or lead[-1][-1] in ":." or lead[-1][0].isupper()) and (name := _LOWER_NAME.match(text, start)):
+        if lead and (lead[-1].lower() in _LEADS or lead[-1][-1] in ":.)" or lead[-1][0].isupper()) and (name := _LOWER_NAME.match(text, start)):
             if _BEFORE.search(text[max(0, start - 45) : start].replace("\n", " ")):
                 out.append((name.start(), name.end(), "person_name"))
     return out
