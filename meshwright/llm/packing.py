@@ -141,7 +141,7 @@ def pack(sizes: DataFrame, specs: DataFrame, targets: DataFrame, *, shard_tokens
     packs = sorted({(r[0], int(r[1])) for r in fixed_rows(specs.select("pack_name", "capacity_tokens")) if r[1] and r[1] > 0}, key=lambda x: (x[1], str(x[0])))
     shares = {r[0]: float(r[1]) for r in fixed_rows(targets.groupBy(F.lower(F.trim("doc_source"))).agg(F.sum("target_share"))) if r[0] and r[1] and r[1] > 0}
     names = sorted(shares)
-    sizes = checkpoint(sizes.withColumn("queue", F.when(F.col("source").isin(names), F.col("source")).otherwise(OTHERS)))  # texts are read once
+    sizes = checkpoint(sizes.select("doc_id", "source", "n_tokens").withColumn("queue", F.when(F.col("source").isin(names), F.col("source")).otherwise(OTHERS)))  # texts are read once
     totals = {r[0]: int(r[1]) for r in sizes.groupBy("queue").agg(F.sum("n_tokens")).collect()}  # one row a target source
     everything = sum(totals.values())
     queue_names = [*names, OTHERS]
@@ -187,7 +187,10 @@ def pack(sizes: DataFrame, specs: DataFrame, targets: DataFrame, *, shard_tokens
 
     if not packs or not everything:
         return sizes.sparkSession.createDataFrame([], PLACEMENT)
-    return sizes.select("shard", "doc_id", "source", "n_tokens", "q").groupBy("shard").cogroup(owed.groupBy("owed_shard")).applyInPandas(run, PLACEMENT)
+    # ids go through as text, which keeps them whole if some are null
+    rows = sizes.select("shard", F.col("doc_id").cast("string").alias("doc_id"), "source", "n_tokens", "q")
+    placed = rows.groupBy("shard").cogroup(owed.groupBy("owed_shard")).applyInPandas(run, PLACEMENT.replace("doc_id bigint", "doc_id string"))
+    return placed.withColumn("doc_id", F.col("doc_id").cast("bigint"))
 
 
 def container_fill(placed: DataFrame) -> DataFrame:

@@ -24,7 +24,7 @@ import re
 from bisect import bisect_left
 from collections.abc import Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -408,20 +408,23 @@ def pii_items(documents: DataFrame, secret: str) -> DataFrame:
     """Each item with its place: doc_id, pii_kind, char_start (from 1), char_end (inclusive) and pseudonym."""
     key = _key(secret)
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            rows = [(i, kind, a + 1, b, pseudonym(kind, text[a:b], key)) for i, text in zip(pdf["doc_id"], pdf["text"], strict=True) for a, b, kind in find_pii(text)]
-            yield pd.DataFrame(rows, columns=["doc_id", "pii_kind", "char_start", "char_end", "pseudonym"])
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = [(i, kind, a + 1, b, pseudonym(kind, text[a:b], key)) for i, text in zip(*(c.to_pylist() for c in batch.columns), strict=True) for a, b, kind in find_pii(text)]
+            columns = list(zip(*rows, strict=True)) if rows else [[]] * 5
+            kinds = (pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string())
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], ["doc_id", "pii_kind", "char_start", "char_end", "pseudonym"])
 
-    return documents.select("doc_id", "text").mapInPandas(run, "doc_id bigint, pii_kind string, char_start bigint, char_end bigint, pseudonym string")
+    return documents.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").mapInArrow(run, "doc_id bigint, pii_kind string, char_start bigint, char_end bigint, pseudonym string")
 
 
 def pii_replaced(documents: DataFrame, secret: str) -> DataFrame:
     """doc_id, text with placeholders."""
     key = _key(secret)
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            yield pd.DataFrame({"doc_id": pdf["doc_id"], "text": [replace_pii(t, key) for t in pdf["text"]]})
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = pa.array([replace_pii(t, key) for t in batch.column("text").to_pylist()], pa.string())
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), texts], ["doc_id", "text"])
 
-    return documents.select("doc_id", "text").mapInPandas(run, "doc_id bigint, text string")
+    return documents.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").mapInArrow(run, "doc_id bigint, text string")

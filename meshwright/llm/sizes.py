@@ -6,7 +6,7 @@ import base64
 from collections.abc import Iterator
 from functools import lru_cache
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -37,10 +37,11 @@ def source_key(source: Column) -> Column:
 def token_sizes(documents: DataFrame, path: str) -> DataFrame:
     """doc_id, source, n_tokens of all documents whose text is not empty."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = encoder(path).encode_ordinary
-        for pdf in batches:
-            yield pd.DataFrame({"doc_id": pdf["doc_id"], "source": pdf["source"], "n_tokens": [len(encode(t)) for t in pdf["text"]]})
+        for batch in batches:
+            sizes = pa.array([len(encode(t)) for t in batch.column("text").to_pylist()], pa.int64())
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("source"), sizes], ["doc_id", "source", "n_tokens"])
 
-    texts = documents.filter("text <> ''").select("doc_id", source_key(F.col("source")).alias("source"), "text")
-    return texts.mapInPandas(run, "doc_id bigint, source string, n_tokens bigint")
+    texts = documents.filter("text <> ''").select(F.col("doc_id").cast("bigint").alias("doc_id"), source_key(F.col("source")).alias("source"), "text")
+    return texts.mapInArrow(run, "doc_id bigint, source string, n_tokens bigint")

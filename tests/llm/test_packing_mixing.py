@@ -64,6 +64,13 @@ def test_pack_edges(spark):
     assert pack(twice.unionAll(twice), specs, targets).filter("pack_name = 'big'").count() == 6
 
 
+def test_null_ids(spark):
+    docs = spark.createDataFrame([(None, "a", 30), (2**60 + 1, "a", 20), (None, None, 10)], "doc_id bigint, source string, n_tokens bigint")
+    out = pack(docs, spark.createDataFrame(SPECS, "pack_name string, capacity_tokens bigint"), spark.createDataFrame(TARGETS, T)).filter("pack_name = 'big'")
+    assert sorted((r.doc_id or 0, r.token_count) for r in out.collect()) == [(0, 10), (0, 30), (2**60 + 1, 20)]
+    assert {r.doc_id for r in mix(docs, spark.createDataFrame(TARGETS, T)).collect()} <= {None, 2**60 + 1}
+
+
 def test_sainte_lague():
     def slow(w, n, caps):
         out = [0] * len(w)
