@@ -14,7 +14,7 @@ expanded afterwards by equi-joins.
 
 Defined results
 ---------------
-* No location (null, out of range, 0/0, NaN): the row is in no result. Null or nodata altitude: distance on the ground.
+* No location (null, out of range, 0/0, NaN) or no id: the row is in no result. Null or nodata altitude: distance on the ground.
 * Sites with a null or blank name, or a null plan, differ from every other row but themselves.
 * Repeated rows each pair with the rows of other sites; a pair is given once, with the smaller id first.
 * Regions with a null or short (fewer than three corners) outer ring contain nothing; a null hole is none.
@@ -211,14 +211,14 @@ def located(sites: DataFrame) -> DataFrame:
     site = F.when(F.col("plan_id").isNotNull() & name_key("site_name").isNotNull(), site).otherwise(alone)
     alt = F.when((F.col("altitude") != NODATA) & ~F.isnan("altitude"), F.col("altitude"))
     # -0.0 and 0.0 are one place
-    return sites.filter(ok).select("site_row", (lat + F.lit(0.0)).alias("lat"), (lon + F.lit(0.0)).alias("lon"), (alt + F.lit(0.0)).alias("alt"), site.alias("site"))
+    return sites.filter(ok & F.col("site_row").isNotNull()).select("site_row", (lat + F.lit(0.0)).alias("lat"), (lon + F.lit(0.0)).alias("lon"), (alt + F.lit(0.0)).alias("alt"), site.alias("site"))
 
 
 def region_balls(areas: DataFrame) -> DataFrame:
     """Centre and radius of a ball around each region's box. Distance from the centre of a box is largest at a corner."""
     ring = lambda c: F.when(F.size(c) >= 3, F.flatten(F.transform(c, lambda p: F.array(p["lon"], p["lat"]))))
     side = lambda c, k, f: f(F.transform(c, lambda p: p[k]))
-    box = areas.filter(F.size("outer_ring") >= 3).select(
+    box = areas.filter((F.size("outer_ring") >= 3) & F.col("area_id").isNotNull()).select(
         F.col("area_id").alias("id"), ring("outer_ring").alias("outer"), ring("hole_ring").alias("hole"),
         *(side("outer_ring", k, f).alias(f"{k}{n}") for k in ("lon", "lat") for n, f in ((0, F.array_min), (1, F.array_max))),
     )

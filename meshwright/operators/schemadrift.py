@@ -12,7 +12,8 @@ Defined results
 * A field that is null throughout a file has no alternatives there and is neither retyped nor renamed by its values.
 * Names are renamed by values only if at least one site of both files has both values.
 * A feed's first file has no changes; rows without feed_id or file_seq are left out.
-* Repeated records change nothing but the rows of the consistent table. Empty tables give empty results.
+* Repeated records change nothing but the rows of the consistent table, where those without an id and of one content are
+  one row. Empty tables give empty results.
 """
 
 from __future__ import annotations
@@ -21,6 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from meshwright.functions.geo import dms_to_decimal
 from meshwright.tables import checkpoint
 
 #: Properties of the consistent table with their canonical types.
@@ -49,24 +51,29 @@ def _lookup(aliases: dict[str, str], key: Column) -> Column:
     return F.create_map(*(F.lit(x) for kv in aliases.items() for x in kv))[key]
 
 
+def _record_key() -> Column:
+    """Tells records without an id apart by what they hold, so that they don't all meet in one group."""
+    return F.when(F.col("record_id").isNull(), F.md5(F.coalesce("payload", F.lit(""))))
+
+
 def values(feed: DataFrame, aliases: dict[str, str]) -> DataFrame:
     """Long form: record_id, feed_id, file_seq, field, kind (string, number, boolean, array, object, null), text, site."""
-    rows = feed.filter("feed_id is not null and file_seq is not null").select("record_id", "feed_id", "file_seq", F.from_json("payload", "map<string,variant>").alias("m"))
+    rows = feed.filter("feed_id is not null and file_seq is not null").select("record_id", "feed_id", "file_seq", _record_key().alias("record_key"), F.from_json("payload", "map<string,variant>").alias("m"))
     entries = F.explode(F.map_entries("m")).alias("e")
     names = [a for a, f in aliases.items() if f == "site_name"]
     is_site = lambda e: _norm(e["key"]).isin(names) & (F.schema_of_variant(e["value"]) != "VOID")
     # the name is taken from the first key that maps to site_name
     site = F.try_element_at(F.transform(F.filter(F.map_entries("m"), is_site), lambda e: e["value"]), F.lit(1)).cast("string") if names else F.lit(None).cast("string")
-    long = rows.select("record_id", "feed_id", "file_seq", F.trim(site).alias("site"), entries)
+    long = rows.select("record_id", "record_key", "feed_id", "file_seq", F.trim(site).alias("site"), entries)
     kind = F.schema_of_variant("e.value")
     kind = (
         F.when(kind == "VOID", "null").when(kind == "STRING", "string").when(kind == "BOOLEAN", "boolean")
         .when(kind.startswith("ARRAY"), "array").when(kind.startswith("OBJECT"), "object").otherwise("number")
     )
-    long = long.select("record_id", "feed_id", "file_seq", "site", _norm(F.col("e.key")).alias("field"), kind.alias("kind"), F.col("e.value").alias("value"))
+    long = long.select("record_id", "record_key", "feed_id", "file_seq", "site", _norm(F.col("e.key")).alias("field"), kind.alias("kind"), F.col("e.value").alias("value"))
     number = F.expr("try_variant_get(value, '$', 'double')")
     text = F.when(F.col("kind") == "number", number.cast("string")).when(F.col("kind") != "null", F.col("value").cast("string"))
-    return long.select("record_id", "feed_id", "file_seq", "site", "field", "kind", text.alias("text")).filter("field <> ''")
+    return long.select("record_id", "record_key", "feed_id", "file_seq", "site", "field", "kind", text.alias("text")).filter("field <> ''")
 
 
 def file_schemas(long: DataFrame) -> DataFrame:
@@ -169,15 +176,21 @@ def consistent_table(feed: DataFrame, aliases: DataFrame) -> DataFrame:
     meaning = _meanings(named, known).withColumnRenamed("property", "learnt")
     long = long.withColumn("property", _lookup(known, F.col("field")))
     unknown = long.filter("property is null").drop("property").join(meaning, ["feed_id", "field"], "left").withColumnRenamed("learnt", "property")
-    columns = ["record_id", "feed_id", "file_seq", "field", "kind", "text", "property"]
+    columns = ["record_id", "record_key", "feed_id", "file_seq", "field", "kind", "text", "property"]
     long = long.filter("property is not null").select(*columns).unionAll(unknown.select(*columns))
     wanted = F.create_map(*(F.lit(x) for p, t in PROPERTIES.items() for x in (p, "string" if t == "string" else "number")))
     told = F.col("kind") != "null"
     of = lambda p: F.min(F.when((F.col("property") == p) & told, F.col("text")))
-    canonical = [of(p).try_cast(t).alias(p) if t != "bigint" else of(p).try_cast("double").try_cast("bigint").alias(p) for p, t in PROPERTIES.items()]
+
+    def convert(p: str, t: str) -> Column:
+        if p in ("longitude", "latitude"):
+            return F.coalesce(of(p).try_cast("double"), dms_to_decimal(of(p)))
+        return of(p).try_cast("double").try_cast("bigint") if t == "bigint" else of(p).try_cast(t)
+
+    canonical = [convert(p, t).alias(p) for p, t in PROPERTIES.items()]
     in_conflict = F.when(told & (wanted[F.col("property")] != F.col("kind")), F.struct(F.concat_ws(":", "property", "kind").alias("k"), F.col("text").alias("v")))
     others = F.when(told & wanted[F.col("property")].isNull(), F.struct(F.col("field").alias("k"), F.col("text").alias("v")))
     as_map = lambda c: F.to_json(F.map_from_entries(F.array_distinct(F.array_sort(F.collect_list(c)))))
     first = lambda c: F.when(c.isNotNull(), c)
-    rows = long.groupBy("record_id", "feed_id", "file_seq").agg(*canonical, as_map(first(in_conflict)).alias("branches"), as_map(first(others)).alias("other_fields"))
-    return rows
+    rows = long.groupBy("record_id", "record_key", "feed_id", "file_seq").agg(*canonical, as_map(first(in_conflict)).alias("branches"), as_map(first(others)).alias("other_fields"))
+    return rows.drop("record_key")

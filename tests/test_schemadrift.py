@@ -50,3 +50,9 @@ def test_table_and_alternatives(spark):
     assert json.loads(rows[2].branches) == {"altitude:string": "12"} and json.loads(rows[3].branches) == {"latitude:string": "bad"} and json.loads(rows[2].other_fields) == {"note": "x"}
     got = {(r.field_name, r.kind): (r.first_file, r.last_file) for r in alternatives(_feed(spark, files), aliases).collect()}
     assert got["y_deg", "number"] == (2, 2) and got["y_deg", "string"] == (3, 3) and got["name", "string"] == (1, 3)
+
+
+def test_records_without_ids(spark):
+    feed = spark.createDataFrame([(None, 1, 1, '{"name": "a", "lat": "1 N"}'), (None, 1, 1, '{"name": "a", "lat": "1 N"}'), (None, 1, 1, '{"name": "b"}'), (5, None, 1, '{"name": "c"}')], "record_id bigint, feed_id bigint, file_seq bigint, payload string")
+    got = sorted((r.site_name, r.latitude) for r in consistent_table(feed, spark.createDataFrame(ALIASES, "alias_name string, site_field string")).collect())
+    assert got == [("a", 1.0), ("b", None)]
