@@ -54,4 +54,5 @@ def test_cover_and_two_ways():
     steps = [tuple(r) for r in cover_clients(df).itertuples(index=False)]
     assert steps == [(1, "s", 0), (2, "a", 1), (3, "d", 2)]
     got = {(r.src, r.dst): r.relays for r in two_way_edges(df).itertuples()}
-    assert got == {("s", "a"): 1, ("a", "d"): 1, ("s", "b"): 1, ("b", "d"): 1}  # d alone has two ways
+    # a, b and d have two ways each, e hangs on d
+    assert got == {("s", "a"): 3, ("s", "b"): 3, ("a", "d"): 2, ("b", "d"): 2, ("d", "a"): 1, ("d", "b"): 1}
