@@ -85,7 +85,9 @@ def mix(sizes: DataFrame, targets: DataFrame, *, total_tokens: int | None = None
     block = max(LEAST_BLOCK_TOKENS, int(total * least / (shards * LEAST_BLOCKS)))
     names = sorted(able)
     seats = dict(zip(names, sainte_lague([able[s][0] for s in names], round(total / block), [totals[s] * able[s][1] // block for s in names]), strict=True))
-    rows = sizes.filter(F.col("source").isin(names)).withColumn("shard", F.pmod(F.xxhash64("doc_id", F.lit(seed)), F.lit(shards)))
+    # rows without an id are spread by their place in the checkpointed table, which is the same in every attempt
+    spread = F.xxhash64(F.coalesce("doc_id", F.monotonically_increasing_id()), F.lit(seed))
+    rows = sizes.withColumn("shard", F.pmod(spread, F.lit(shards))).filter(F.col("source").isin(names))
     held = rows.groupBy("source", "shard").agg(F.sum("n_tokens").alias("held")).orderBy("source", "shard").collect()  # a row for each 8M tokens or source
     quotas = []
     for s in names:

@@ -149,7 +149,9 @@ def pack(sizes: DataFrame, specs: DataFrame, targets: DataFrame, *, shard_tokens
     scale = (1 - others) / sum(shares.values()) if shares else 0.0
     target = np.array([shares[n] * scale for n in names] + [others])
     shards = max(1, -(-everything // shard_tokens))
-    sizes = sizes.withColumn("shard", F.pmod(F.xxhash64("doc_id", "n_tokens"), F.lit(shards)))
+    # rows without an id are spread by their place in the checkpointed table, which is the same in every attempt
+    spread = F.xxhash64(F.coalesce("doc_id", F.monotonically_increasing_id()), "n_tokens")
+    sizes = sizes.withColumn("shard", F.pmod(spread, F.lit(shards)))
     number = F.create_map(*(F.lit(x) for i, n in enumerate(queue_names) for x in (n, i)))
     sizes = sizes.withColumn("q", number[F.col("queue")])
     # tokens owed to each source when a shard begins, from sums per shard and source
