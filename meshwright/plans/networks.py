@@ -8,8 +8,9 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from meshwright.operators import graph
-from meshwright.plans.domain import BASE_SQL, links, sites
+from meshwright.operators import graph, polarity
+from meshwright.plans.domain import ACTIVE, BASE_SQL, links, sites, wireless
+from meshwright.plans.relational import _SECTORED, _with_sectors
 
 
 def _edges(spark: SparkSession, d: str) -> DataFrame:
@@ -113,11 +114,39 @@ def agg_availability_percentiles(spark: SparkSession, d: str) -> DataFrame:
     return out.agg(F.avg("availability").alias("mean"), F.percentile("availability", F.array(*(F.lit(p) for p in (0.0, 0.25, 0.5, 0.75, 1.0)))).alias("quartiles"))
 
 
+def _polarity(spark: SparkSession, d: str) -> DataFrame:
+    e = _edges(spark, d)
+    return polarity.by_hops(graph.hops(_pops(e), _real(e)))
+
+
+def polarity_by_hops(spark: SparkSession, d: str) -> DataFrame:
+    return _polarity(spark, d)
+
+
+def polarity_of_clients(spark: SparkSession, d: str) -> DataFrame:
+    relays = sites(spark, d).filter("site_type <> 'CN'").select("site_id")
+    return polarity.of_clients(wireless(links(spark, d)), _polarity(spark, d).join(relays, "site_id", "left_semi"))
+
+
+def polarity_conflicts(spark: SparkSession, d: str) -> DataFrame:
+    return polarity.conflicts(wireless(links(spark, d)), _polarity(spark, d)).select("link_row")
+
+
+def sector_status_in_node(spark: SparkSession, d: str) -> DataFrame:
+    """Sectors by whether they and their node (two neighbouring sectors) carry an active link."""
+    ls = _with_sectors(links(spark, d))
+    own = ls.groupBy("tx_id", "tx_sector").agg(F.bool_or(F.coalesce(F.col("status").isin(*ACTIVE), F.lit(False))).alias("active"))
+    position = F.substring_index("tx_sector", "-", -1).cast("int")
+    shared = polarity.share_in_node(own.select(F.col("tx_sector").alias("sector_id"), F.col("tx_id").alias("site_id"), F.floor(position / 2).alias("node"), "active"))
+    return shared.groupBy("active", "node_active").agg(F.count(F.lit(1)).alias("sectors"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         graph_edges, graph_hops_from_pops, graph_reachable_demand, graph_mark_unreachable, graph_route_mcs, graph_route_links, graph_redundant_links, graph_route_zones, graph_edge_failures,
         graph_site_failures, topk_disruptive_links, graph_disjoint_paths, graph_max_flow, graph_availability, agg_availability_percentiles,
+        polarity_by_hops, polarity_of_clients, polarity_conflicts, sector_status_in_node,
     )
 }
 
@@ -134,4 +163,10 @@ ORACLES = {
     "graph_reachable_demand": _EDGES + "SELECT 'demand:' || site_id AS demand FROM st JOIN lv ON node = site_id WHERE site_type = 'CN' AND status <> 'UNAVAILABLE'",
     "graph_mark_unreachable": _EDGES + "SELECT site_type, CASE WHEN status = 'CANDIDATE' AND (hops IS NULL OR hops > 15) THEN 'UNREACHABLE' ELSE status END AS status, count(*) AS sites FROM st LEFT JOIN lv ON node = site_id GROUP BY 1, 2",
     "graph_route_mcs": _EDGES + ", c AS (SELECT site_id AS node, 0e0 AS cost FROM pop UNION SELECT dst, c.cost + re.cost FROM c JOIN re ON src = node WHERE re.cost IS NOT NULL AND c.cost + re.cost <= 60) SELECT node AS site_id, min(cost) AS cost FROM c GROUP BY 1",
+    "polarity_by_hops": _EDGES + "SELECT node AS site_id, CASE WHEN hops % 2 = 0 THEN 'EVEN' ELSE 'ODD' END AS polarity FROM lv",
+    "polarity_of_clients": _EDGES + """, po AS (SELECT node, hops % 2 AS p FROM lv JOIN st ON site_id = node WHERE site_type <> 'CN')
+SELECT rx_id AS site_id, CASE WHEN count(*) = count(p) AND min(p) = max(p) THEN CASE WHEN min(p) = 1 THEN 'EVEN' ELSE 'ODD' END ELSE 'UNASSIGNED' END AS polarity FROM ln LEFT JOIN po ON node = tx_id WHERE is_wireless AND tx_type <> 'CN' AND rx_type = 'CN' GROUP BY 1""",
+    "polarity_conflicts": _EDGES + "SELECT link_row FROM ln JOIN lv a ON a.node = tx_id JOIN lv b ON b.node = rx_id WHERE is_wireless AND tx_type <> 'CN' AND rx_type <> 'CN' AND a.hops % 2 = b.hops % 2",
+    "sector_status_in_node": _SECTORED + """, o AS (SELECT tx_id, CAST(floor(CAST(split_part(tx_sector, '-', -1) AS INTEGER) / 2) AS INTEGER) AS node, tx_sector, bool_or(coalesce(status IN ('PROPOSED', 'EXISTING'), false)) AS active FROM sc GROUP BY 1, 2, 3)
+SELECT active, node_active, count(*) AS sectors FROM (SELECT active, bool_or(active) OVER (PARTITION BY tx_id, node) AS node_active FROM o) GROUP BY 1, 2""",
 }
