@@ -202,3 +202,26 @@ def write_kml(path: str, sites: DataFrame, links: DataFrame) -> None:
             if status is not None:
                 f.write("</Folder></Folder>\n")
         f.write("</Document></kml>\n")
+
+
+def resolve_ends(links: DataFrame, sites: DataFrame, radius_m: float = 10.0) -> DataFrame:
+    """Sites at the ends of links (link_id, tx_site, rx_site, tx_lon, ...): link_id, tx_id, rx_id.
+
+    An end with a name is the site of that name. One without is the nearest site within radius_m, and the others within
+    it that stand in the nearest one's geohash cell: co-located sites are all ends. Links from a client are left out.
+    sites: site_id, name, site_type, lon, lat.
+    """
+    from meshwright.functions.geo import geohash
+    from meshwright.operators.rangejoin import radius_join
+
+    def end(k: str) -> DataFrame:
+        ends = links.select("link_id", F.nullif(F.trim(f"{k}_site"), F.lit("")).alias("end_name"), F.col(f"{k}_lon").alias("l_lon"), F.col(f"{k}_lat").alias("l_lat"))
+        named = ends.filter("end_name is not null").join(sites.select(F.col("name").alias("end_name"), "site_id", "site_type"), "end_name").select("link_id", "site_id", "site_type")
+        places = sites.select("site_id", "site_type", F.col("lon").alias("r_lon"), F.col("lat").alias("r_lat"), geohash("lon", "lat").alias("cell"))
+        near = radius_join(ends.filter("end_name is null"), places, radius_m)
+        best = near.groupBy("link_id").agg(F.min(F.struct("distance_m", "site_id", "cell")).alias("best")).select("link_id", F.col("best.cell").alias("cell"))
+        found = named.unionAll(near.join(best, ["link_id", "cell"]).select("link_id", "site_id", "site_type"))
+        return found.select("link_id", F.col("site_id").alias(f"{k}_id"), F.col("site_type").alias(f"{k}_type"))
+
+    both = end("tx").filter("tx_type <> 'CN'").join(end("rx"), "link_id").filter("tx_id <> rx_id")
+    return both.select("link_id", "tx_id", "rx_id").distinct()

@@ -124,3 +124,12 @@ def test_config(tmp_path):
     for bad in ({"rain_rat": 1}, {"device_list": [{"device_type": "XX"}]}, {"rain_rate": "wet"}, {"device_list": [{"device_sku": "a"}, {"device_sku": "A"}]}, {"los": {"los_confidence_threshold": 2}}, {"device_list": [{"number_of_nodes_per_site": 9}]}):
         with pytest.raises(config.ConfigError):
             config.from_dict(config.Plan, bad)
+
+
+def test_ends_by_name_then_by_place(spark):
+    from meshwright.sources.kml import resolve_ends
+
+    m = 9e-6  # about a metre
+    sites = spark.createDataFrame([("a", "A", "DN", 3.0, 1.0), ("a2", "A2", "POP", 3.0, 1.0), ("b", "B", "DN", 3.1, 1.0), ("c", "C", "CN", 3.2, 1.0), ("d", "D", "DN", 3.0 + 8 * m, 1.0)], "site_id string, name string, site_type string, lon double, lat double")
+    links = spark.createDataFrame([(1, "A", "B", 9.0, 9.0, 9.0, 9.0), (2, None, " ", 3.0 + m, 1.0, 3.2, 1.0), (3, None, "B", 3.05, 1.0, 3.1, 1.0), (4, "C", "B", 0.0, 0.0, 0.0, 0.0)], "link_id int, tx_site string, rx_site string, tx_lon double, tx_lat double, rx_lon double, rx_lat double")
+    assert sorted(tuple(r) for r in resolve_ends(links, sites).collect()) == [(1, "a", "b"), (2, "a", "c"), (2, "a2", "c")]
