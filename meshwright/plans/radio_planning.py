@@ -137,6 +137,7 @@ SELECT site_id, CAST(arg_min(turn, (cost, turn)) AS INTEGER) AS turn, min(cost)
     "plan_polarity_rows": _SECTORED + ", b AS (SELECT plan_id, tx_id, rx_id, tx_id || '>' || rx_id AS l, unnest([{'k': 'low', 's': -1e0, 'b': 0e0}, {'k': 'high', 's': 1e0, 'b': 2e0}]) AS x FROM " + _WL + " AND rx_type <> 'CN'), t AS (SELECT plan_id, l, x, unnest([{'v': 'time:' || l, 'c': 1e0}, {'v': 'odd:' || tx_id, 'c': x.s}, {'v': 'odd:' || rx_id, 'c': x.s}]) AS t FROM b), m AS (SELECT plan_id, 'polarity_' || x.k || ':' || l AS row_id, t.v AS variable, t.c AS coefficient, '<=' AS sense, x.b AS bound FROM t)" + _SUM,
     "plan_sector_time_rows": _SECTORED + ", m AS (SELECT plan_id, 'sector:' || unnest(['tx:' || tx_sector, 'rx:' || rx_sector]) AS row_id, 'time:' || tx_id || '>' || rx_id AS variable, 1e0 AS coefficient, '<=' AS sense, 1e0 AS bound FROM sc WHERE tx_type <> 'CN')" + _SUM,
     "plan_capacity_rows": _SECTORED + ", m AS (SELECT plan_id, 'capacity:' || tx_id || '>' || rx_id AS row_id, 'flow:' || tx_id || '>' || rx_id AS variable, 1e0 AS coefficient, '<=' AS sense, 0e0 AS bound FROM " + _WL + " UNION ALL SELECT plan_id, 'capacity:' || tx_id || '>' || rx_id, 'time:' || tx_id || '>' || rx_id, -coalesce(capacity, 0), '<=', 0e0 FROM " + _WL + ")" + _SUM,
+    "plan_colocated_rows": _SECTORED + ", g AS (SELECT plan_id, site_id, 'place:' || round(lon, 6) || ':' || round(lat, 6) || ':' || coalesce(alt, 0) AS row_id FROM st), m AS (SELECT plan_id, row_id, 'site:' || site_id AS variable, 1e0 AS coefficient, '<=' AS sense, 1e0 AS bound FROM g WHERE row_id IN (SELECT row_id FROM g GROUP BY 1 HAVING count(*) > 1))" + _SUM,
     "stream_down_time": """WITH e AS (SELECT *, lag(event_type) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS before FROM events WHERE event_type IN ('error', 'purchase')),
 t AS (SELECT *, lead(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS next, lead(event_type) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS next_type FROM e WHERE before IS NULL OR before <> event_type)
 SELECT user_id, count(*) AS outages, round(sum(epoch_us(next) - epoch_us(ts)) / 1e6, 3) AS down_s FROM t WHERE event_type = 'error' AND next_type = 'purchase' GROUP BY 1""",
