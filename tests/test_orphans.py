@@ -54,3 +54,25 @@ def test_report(spark):
         ("tx", "2024-01", "deleted"): (2, 1), ("rx", "2024-01", "not_yet_recorded"): (1, 1), ("rx", "2024-01", "unknown"): (1, 1),
         ("tx", None, "unknown"): (1, 1), ("rx", None, "not_yet_recorded"): (1, 1),
     }
+
+
+def test_random_tables_against_brute_force(spark):
+    import random
+
+    rng = random.Random(3)
+    names = ["a", " B", "c ", "hub", None, ""]
+    sites = []
+    for _ in range(60):
+        s = rng.choice([None, *DAY])
+        sites.append((rng.choice(["p", "q", None]), rng.choice(names), s, rng.choice([None, *DAY]), 1, "", 1))
+    links = [_link(i, rng.choice(names), rng.choice([*names, "hub"]), rng.choice([None, *DAY]), rng.choice(["p", "q", None])) for i in range(300)]
+    norm = lambda x: (x or "").strip().lower()
+    want = []
+    for i, plan, tx, rx, at, *_ in links:
+        for side, name in (("tx", tx), ("rx", rx)):
+            if norm(name) and not any(
+                plan and at and p == plan and norm(n) == norm(name) and s and s <= at and (e is None or at < e) for p, n, s, e, *_ in sites
+            ):
+                want.append((i, side))
+    for hot_rows in (10**9, 30):
+        assert [x[:2] for x in _find(spark, links, sites, hot_rows=hot_rows)] == sorted(want)
