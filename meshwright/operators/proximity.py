@@ -245,7 +245,11 @@ def near_and_inside(sites: DataFrame, areas: DataFrame, radius: float = 25.0, *,
     places = rows.groupBy(*place).agg(F.min("site_row").alias("id"))
     n = sites.count()
     few = min(MOST_PIVOTS, max(1, math.ceil(n / cell_rows)))
-    chosen = rows.select("lat", "lon", F.xxhash64("lat", "lon").alias("h")).distinct().orderBy("h", "lat", "lon").limit(few).collect()
+    hashed = rows.select("lat", "lon", F.xxhash64("lat", "lon").alias("h"))
+    # hashes are even, so the lowest ones are below a small part of their range; only that part is moved
+    part = min(1.0, 8.0 * few / max(n, 1))
+    lowest = lambda df: df.distinct().orderBy("h", "lat", "lon").limit(few).collect()
+    chosen = lowest(hashed.filter(F.col("h") <= int(-(2**63) + part * (2**64 - 1025)))) or lowest(hashed)
     if not chosen:
         return rows.select(F.lit("site").alias("match_kind"), F.col("site_row").alias("key_a"), F.col("site_row").alias("key_b")).limit(0)
     pivots = _unit(np.radians([r.lat for r in chosen]), np.radians([r.lon for r in chosen]))
