@@ -16,8 +16,8 @@ from meshwright.tables import table
 
 
 def _radio(spark: SparkSession, d: str) -> DataFrame:
-    """Wireless links of relays with sectors, bearing, net gain and full power."""
-    ls = _with_sectors(wireless(links(spark, d)).filter("rx_type <> 'CN'")).withColumn("azimuth", F.round("azimuth", 6))
+    """Wireless links, to relays and to clients, with sectors, bearing, net gain and full power."""
+    ls = _with_sectors(wireless(links(spark, d))).withColumn("azimuth", F.round("azimuth", 6))
     gained = with_gain(ls.withColumn("m", F.col("length_m"))).withColumn("tx_power", F.lit(RADIO["max_power"]))
     return gained.select("plan_id", "link_row", "tx_id", "rx_id", "tx_sector", "rx_sector", "azimuth", F.col("g").alias("gain"), "tx_power")
 
