@@ -92,6 +92,17 @@ def utm_epsg(lon, lat) -> Column:
     return (F.when(c(lat) >= 0, 32600).otherwise(32700) + utm_zone(lon)).cast("int")
 
 
+def utm_epsg_near(lon, lat, reach_m: float) -> Column:
+    """All zones that have a point within reach_m: a point's own one, near a border also those beyond it."""
+    high = math.degrees(reach_m / EARTH_M) * 1.01
+    far = F.least(F.abs(c(lat)) + F.lit(high), F.lit(90.0))
+    wide = F.when(far >= 89.9, F.lit(180.0)).otherwise(F.least(F.lit(high) / F.cos(F.radians(far)), F.lit(180.0)))
+    at = lambda v: F.floor((v + 180) / F.lit(6.0)).cast("int")
+    zones = F.array_distinct(F.transform(F.sequence(at(c(lon) - wide), at(c(lon) + wide)), lambda z: F.pmod(z, F.lit(60)) + 1))
+    halves = F.array_distinct(F.array(*(F.when(v >= 0, 32600).otherwise(32700) for v in (c(lat) - high, c(lat) + high))))
+    return F.flatten(F.transform(halves, lambda h: F.transform(zones, lambda z: (h + z).cast("int"))))
+
+
 def geohash(lon, lat, precision: int = 10) -> Column:
     """Base-32 hash in digits 0-9a-v, longitude bit first; a value below the middle of its range gets a 0 bit."""
     half = precision * 5 // 2
@@ -130,10 +141,12 @@ def central_meridian(zone: Column) -> Column:
     return zone * 6 - 183
 
 
-def to_utm(lon, lat) -> tuple[Column, Column]:
-    """Easting and northing in the point's own zone by the Krüger series to the sixth order."""
+def to_utm(lon, lat, epsg=None) -> tuple[Column, Column]:
+    """Easting and northing by the Krüger series to the sixth order, in the point's own zone or in that of epsg."""
     p = F.radians(c(lat))
-    west_east = F.radians(c(lon) - central_meridian(utm_zone(lon)))
+    south = c(lat) < 0 if epsg is None else c(epsg) >= 32700
+    zone = utm_zone(lon) if epsg is None else F.pmod(c(epsg), F.lit(100))
+    west_east = F.radians(c(lon) - central_meridian(zone))
     t = F.sinh(F.atanh(F.sin(p)) - F.lit(_E) * F.atanh(F.lit(_E) * F.sin(p)))
     xi, eta = F.atan2(t, F.cos(west_east)), F.atanh(F.sin(west_east) / F.sqrt(F.lit(1.0) + t * t))
     x, y = eta, xi
@@ -141,7 +154,7 @@ def to_utm(lon, lat) -> tuple[Column, Column]:
         x = x + F.lit(a) * F.cos(F.lit(2.0 * j) * xi) * F.sinh(F.lit(2.0 * j) * eta)
         y = y + F.lit(a) * F.sin(F.lit(2.0 * j) * xi) * F.cosh(F.lit(2.0 * j) * eta)
     scale = F.lit(_K0 * _RECTIFYING)
-    return F.lit(500_000.0) + scale * x, F.when(c(lat) < 0, 10_000_000.0).otherwise(0.0) + scale * y
+    return F.lit(500_000.0) + scale * x, F.when(south, 10_000_000.0).otherwise(0.0) + scale * y
 
 
 def from_utm(x, y, epsg) -> tuple[Column, Column]:

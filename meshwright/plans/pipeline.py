@@ -32,7 +32,8 @@ def candidate_network(places: DataFrame, rules: LosRules = LosRules()) -> DataFr
     """Links that sites (site_id, plan_id, site_type, lon, lat, alt, building_id, location_type) of one plan could have.
 
     Relays and sources send to all, clients only receive. Pairs pass distance, slope and building checks, the line of
-    sight over the surface of all sites, and a link budget with throughput. Each pair's sight is computed once.
+    sight over the surface of all sites, and a link budget with throughput. Each pair's sight is computed once, in the zone
+    of its first end; places near a border are in the surface of the zones on both sides.
     """
     known = places.filter("alt is not null")
     side = lambda k: known.select(F.col("plan_id").alias(f"{k}_plan"), *(F.col(c).alias(f"{k}_{c}") for c in ("site_id", "site_type", "lon", "lat", "alt", "building_id", "location_type")))
@@ -42,13 +43,16 @@ def candidate_network(places: DataFrame, rules: LosRules = LosRules()) -> DataFr
     rise = F.abs(F.col("r_alt") - F.col("l_alt"))
     pairs = pairs.withColumn("length_m", F.sqrt(F.col("distance_m") ** 2 + rise**2)).filter((F.col("length_m") >= rules.least_m) & (F.col("length_m") <= rules.most_m) & ~F.coalesce(one_roof, F.lit(False)))
     pairs = pairs.filter(F.degrees(F.asin(F.least(rise / F.col("length_m"), F.lit(1.0)))) <= rules.steepest_deg)
+    pairs = pairs.withColumn("zone", geo.utm_epsg("l_lon", "l_lat"))
     for k, n in (("l", 1), ("r", 2)):
-        x, y = geo.to_utm(f"{k}_lon", f"{k}_lat")
-        pairs = pairs.withColumns({f"x{n}": x, f"y{n}": y, f"z{n}": F.col(f"{k}_alt") + rules.mount_m, f"zone{n}": geo.utm_epsg(f"{k}_lon", f"{k}_lat")})
-    pairs = pairs.filter("zone1 = zone2").withColumns({"pair_id": F.concat_ws(">", "l_site_id", "r_site_id"), "zone": F.col("zone1"), "radius": F.greatest(rf.fresnel_radius("length_m", RADIO["mhz"]), F.lit(rules.cell_m / 2))})
+        x, y = geo.to_utm(f"{k}_lon", f"{k}_lat", "zone")
+        pairs = pairs.withColumns({f"x{n}": x, f"y{n}": y, f"z{n}": F.col(f"{k}_alt") + rules.mount_m})
+    pairs = pairs.withColumns({"pair_id": F.concat_ws(">", "l_site_id", "r_site_id"), "radius": F.greatest(rf.fresnel_radius("length_m", RADIO["mhz"]), F.lit(rules.cell_m / 2))})
     pairs = checkpoint(pairs.select("pair_id", "zone", "x1", "y1", "z1", "x2", "y2", "z2", "radius", "length_m", "l_site_id", "r_site_id", "l_site_type", "r_site_type", "l_plan"))
-    x, y = geo.to_utm("lon", "lat")
-    surface = raster.rasterize(known.select(geo.utm_epsg("lon", "lat").alias("zone"), x.alias("x"), y.alias("y"), F.col("alt").alias("z")), rules.cell_m)
+    # a pair's cells are no farther from its first end than its length, the corridor's radius and a cell
+    ground = known.select("lon", "lat", "alt", F.explode(geo.utm_epsg_near("lon", "lat", 2 * (rules.most_m + rules.cell_m))).alias("zone"))
+    x, y = geo.to_utm("lon", "lat", "zone")
+    surface = raster.rasterize(ground.select("zone", x.alias("x"), y.alias("y"), F.col("alt").alias("z")), rules.cell_m)
     model = los.ellipsoid_confidence if rules.ellipsoid else los.cylinder_confidence
     clear = model(pairs, surface, rules.cell_m, rules.confidence).filter("confidence > 0")
     seen = budget(with_gain(pairs.join(clear, "pair_id").withColumn("m", F.col("length_m")))).filter("gbps > 0")

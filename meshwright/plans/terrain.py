@@ -61,25 +61,35 @@ def raster_thin(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _pairs(spark: SparkSession, d: str) -> DataFrame:
-    """Pairs of linked sites of one zone 20 to 1000 m apart, each once, a little above their ground."""
-    place = _places(spark, d).filter("z is not null")
-    end = lambda k, n: place.select(F.col("site_id").alias(f"{k}_id"), F.col("zone").alias(f"zone{n}"), *(F.col(a).alias(f"{a}{n}") for a in "xy"), (F.col("z") + 2.0).alias(f"z{n}"))
+    """Pairs of linked sites 20 to 1000 m apart, each once, a little above their ground, in the zone of the first."""
+    place = sites(spark, d).filter("alt is not null")
+    end = lambda k, n: place.select(F.col("site_id").alias(f"{k}_id"), *(F.col(a).alias(f"{a}{n}") for a in ("lon", "lat")), (F.col("alt") + 2.0).alias(f"z{n}"))
     pairs = links(spark, d).select(F.least("tx_id", "rx_id").alias("tx_id"), F.greatest("tx_id", "rx_id").alias("rx_id")).distinct()
-    both = pairs.join(end("tx", 1), "tx_id").join(end("rx", 2), "rx_id").filter("zone1 = zone2")
+    both = pairs.join(end("tx", 1), "tx_id").join(end("rx", 2), "rx_id").withColumn("zone", geo.utm_epsg("lon1", "lat1"))
+    for n in (1, 2):
+        x, y = geo.to_utm(f"lon{n}", f"lat{n}", "zone")
+        both = both.withColumns({f"x{n}": F.round(x, 3), f"y{n}": F.round(y, 3)})
     flat = F.sqrt((F.col("x2") - F.col("x1")) ** 2 + (F.col("y2") - F.col("y1")) ** 2)
     both = both.withColumn("flat", flat).filter("flat between 20 and 1000")
     full = F.sqrt(F.col("flat") * F.col("flat") + (F.col("z2") - F.col("z1")) ** 2)
     radius = F.greatest(rf.fresnel_radius(full, RADIO["mhz"]) * 10, F.lit(10.0))
-    return both.select(F.concat_ws(">", "tx_id", "rx_id").alias("pair_id"), F.col("zone1").alias("zone"), "x1", "y1", "z1", "x2", "y2", "z2", radius.alias("radius"))
+    return both.select(F.concat_ws(">", "tx_id", "rx_id").alias("pair_id"), "zone", "x1", "y1", "z1", "x2", "y2", "z2", radius.alias("radius"))
+
+
+def _ground(spark: SparkSession, d: str) -> DataFrame:
+    """The surface with places near a border in the zones on both sides: a pair's cells reach beyond its own zone."""
+    near = sites(spark, d).select("lon", "lat", "alt", F.explode(geo.utm_epsg_near("lon", "lat", 2000.0)).alias("zone"))
+    x, y = geo.to_utm("lon", "lat", "zone")
+    return raster.rasterize(near.select("zone", F.round(x, 3).alias("x"), F.round(y, 3).alias("y"), F.col("alt").alias("z")), CELL)
 
 
 def los_cylinder(spark: SparkSession, d: str) -> DataFrame:
-    out = los.cylinder_confidence(_pairs(spark, d), _surface(spark, d), CELL, 0.1)
+    out = los.cylinder_confidence(_pairs(spark, d), _ground(spark, d), CELL, 0.1)
     return out.select("pair_id", r("confidence").alias("confidence"))
 
 
 def los_ellipsoid(spark: SparkSession, d: str) -> DataFrame:
-    out = los.ellipsoid_confidence(_pairs(spark, d), _surface(spark, d), CELL, 0.1)
+    out = los.ellipsoid_confidence(_pairs(spark, d), _ground(spark, d), CELL, 0.1)
     return out.select("pair_id", r("confidence").alias("confidence"))
 
 

@@ -7,6 +7,7 @@ from pathlib import Path
 import pytest
 
 import __spark_entry__ as entry
+from meshwright.plans.pipeline import LosRules, candidate_network
 
 SF = Path("/root/testdata/sf0.001")
 SITE = "site_row bigint, plan_id string, site_name string, site_type string, latitude double, longitude double, altitude double, device_sku string, site_status string, location_type string, building_id bigint, subscribers bigint, recorded_at timestamp"
@@ -46,3 +47,33 @@ def test_interference_against_sql(spark, name):
     got = entry.queries()[name](spark, str(SF)).collect()
     near = lambda rows: {r[0]: r[1] for r in rows}
     assert len(got) == len(want) and near(got) == pytest.approx(near(want), abs=1.1e-3)
+
+
+BORDERS = {"zones": (0.0005, 6.0), "equator": (0.0, 3.0), "date_line": (0.0005, 180.0), "high": (80.0, 12.0)}
+
+
+def _across(border, *metres):
+    lat, lon = BORDERS[border]
+    off = lambda m: (m / 111_195, 0.0) if border == "equator" else (0.0, m / 111_195 / math.cos(math.radians(lat)))
+    return [(lat + off(m)[0], (lon + off(m)[1] + 180) % 360 - 180) for m in metres]
+
+
+@pytest.mark.parametrize("border", BORDERS)
+def test_pairs_over_a_border(spark, border):
+    # three plans: a clear pair and two with a wall on either side of the border, 100 m from each other
+    rows = []
+    for i, (plan, wall) in enumerate((("clear", None), ("near", -20), ("beyond", 20))):
+        shift = lambda p, i=i: (p[0], p[1] + 0.01 * i) if border == "equator" else (p[0] + 0.01 * i, p[1])
+        a, b = map(shift, _across(border, -60, 60))
+        rows += [(f"{plan}/a", plan, "DN", *a, 20.0, None, None), (f"{plan}/b", plan, "DN", *b, 20.0, None, None)]
+        rows += [(f"{plan}/w", "walls", "DN", *shift(p), 60.0, None, None) for p in _across(border, *([] if wall is None else [wall]))]
+    df = spark.createDataFrame(rows, "site_id string, plan_id string, site_type string, lat double, lon double, alt double, building_id bigint, location_type string")
+    got = sorted((r.tx_id, r.rx_id) for r in candidate_network(df, LosRules(cell_m=0.02)).collect())
+    assert got == [("clear/a", "clear/b"), ("clear/b", "clear/a")]
+
+
+@pytest.mark.parametrize("name", ["los_cylinder", "los_ellipsoid"])
+def test_sight_over_a_border(spark, tmp_path, name):
+    ends = {(b, k): p for b in BORDERS for k, p in zip("xy", _across(b, -60, 60), strict=True)}
+    d = _folder(spark, tmp_path, [(f"{b}{k}", "DN", *p, 20.0) for (b, k), p in ends.items()], [(f"{b}x", f"{b}y") for b in BORDERS])
+    assert sorted(r.pair_id for r in entry.queries()[name](spark, d).collect()) == sorted(f"p/{b}x>p/{b}y" for b in BORDERS)
