@@ -325,7 +325,7 @@ def demand_cn(spark: SparkSession, d: str) -> DataFrame:
 
 def demand_uniform_grid(spark: SparkSession, d: str) -> DataFrame:
     """Points of a half-degree grid over each plan's box, counted; the box is found with partial aggregation."""
-    box = sites(spark, d).filter("abs(lat) < 80").groupBy("plan_id").agg(F.min("lon").alias("x0"), F.max("lon").alias("x1"), F.min("lat").alias("y0"), F.max("lat").alias("y1"))
+    box = sites(spark, d).groupBy("plan_id").agg(F.min("lon").alias("x0"), F.max("lon").alias("x1"), F.min("lat").alias("y0"), F.max("lat").alias("y1"))
     n = lambda a, b: F.ceil((F.col(b) - F.col(a)) / F.lit(0.5)).cast("int") + 1
     grid = box.select("plan_id", "x0", "y0", F.explode(F.sequence(F.lit(0), n("x0", "x1") - 1)).alias("i"), n("y0", "y1").alias("rows"))
     points = grid.select("plan_id", F.explode(F.sequence(F.lit(0), F.col("rows") - 1)).alias("j"), "i")

@@ -77,3 +77,9 @@ def test_sight_over_a_border(spark, tmp_path, name):
     ends = {(b, k): p for b in BORDERS for k, p in zip("xy", _across(b, -60, 60), strict=True)}
     d = _folder(spark, tmp_path, [(f"{b}{k}", "DN", *p, 20.0) for (b, k), p in ends.items()], [(f"{b}x", f"{b}y") for b in BORDERS])
     assert sorted(r.pair_id for r in entry.queries()[name](spark, d).collect()) == sorted(f"p/{b}x>p/{b}y" for b in BORDERS)
+
+
+def test_grid_at_high_latitude(spark, tmp_path):
+    d = _folder(spark, tmp_path, [("a", "CN", 79.0, 10.0, 1.0), ("b", "CN", 81.75, 12.0, 1.0)])
+    (got,) = entry.queries()["demand_uniform_grid"](spark, d).collect()
+    assert (got.points, got.last_column, got.last_row) == (5 * 7, 4, 6)
