@@ -105,7 +105,7 @@ def graph_max_flow(spark: SparkSession, d: str) -> DataFrame:
 
 
 def graph_availability(spark: SparkSession, d: str) -> DataFrame:
-    kernel = functools.partial(graph.availability, link_availability=0.999, horizon=2.0, seed=7)
+    kernel = functools.partial(graph.availability, link_availability=0.999, horizon=100.0, seed=7)
     return graph.per_plan(_edges(spark, d), kernel, "demand string, availability double")
 
 

@@ -83,3 +83,11 @@ def test_grid_at_high_latitude(spark, tmp_path):
     d = _folder(spark, tmp_path, [("a", "CN", 79.0, 10.0, 1.0), ("b", "CN", 81.75, 12.0, 1.0)])
     (got,) = entry.queries()["demand_uniform_grid"](spark, d).collect()
     assert (got.points, got.last_column, got.last_row) == (5 * 7, 4, 6)
+
+
+def test_availability_over_the_whole_time(spark, tmp_path):
+    clients = [f"c{i}" for i in range(40)]
+    d = _folder(spark, tmp_path, [("s", "POP", 1.0, 1.0, 20.0), *((c, "CN", 1.0 + i / 1e4, 1.001, 20.0) for i, c in enumerate(clients))], [("s", c) for c in clients])
+    got = [r.availability for r in entry.queries()["graph_availability"](spark, d).collect()]
+    # each hangs on one link, which fails about 100 times in that time
+    assert len(got) == 40 and max(got) < 1.0 and sum(got) / 40 == pytest.approx(0.999, abs=2e-4)
