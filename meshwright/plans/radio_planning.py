@@ -115,7 +115,7 @@ QUERIES = {
 }
 
 _TURN = lambda dev: f"(-least(12 * pow({dev} / 65e0, 2), 30e0))"
-_INTF = _SECTORED + f""", rd AS (SELECT link_row, tx_id, rx_id, tx_sector, rx_sector, round(azimuth, 6) AS azimuth, round({_gain_sql('length_m')}, 9) AS gain FROM sc WHERE tx_type <> 'CN' AND rx_type <> 'CN'),
+_INTF = _SECTORED + f""", rd AS (SELECT link_row, tx_id, rx_id, tx_sector, rx_sector, round(azimuth, 6) AS azimuth, round({_gain_sql('length_m')}, 9) AS gain FROM sc WHERE is_wireless AND tx_type <> 'CN'),
 pt AS (SELECT p.link_row AS path_row, p.tx_id, p.rx_sector, p.azimuth AS paz, avg(pow(10, ({RADIO['max_power']}e0 + p.gain + {_TURN(f"abs({delta_sql('s.azimuth', 'p.azimuth')})")}) / 10)) AS level
   FROM rd p JOIN rd s ON p.tx_sector = s.tx_sector AND s.rx_id <> p.rx_id GROUP BY ALL),
 vi AS (SELECT v.link_row, sum(level * pow(10, {_TURN(f"abs({delta_sql('paz', 'v.azimuth')})")} / 10)) AS mw FROM pt JOIN rd v ON pt.rx_sector = v.rx_sector AND pt.tx_id <> v.tx_id GROUP BY 1)

@@ -432,6 +432,6 @@ SELECT building_id, site_id, degree FROM w WHERE k = 1""",
     "set_inactive_links": BASE_SQL + f"SELECT link_row FROM ln WHERE status NOT IN {ACTIVE_SQL} OR tx_status NOT IN {ACTIVE_SQL} OR rx_status NOT IN {ACTIVE_SQL}",
     "set_candidate_union_active": BASE_SQL + f", k AS (SELECT unnest([tx_id, rx_id]) AS site_id FROM ln WHERE status = 'CANDIDATE'), a AS (SELECT unnest([tx_id, rx_id]) AS site_id FROM ln WHERE status IN {ACTIVE_SQL}) SELECT site_id, 'only_candidate' AS part FROM (SELECT site_id FROM k EXCEPT SELECT site_id FROM a) UNION ALL SELECT site_id, 'both' FROM (SELECT site_id FROM k INTERSECT SELECT site_id FROM a)",
     "demand_cn": BASE_SQL + "SELECT min(site_id) AS demand_id, arg_min(coalesce(nullif(subscribers, 0), 1), site_id) AS subscribers, count(*) AS sites FROM st WHERE site_type = 'CN' GROUP BY lon, lat",
-    "demand_uniform_grid": BASE_SQL + """, b AS (SELECT plan_id, min(lon) AS x0, max(lon) AS x1, min(lat) AS y0, max(lat) AS y1 FROM st WHERE abs(lat) < 80 GROUP BY 1),
+    "demand_uniform_grid": BASE_SQL + """, b AS (SELECT plan_id, min(lon) AS x0, max(lon) AS x1, min(lat) AS y0, max(lat) AS y1 FROM st GROUP BY 1),
 n AS (SELECT plan_id, CAST(ceil((x1 - x0) / 0.5e0) AS INTEGER) + 1 AS nx, CAST(ceil((y1 - y0) / 0.5e0) AS INTEGER) + 1 AS ny FROM b) SELECT plan_id, CAST(nx AS BIGINT) * ny AS points, nx - 1 AS last_column, ny - 1 AS last_row FROM n""",
 }

@@ -197,15 +197,20 @@ _BUDGET = f"""
 b AS (SELECT *, CAST({_FITS(_MCS(f"({R['max_power']}e0 + g - {R['noise']}e0)"), 'g')} AS INTEGER) AS best FROM g)
 """
 _KM = f"({length_sql()} / 1000e0)"
-_UTM = f"""
-, z AS (SELECT site_id, lon, lat, CAST(floor((lon + 180) / 6) AS INTEGER) % 60 + 1 AS zone, sin(radians(lat)) AS s FROM st),
-t AS (SELECT *, sinh(atanh(s) - {geo._E!r} * atanh({geo._E!r} * s)) AS t, radians(lon - (zone * 6 - 183)) AS l FROM z),
+def _utm_sql(rows: str, kept: str) -> str:
+    """Steps that project rows (lon, lat, zone from 1 to 60, south) to x and y, as table p with the kept columns."""
+    xi = " + ".join(f"{a!r} * cos({2 * j} * xi) * sinh({2 * j} * eta)" for j, a in enumerate(geo._ALPHA, 1))
+    eta = " + ".join(f"{a!r} * sin({2 * j} * xi) * cosh({2 * j} * eta)" for j, a in enumerate(geo._ALPHA, 1))
+    return f"""
+, t AS (SELECT *, sinh(atanh(sin(radians(lat))) - {geo._E!r} * atanh({geo._E!r} * sin(radians(lat)))) AS t, radians((lon - (zone * 6 - 183) + 540) % 360 - 180) AS l FROM {rows}),
 u AS (SELECT *, atan2(t, cos(l)) AS xi, atanh(sin(l) / sqrt(1 + t * t)) AS eta FROM t),
-p AS (SELECT site_id, lon, lat, 500000 + {geo._K0 * geo._RECTIFYING!r} * (eta + {" + ".join(f"{a!r} * cos({2 * j} * xi) * sinh({2 * j} * eta)" for j, a in enumerate(geo._ALPHA, 1))}) AS x,
-  CASE WHEN lat < 0 THEN 10000000 ELSE 0 END + {geo._K0 * geo._RECTIFYING!r} * (xi + {" + ".join(f"{a!r} * sin({2 * j} * xi) * cosh({2 * j} * eta)" for j, a in enumerate(geo._ALPHA, 1))}) AS y FROM u)
+p AS (SELECT {kept}, 500000 + {geo._K0 * geo._RECTIFYING!r} * (eta + {xi}) AS x, CASE WHEN south THEN 10000000 ELSE 0 END + {geo._K0 * geo._RECTIFYING!r} * (xi + {eta}) AS y FROM u)
 """
 
 
+_UTM = ", z AS (SELECT site_id, lon, lat, CAST(floor((lon + 180) / 6) AS INTEGER) % 60 + 1 AS zone, lat < 0 AS south FROM st)" + _utm_sql("z", "site_id, lon, lat")
+
+
 def _translate_sql(lon: str, lat: str, b: float, m: float) -> tuple[str, str]:
     q = f"asin(sin(radians({lat})) * cos({m}e0 / 6371000) + cos(radians({lat})) * sin({m}e0 / 6371000) * cos(radians({b}e0)))"
     east = f"atan2(sin(radians({b}e0)) * sin({m}e0 / 6371000) * cos(radians({lat})), cos({m}e0 / 6371000) - sin(radians({lat})) * sin({q}))"

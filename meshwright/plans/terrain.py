@@ -10,7 +10,7 @@ from meshwright.operators import los, raster
 from meshwright.plans.domain import BASE_SQL, RADIO, links, sites
 from meshwright.plans.relational import ORACLES as _relational
 from meshwright.plans.relational import site_point_in_polygon
-from meshwright.plans.scalars import _UTM, r
+from meshwright.plans.scalars import _UTM, _utm_sql, r
 from meshwright.tables import table
 
 CELL = 20.0
@@ -125,8 +125,15 @@ def _nearest(asks: str, known: str) -> str:
   WHERE pow(a.ix - k.ix, 2) + pow(a.iy - k.iy, 2) <= {REACH * REACH} GROUP BY 1, 2, 3)"""
 
 
-_LOS = _CELLS + f""", lp AS (SELECT DISTINCT least(tx_id, rx_id) AS a, greatest(tx_id, rx_id) AS b FROM ln),
-pr AS (SELECT lp.a || '>' || lp.b AS pair_id, s.zone, s.x AS x1, s.y AS y1, s.z + 2 AS z1, t.x AS x2, t.y AS y2, t.z + 2 AS z2, sqrt(pow(t.x - s.x, 2) + pow(t.y - s.y, 2)) AS flat FROM lp JOIN pl s ON s.site_id = lp.a JOIN pl t ON t.site_id = lp.b AND s.zone = t.zone WHERE s.z IS NOT NULL AND t.z IS NOT NULL),
+# a place is projected in each zone within some km of it, so that pairs and their cells are in the zone of the pair's first end
+_NEAR = "0.03e0 / cos(radians(least(abs(lat) + 0.03e0, 89.5e0)))"
+_LOS = BASE_SQL + f""", zs AS (SELECT site_id, lon, lat, alt, CAST(floor((lon + 180) / 6) AS INTEGER) % 60 + 1 AS own, lat < 0 AS own_south,
+    unnest(range(CAST(floor((lon - {_NEAR} + 180) / 6) AS BIGINT), CAST(floor((lon + {_NEAR} + 180) / 6) AS BIGINT) + 1)) AS k FROM st),
+zr AS (SELECT DISTINCT site_id, lon, lat, alt, own, own_south, CAST((zs.k + 60) % 60 + 1 AS INTEGER) AS zone, h.south FROM zs JOIN (SELECT unnest([true, false]) AS south) h ON CASE WHEN south THEN lat < 0.03e0 ELSE lat > -0.03e0 END)
+""" + _utm_sql("zr", "*") + f""", pl AS (SELECT site_id, own = zone AND own_south = south AS home, CAST(CASE WHEN south THEN 32700 ELSE 32600 END + zone AS INTEGER) AS zone, round(x, 3) AS x, round(y, 3) AS y, alt AS z FROM p),
+ce AS (SELECT zone, ix, iy, max(z) AS z FROM (SELECT *, CAST(round_even(x / {CELL}, 0) AS BIGINT) AS ix, CAST(round_even(y / {CELL}, 0) AS BIGINT) AS iy FROM pl) WHERE z IS NOT NULL GROUP BY 1, 2, 3),
+lp AS (SELECT DISTINCT least(tx_id, rx_id) AS a, greatest(tx_id, rx_id) AS b FROM ln),
+pr AS (SELECT lp.a || '>' || lp.b AS pair_id, s.zone, s.x AS x1, s.y AS y1, s.z + 2 AS z1, t.x AS x2, t.y AS y2, t.z + 2 AS z2, sqrt(pow(t.x - s.x, 2) + pow(t.y - s.y, 2)) AS flat FROM lp JOIN pl s ON s.site_id = lp.a AND s.home JOIN pl t ON t.site_id = lp.b AND s.zone = t.zone WHERE s.z IS NOT NULL AND t.z IS NOT NULL),
 pq AS (SELECT *, greatest(8.65725790883e0 * sqrt(sqrt(flat * flat + pow(z2 - z1, 2)) / {RADIO['mhz']}e0) * 10, 10e0) AS radius FROM pr WHERE flat BETWEEN 20 AND 1000),
 jc AS (SELECT q.*, ix * {CELL}e0 - x1 AS dx, iy * {CELL}e0 - y1 AS dy, z - z1 AS dz, x2 - x1 AS bx, y2 - y1 AS by_, z2 - z1 AS bz FROM pq q JOIN ce ON ce.zone = q.zone AND ix * {CELL}e0 BETWEEN least(x1, x2) - radius AND greatest(x1, x2) + radius AND iy * {CELL}e0 BETWEEN least(y1, y2) - radius AND greatest(y1, y2) + radius),
 ja AS (SELECT *, dx * bx + dy * by_ AS along, dy * bx - dx * by_ AS across, bx * bx + by_ * by_ AS flat2 FROM jc),
