@@ -24,6 +24,11 @@ def p6_containers(spark: SparkSession, d: str) -> DataFrame:
     return packing.container_fill(p6_packed(spark, d))
 
 
+def p6_windows(spark: SparkSession, d: str) -> DataFrame:
+    """Shares, targets and debts of the sources in each window."""
+    return packing.window_report(p6_packed(spark, d), table(spark, d, "mix_targets"))
+
+
 def p7_mixed(spark: SparkSession, d: str) -> DataFrame:
     return mixing.mix(_sizes(spark, d), table(spark, d, "mix_targets"))
 
@@ -49,5 +54,5 @@ def p8_replaced(spark: SparkSession, d: str) -> DataFrame:
     return pii.pii_replaced(table(spark, d, "documents"), _secret(spark))
 
 
-QUERIES = {f.__name__: f for f in (p6_packed, p6_containers, p6_fill, p7_mixed, p7_shares, p8_found, p8_items, p8_replaced)}
+QUERIES = {f.__name__: f for f in (p6_packed, p6_containers, p6_fill, p6_windows, p7_mixed, p7_shares, p8_found, p8_items, p8_replaced)}
 ORACLES: dict[str, str] = {}

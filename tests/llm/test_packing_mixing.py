@@ -2,7 +2,7 @@ import numpy as np
 import pytest
 
 from meshwright.llm.mixing import mix, mix_report, sainte_lague
-from meshwright.llm.packing import best_fit, container_fill, deficit_windows, pack, pack_report
+from meshwright.llm.packing import best_fit, container_fill, deficit_windows, pack, pack_report, stream_phases, window_report
 from meshwright.llm.sizes import DEFAULT_TOKENIZER, encoder, token_sizes
 
 SPECS = [("tiny", 100), ("big", 1000), ("none", None), ("zero", 0)]
@@ -47,6 +47,26 @@ def test_windows_hold_the_mixture():
     assert (queues[owed[:10]] == 2).all()  # what is owed from before comes first
 
 
+def test_stream_phases():
+    phases = stream_phases(np.array([100, 600, 300]), np.array([0.5, 0.3, 0.2]))
+    assert [p[0] for p in phases] == pytest.approx([0, 200, 850]) and sum(p[1] for p in phases) == pytest.approx(1000)
+    assert phases[1][2] == pytest.approx([0, 0.6, 0.4]) and phases[2][3] == pytest.approx([100, 450, 300])
+
+
+def test_mixture_in_first_and_last_shards(spark):
+    docs = spark.range(300_000).selectExpr("id AS doc_id", "CASE WHEN id % 10 < 6 THEN 'a' WHEN id % 10 < 9 THEN 'b' ELSE 'c' END AS source", "1 + id % 7 % 5 AS n_tokens")
+    specs, targets = spark.createDataFrame([("p", 10)], "pack_name string, capacity_tokens bigint"), spark.createDataFrame([("a", 0.6, 1), ("b", 0.3, 1), ("c", 0.1, 1)], T)
+    out = pack(docs, specs, targets, shard_tokens=800).cache()
+    assert out.selectExpr("max(shard)").first()[0] > 950 and out.selectExpr("sum(token_count)").first()[0] == docs.selectExpr("sum(n_tokens)").first()[0]
+    # a container is in one window
+    assert out.groupBy("container_id").agg({"window_no": "max"}).join(out.groupBy("container_id").agg({"window_no": "min"}), "container_id").filter("`max(window_no)` <> `min(window_no)`").isEmpty()
+    report = window_report(out, targets).toPandas()
+    going = report[~report.runs_out]
+    assert set(report.shard) == set(range(report.shard.max() + 1)) and (going[going.shard == 0].shape[0], going[going.shard > 940].shape[0]) > (0, 0)
+    assert (going.share - going.target_share).abs().max() < 0.02 and going.debt.abs().max() < 12
+    out.unpersist()
+
+
 def test_best_fit_keeps_open_room():
     room = [(30, 0), (50, 1)]
     placed, fresh = best_fit([(30, 7), (45, 8), (90, 9)], 100, room, 2)
