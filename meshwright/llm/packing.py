@@ -45,6 +45,8 @@ SHARD_TOKENS = 8_000_000
 WINDOW_CONTAINERS, LEAST_FILL = 64, 0.95
 #: Sources with a target share: their stream positions are sent to tasks as a table of at most so many squared rows.
 MOST_SOURCES = 256
+#: Partitions that shards are spread over.
+MOST_TASKS = 20_000
 MOST_FIXED_ROWS = 10_000
 OTHERS = "(others)"
 
@@ -270,6 +272,8 @@ def pack(sizes: DataFrame, specs: DataFrame, targets: DataFrame, *, shard_tokens
 
     # ids go through as text, which keeps them whole if some are null
     rows = rows.select("shard", F.col("doc_id").cast("string").alias("doc_id"), "source", "n_tokens", "q", "before")
+    # rows are thin and shards take time: partitions are made by shards, not by bytes
+    rows = rows.repartition(min(shards, MOST_TASKS), "shard")
     placed = rows.groupBy("shard").applyInPandas(run, PLACEMENT.replace("doc_id bigint", "doc_id string"))
     return placed.withColumn("doc_id", F.col("doc_id").cast("bigint"))
 
