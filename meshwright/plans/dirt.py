@@ -43,7 +43,7 @@ def p4_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p4_alternatives(spark: SparkSession, d: str) -> DataFrame:
-    return schemadrift.alternatives(table(spark, d, "feed_records"), table(spark, d, "field_aliases"))
+    return schemadrift.alternatives(table(spark, d, "feed_records"))
 
 
 def p4_sites(spark: SparkSession, d: str) -> DataFrame:

@@ -47,8 +47,9 @@ def test_table_and_alternatives(spark):
     aliases = spark.createDataFrame(ALIASES, "alias_name string, site_field string")
     rows = {r.file_seq: r for r in consistent_table(_feed(spark, files), aliases).collect()}
     assert rows[1].latitude == 1.5 and rows[2].latitude == 1.5 and rows[2].altitude == 12.0 and rows[3].altitude == 13.0 and rows[3].latitude is None
-    assert json.loads(rows[2].branches) == {"altitude:string": "12"} and json.loads(rows[3].branches) == {"latitude:string": "bad"} and json.loads(rows[2].other_fields) == {"note": "x"}
-    got = {(r.field_name, r.kind): (r.first_file, r.last_file) for r in alternatives(_feed(spark, files), aliases).collect()}
+    assert rows[2].altitude_string == "12" and rows[3].latitude_string == "bad" and rows[2].latitude_string is None and rows[3].altitude_string is None
+    assert json.loads(rows[2].other_fields) == {"note": "x"}
+    got = {(r.field_name, r.kind): (r.first_file, r.last_file) for r in alternatives(_feed(spark, files)).collect()}
     assert got["y_deg", "number"] == (2, 2) and got["y_deg", "string"] == (3, 3) and got["name", "string"] == (1, 3)
 
 
@@ -56,3 +57,16 @@ def test_records_without_ids(spark):
     feed = spark.createDataFrame([(None, 1, 1, '{"name": "a", "lat": "1 N"}'), (None, 1, 1, '{"name": "a", "lat": "1 N"}'), (None, 1, 1, '{"name": "b"}'), (5, None, 1, '{"name": "c"}')], "record_id bigint, feed_id bigint, file_seq bigint, payload string")
     got = sorted((r.site_name, r.latitude) for r in consistent_table(feed, spark.createDataFrame(ALIASES, "alias_name string, site_field string")).collect())
     assert got == [("a", 1.0), ("b", None)]
+
+
+def test_meaning_over_many_renames(spark):
+    files = [(i, [{"name": "a", n: 1.5}, {"name": "b", n: 2.5}]) for i, n in enumerate(["lat", "u1", "u2", "u3", "u4", "u5", "u6"])]
+    rows = consistent_table(_feed(spark, files), spark.createDataFrame(ALIASES, "alias_name string, site_field string")).collect()
+    assert {r.latitude for r in rows if r.site_name == "a"} == {1.5} and {r.latitude for r in rows if r.site_name == "b"} == {2.5} and len(rows) == 14
+
+
+def test_typed_branches(spark):
+    files = [(1, [{"name": 7, "lat": True, "alt": [1], "y": None, "Z": 1, "z ": 2}, None, {}])]
+    rows = consistent_table(_feed(spark, files), spark.createDataFrame(ALIASES, "alias_name string, site_field string")).orderBy("record_id").collect()
+    assert len(rows) == 3 and rows[1].site_name is None and rows[2].other_fields in (None, "{}")
+    assert rows[0].site_name_number == 7.0 and rows[0].latitude_boolean is True and rows[0].altitude is None and json.loads(rows[0].other_fields) == {"alt": "[1]", "z": "1.0"}
