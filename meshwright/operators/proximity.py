@@ -8,9 +8,10 @@ wanted distance) and for regions (radius = the region's circumscribed circle) al
 regions the exact point-in-polygon test, decide on what the tree returns.
 
 Pivots only cut the work: any choice gives the same rows. They are the points with the lowest hashes, one for about
-CELL_ROWS distinct places and at most MOST_PIVOTS, which bounds what tasks get sent. A cell of more than BLOCK_ROWS
-points is joined in blocks, so no task gets a whole hot cell. Recordings of one site at one place are joined once and
-expanded afterwards by equi-joins.
+CELL_ROWS distinct places and at most MOST_PIVOTS, which bounds what tasks get sent; tasks find the nearest pivot and all
+those in reach by a vantage-point tree over the pivots, in a time that grows with their logarithm. A cell of more than
+BLOCK_ROWS points is cut into blocks and each pair of blocks is joined once, so no task gets a whole hot cell. Recordings
+of one site at one place are joined once and expanded afterwards by equi-joins.
 
 Defined results
 ---------------
@@ -31,11 +32,11 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from meshwright.tables import name_key
+from meshwright.tables import checkpoint, name_key
 
 EARTH_M = 6_371_000.0
 NODATA = -32768.0
-CELL_ROWS, MOST_PIVOTS, BLOCK_ROWS, LEAF = 2_000, 32_768, 20_000, 48
+CELL_ROWS, MOST_PIVOTS, BLOCK_ROWS, LEAF = 2_000, 262_144, 20_000, 48
 #: Slack in metres on the partition's bounds, over the rounding error of distances.
 SLACK_M = 0.01
 
@@ -67,6 +68,24 @@ class VantagePointTree:
         a, b = ids[near], ids[~near]
         return top, d[near].max(), d[~near].min(), self._build(a), self._build(b)
 
+    def upper_bound(self, lat: np.ndarray, lon: np.ndarray) -> np.ndarray:
+        """For each query the distance of some point near it, at least that of its nearest one."""
+        out, stack = np.full(len(lat), np.inf), [(self.root, np.arange(len(lat)))]
+        while stack:
+            node, q = stack.pop()
+            if not len(q):
+                continue
+            if isinstance(node, np.ndarray):
+                step = max(1, 2_000_000 // max(len(node), 1))
+                for i in range(0, len(q), step):
+                    part = q[i : i + step]
+                    out[part] = great_circle(lat[part, None], lon[part, None], self.lat[None, node], self.lon[None, node]).min(1)
+                continue
+            top, near_max, far_min, near, far = node
+            closer = great_circle(self.lat[top], self.lon[top], lat[q], lon[q]) * 2 <= near_max + far_min
+            stack += [(near, q[closer]), (far, q[~closer])]
+        return out
+
     def query(self, lat: np.ndarray, lon: np.ndarray, radius: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         """Pairs of a query's and a point's index no farther apart than the query's radius, batch by batch."""
         stack = [(self.root, np.arange(len(lat)))] if len(self.lat) and len(lat) else []
@@ -89,58 +108,33 @@ class VantagePointTree:
                 stack.append((far, outside))
 
 
-def _unit(lat: np.ndarray, lon: np.ndarray) -> np.ndarray:
-    return np.stack([np.cos(lat) * np.cos(lon), np.cos(lat) * np.sin(lon), np.sin(lat)], 1)
+def cells_within(pivots: VantagePointTree, lat: np.ndarray, lon: np.ndarray, reach: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Pairs of an object and a cell that its ball of radius `reach` may meet, and whether the cell is that of its nearest pivot.
 
-
-def _cells_within(lat: np.ndarray, lon: np.ndarray, reach: np.ndarray, pivots: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """For each object its nearest pivot (home), and pairs of an object and a cell that its ball of radius `reach` may meet.
-
-    Chords order pivots as arcs do and replace them here; bounds are arcs with slack.
+    Every object has its own cell among them; of equally near pivots the first is the nearest.
     """
-    home = np.empty(len(lat), np.int64)
-    who, cell = [], []
-    step = max(1, 4_000_000 // len(pivots))
-    for i in range(0, len(lat), step):
-        dots = _unit(lat[i : i + step], lon[i : i + step]) @ pivots.T
-        best = dots.argmax(1)
-        home[i : i + step] = best
-        # arc of a chord with a better conditioned formula for small angles
-        near = np.linalg.norm(_unit(lat[i : i + step], lon[i : i + step]) - pivots[best], axis=1)
-        arc = 2 * np.arcsin(np.minimum(near / 2, 1.0)) + (2 * reach[i : i + step] + SLACK_M + 1.0) / EARTH_M
-        bound = np.where(arc >= math.pi, -2.0, np.cos(np.minimum(arc, math.pi)) - 1e-13)
-        a, b = np.nonzero(dots >= bound[:, None])
-        who.append(a + i)
-        cell.append(b)
-    return home, np.concatenate(who) if who else np.empty(0, np.int64), np.concatenate(cell) if cell else np.empty(0, np.int64)
-
-
-def _assign(pivots: np.ndarray):
-    """Sends each object home and to the cells it may reach; home rows are the cell's points, the rest only ask."""
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            if pdf.empty:
-                continue
-            lat, lon = np.radians(pdf["lat"].to_numpy()), np.radians(pdf["lon"].to_numpy())
-            home, who, cell = _cells_within(lat, lon, pdf["reach"].to_numpy(), pivots)
-            region = pdf["region"].to_numpy()
-            # a point's own cell is always among those within its bound
-            out = pdf.iloc[who]
-            yield out.assign(cell=cell, is_home=(home[who] == cell) & ~region[who].astype(bool))
-
-    return run
-
-
-def _count_homes(pivots: np.ndarray):
-    """Points per cell, summed up within each batch."""
+    bound = pivots.upper_bound(lat, lon) + 2 * reach + SLACK_M
+    found = list(pivots.query(lat, lon, bound))
+    who, cell = (np.concatenate([x[i] for x in found]) if found else np.empty(0, np.int64) for i in (0, 1))
+    away = great_circle(lat[who], lon[who], pivots.lat[cell], pivots.lon[cell])
+    order = np.lexsort((cell, away, who))
+    who, cell, away = who[order], cell[order], away[order]
+    first = np.ones(len(who), bool)
+    first[1:] = who[1:] != who[:-1]
+    nearest = away[first][np.cumsum(first) - 1] if len(who) else away
+    keep = away <= nearest + 2 * reach[who] + SLACK_M
+    return who[keep], cell[keep], first[keep]
+
+
+def _assign(lat: np.ndarray, lon: np.ndarray):
+    """Sends each object to its own cell and to those it may reach."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        pivots = VantagePointTree(lat, lon)
         for pdf in batches:
             if len(pdf):
-                lat, lon = np.radians(pdf["lat"].to_numpy()), np.radians(pdf["lon"].to_numpy())
-                cell, n = np.unique(_cells_within(lat, lon, np.zeros(len(pdf)), pivots)[0], return_counts=True)
-                yield pd.DataFrame({"cell": cell, "n": n})
+                who, cell, own = cells_within(pivots, np.radians(pdf["lat"].to_numpy()), np.radians(pdf["lon"].to_numpy()), pdf["reach"].to_numpy())
+                yield pdf.iloc[who].assign(cell=cell, home=own)
 
     return run
 
@@ -163,55 +157,63 @@ def _ring(flat) -> np.ndarray | None:
     return ring[:-1] if (ring[0] == ring[-1]).all() else ring
 
 
-_PAIR = "kind string, a bigint, b bigint"
+_PAIR = "kind string, a bigint, a2 bigint, b bigint, b2 bigint"
 
 
 def _join_cell(pdf: pd.DataFrame, radius: float) -> pd.DataFrame:
-    """Radius join of one cell (or two of its blocks): askers against the home points of block `block`."""
-    home = pdf[pdf["points"]]
-    asks = pdf[pdf["asks"]]
-    kinds, left, right = [], [], []
-    if len(home) and len(asks):
-        lat, lon = np.radians(home["lat"].to_numpy()), np.radians(home["lon"].to_numpy())
+    """Radius join of one cell or of two of its blocks: what asks (part) against the cell's own points (block).
+
+    Points of two different blocks meet here only; others meet twice, and the one with the smaller key asks.
+    """
+    part, block = int(pdf["part"].iloc[0]), int(pdf["block"].iloc[0])
+    own, home, region = pdf["own"].to_numpy(), pdf["home"].to_numpy(), pdf["region"].to_numpy()
+    points = pdf[home & (own == block)]
+    asks = pdf[~region & (~home | (own == part))]
+    kinds, out = [], []
+    if len(points):
+        lat, lon = np.radians(points["lat"].to_numpy()), np.radians(points["lon"].to_numpy())
         tree = VantagePointTree(lat, lon)
-        ids, alt, site = home["id"].to_numpy(), home["alt"].to_numpy(float), home["site"].to_numpy()
-        points = asks[~asks["region"]]
-        q_ids, q_alt, q_site = points["id"].to_numpy(), points["alt"].to_numpy(float), points["site"].to_numpy()
-        q_lat, q_lon = np.radians(points["lat"].to_numpy()), np.radians(points["lon"].to_numpy())
-        for q, p in tree.query(q_lat, q_lon, np.full(len(points), radius)):
-            keep = (q_ids[q] < ids[p]) & (q_site[q] != site[p])
+        (p1, p2, s1, s2, alt), (q1, q2, t1, t2, q_alt) = ([df[c].to_numpy() for c in ("p1", "p2", "s1", "s2", "alt")] for df in (points, asks))
+        q_lat, q_lon, q_home = np.radians(asks["lat"].to_numpy()), np.radians(asks["lon"].to_numpy()), asks["home"].to_numpy()
+        for q, p in tree.query(q_lat, q_lon, np.full(len(asks), radius)):
+            once = (q1[q] < p1[p]) | ((q1[q] == p1[p]) & (q2[q] < p2[p]))
+            if part != block:
+                once |= q_home[q]
+            keep = once & ((t1[q] != s1[p]) | (t2[q] != s2[p]))
             q, p = q[keep], p[keep]
             ground = great_circle(q_lat[q], q_lon[q], lat[p], lon[p])
-            rise = np.nan_to_num(q_alt[q] - alt[p])
-            near = np.sqrt(ground**2 + rise**2) <= radius
-            kinds.append(np.full(near.sum(), "site", object))
-            left.append(q_ids[q[near]])
-            right.append(ids[p[near]])
-        deg_lat, deg_lon = home["lat"].to_numpy(), home["lon"].to_numpy()
-        areas = asks[asks["region"]]
-        for area, r_lat, r_lon, reach, outer, hole in areas[["id", "lat", "lon", "reach", "outer", "hole"]].itertuples(index=False, name=None):
+            near = np.sqrt(ground**2 + np.nan_to_num(q_alt[q] - alt[p]) ** 2) <= radius
+            q, p = q[near], p[near]
+            kinds.append(np.full(len(q), "site", object))
+            out.append((q1[q], q2[q], p1[p], p2[p]))
+        deg_lat, deg_lon = points["lat"].to_numpy(), points["lon"].to_numpy()
+        for area, r_lat, r_lon, reach, outer, hole in pdf.loc[region, ["p1", "lat", "lon", "reach", "outer", "hole"]].itertuples(index=False, name=None):
             hits = [p for _, p in tree.query(np.radians([r_lat]), np.radians([r_lon]), np.array([reach + SLACK_M]))]
             p = np.concatenate(hits) if hits else np.empty(0, np.int64)
             inside = _in_ring(deg_lon[p], deg_lat[p], _ring(outer))
             if (gap := _ring(hole)) is not None:
                 inside &= ~_in_ring(deg_lon[p], deg_lat[p], gap)
-            kinds.append(np.full(inside.sum(), "area", object))
-            left.append(np.full(inside.sum(), area))
-            right.append(ids[p[inside]])
-    join = lambda parts, kind: np.concatenate(parts).astype(kind) if parts else np.empty(0, kind)
-    return pd.DataFrame({"kind": join(kinds, object), "a": join(left, np.int64), "b": join(right, np.int64)})
+            p = p[inside]
+            kinds.append(np.full(len(p), "area", object))
+            out.append((np.full(len(p), area), np.zeros(len(p), np.int64), p1[p], p2[p]))
+    columns = [np.concatenate([x[i] for x in out]).astype(np.int64) if out else np.empty(0, np.int64) for i in range(4)]
+    return pd.DataFrame({"kind": np.concatenate(kinds) if kinds else np.empty(0, object), **dict(zip(("a", "a2", "b", "b2"), columns, strict=True))})
 
 
 def located(sites: DataFrame) -> DataFrame:
-    """Rows with a location: site_row, place (recordings of one site at one place have one), lat, lon, alt, site."""
+    """Rows with a location: site_row, lat, lon, alt, s1, s2 (site), p1, p2 (place: one site at one point).
+
+    Sites and places are known by two 64-bit hashes each; different ones agree in both once in 10^38.
+    """
     lat, lon = F.col("latitude"), F.col("longitude")
     ok = lat.between(-90, 90) & lon.between(-180, 180) & ~((lat == 0) & (lon == 0))
-    alone = F.concat(F.lit("row "), F.col("site_row").cast("string"))
-    site = F.coalesce(F.to_json(F.struct(F.when(F.col("plan_id").isNotNull(), name_key("site_name")).alias("n"), "plan_id"), {"ignoreNullFields": "false"}), alone)
-    site = F.when(F.col("plan_id").isNotNull() & name_key("site_name").isNotNull(), site).otherwise(alone)
+    key = name_key("site_name")
+    site = lambda seed: F.when(F.col("plan_id").isNotNull() & key.isNotNull(), F.xxhash64(F.lit(seed), "plan_id", F.lit("/"), key)).otherwise(F.xxhash64(F.lit(seed), F.lit("row"), "site_row"))
     alt = F.when((F.col("altitude") != NODATA) & ~F.isnan("altitude"), F.col("altitude"))
     # -0.0 and 0.0 are one place
-    return sites.filter(ok & F.col("site_row").isNotNull()).select("site_row", (lat + F.lit(0.0)).alias("lat"), (lon + F.lit(0.0)).alias("lon"), (alt + F.lit(0.0)).alias("alt"), site.alias("site"))
+    rows = sites.filter(ok & F.col("site_row").isNotNull()).select("site_row", (lat + F.lit(0.0)).alias("lat"), (lon + F.lit(0.0)).alias("lon"), (alt + F.lit(0.0)).alias("alt"), site(0).alias("s1"), site(1).alias("s2"))
+    place = lambda seed: F.xxhash64(F.lit(seed), "s1", "s2", "lat", "lon", "alt")
+    return rows.withColumns({"p1": place(0), "p2": place(1)})
 
 
 def region_balls(areas: DataFrame) -> DataFrame:
@@ -239,10 +241,6 @@ def near_and_inside(sites: DataFrame, areas: DataFrame, radius: float = 25.0, *,
     Returns match_kind (site, area), key_a, key_b.
     """
     rows = located(sites)
-    # a place is one site at one point, however often it was recorded; it is named by its smallest row. Sites are compared
-    # by 64-bit hashes in the cells, where two sites of one hash (odds of 1 in 10^19 a pair) would count as one.
-    place = ["site", "lat", "lon", "alt"]
-    places = rows.groupBy(*place).agg(F.min("site_row").alias("id"))
     n = sites.count()
     few = min(MOST_PIVOTS, max(1, math.ceil(n / cell_rows)))
     hashed = rows.select("lat", "lon", F.xxhash64("lat", "lon").alias("h"))
@@ -252,38 +250,32 @@ def near_and_inside(sites: DataFrame, areas: DataFrame, radius: float = 25.0, *,
     chosen = lowest(hashed.filter(F.col("h") <= int(-(2**63) + part * (2**64 - 1025)))) or lowest(hashed)
     if not chosen:
         return rows.select(F.lit("site").alias("match_kind"), F.col("site_row").alias("key_a"), F.col("site_row").alias("key_b")).limit(0)
-    pivots = _unit(np.radians([r.lat for r in chosen]), np.radians([r.lon for r in chosen]))
-    empty = F.lit(None).cast("array<double>")
-    points = places.select("id", "lat", "lon", F.lit(float(radius)).alias("reach"), "alt", F.xxhash64("site").alias("site"), F.lit(False).alias("region"), empty.alias("outer"), empty.alias("hole"))
-    regions = region_balls(areas).select("id", "lat", "lon", "reach", F.lit(None).cast("double").alias("alt"), F.lit(0).cast("bigint").alias("site"), F.lit(True).alias("region"), "outer", "hole")
-    objects = points.unionAll(regions)
-    fields = "id bigint, lat double, lon double, reach double, alt double, site bigint, region boolean, outer array<double>, hole array<double>"
-    sent = objects.mapInPandas(_assign(pivots), fields + ", cell bigint, is_home boolean")
-    # cells with more points than a block holds are joined block by block: askers go to every block, points to their own
-    homes = places.select("lat", "lon").mapInPandas(_count_homes(pivots), "cell bigint, n bigint")
-    sizes = homes.groupBy("cell").agg(F.sum("n").alias("n")).filter(F.col("n") > block_rows).collect()  # at most one row a pivot
-    blocks = {r["cell"]: math.ceil(r["n"] / block_rows) for r in sizes}
-    of_cell = F.coalesce(F.create_map(*(F.lit(x) for kv in blocks.items() for x in kv))[F.col("cell")], F.lit(1)) if blocks else F.lit(1)
-    own = F.pmod(F.xxhash64("id"), of_cell)
-    asked = F.explode(F.sequence(F.lit(0), (of_cell - 1).cast("int"))).alias("block")
-    if blocks:
-        split = sent.withColumn("own", own.cast("int")).select("*", asked)
-        split = split.withColumns({"points": F.col("is_home") & (F.col("own") == F.col("block")), "asks": F.lit(True)})
-        # askers of a hot cell are split as well, each part meeting every block
-        split = split.withColumn("part", F.when(of_cell > 1, F.col("own")).otherwise(0))
-        only_points = split.filter("points").select("*", F.explode(F.sequence(F.lit(0), (of_cell - 1).cast("int"))).alias("to")).drop("part").withColumnRenamed("to", "part").withColumn("asks", F.lit(False))
-        split = split.withColumn("points", F.lit(False)).unionByName(only_points.select(*split.columns))
+    send = _assign(np.radians([r.lat for r in chosen]), np.radians([r.lon for r in chosen]))
+    places = rows.groupBy("s1", "s2", "lat", "lon", "alt").agg(F.first("p1").alias("p1"), F.first("p2").alias("p2"))
+    fields = "p1 bigint, p2 bigint, s1 bigint, s2 bigint, lat double, lon double, alt double, reach double"
+    points = places.withColumn("reach", F.lit(float(radius))).select("p1", "p2", "s1", "s2", "lat", "lon", "alt", "reach").mapInPandas(send, fields + ", cell bigint, home boolean")
+    points = checkpoint(points)  # read to count the cells, and to join
+    hot = points.filter("home").groupBy("cell").agg(F.ceil(F.count(F.lit(1)) / block_rows).alias("blocks")).filter("blocks > 1")
+    regions = region_balls(areas).select(F.col("id").alias("p1"), "lat", "lon", "reach", "outer", "hole")
+    regions = regions.mapInPandas(send, "p1 bigint, lat double, lon double, reach double, outer array<double>, hole array<double>, cell bigint, home boolean")
+    none = lambda kind: F.lit(None).cast(kind)
+    rings = none("array<double>")
+    points = points.select("*", F.lit(False).alias("region"), rings.alias("outer"), rings.alias("hole"))
+    zero = F.lit(0).cast("bigint")
+    regions = regions.select("p1", zero.alias("p2"), zero.alias("s1"), zero.alias("s2"), "lat", "lon", none("double").alias("alt"), "reach", "cell", F.lit(False).alias("home"), F.lit(True).alias("region"), "outer", "hole")
+    sent = points.unionAll(regions)
+    if hot.isEmpty():
+        sent = sent.withColumns({"own": F.lit(0), "part": F.lit(0), "block": F.lit(0)})
     else:
-        split = sent.withColumns({"own": F.lit(0), "block": F.lit(0), "points": F.col("is_home"), "asks": F.lit(True), "part": F.lit(0)})
-    pairs = split.groupBy("cell", "block", "part").applyInPandas(lambda pdf: _join_cell(pdf, radius), _PAIR)
+        sent = sent.join(hot, "cell", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
+        sent = sent.withColumn("own", F.pmod(F.xxhash64("p1", "p2"), F.col("blocks")).cast("int"))
+        sent = sent.withColumn("k", F.explode(F.sequence(F.lit(0), (F.col("blocks") - 1).cast("int")))).drop("blocks")
+        sent = sent.withColumns({"part": F.least("own", "k"), "block": F.when(F.col("home"), F.greatest("own", "k")).otherwise(F.col("k"))}).drop("k")
+    pairs = sent.groupBy("cell", "part", "block").applyInPandas(lambda pdf: _join_cell(pdf, radius), _PAIR)
     # from places back to their recordings; a region stands for itself
-    same = [rows["site"] == places["site"], rows["lat"] == places["lat"], rows["lon"] == places["lon"], rows["alt"].eqNullSafe(places["alt"])]
-    members = rows.join(places, same).select(places["id"].alias("place"), "site_row")
-    firsts = members.select(F.lit("site").alias("kind"), F.col("place").alias("a"), F.col("site_row").alias("x"))
-    firsts = firsts.unionAll(region_balls(areas).select(F.lit("area"), "id", "id"))
-    found = pairs.join(members.select(F.col("place").alias("b"), F.col("site_row").alias("y")), "b").join(firsts, ["kind", "a"])
-    is_site = F.col("kind") == "site"
-    return found.select(
-        F.col("kind").alias("match_kind"), F.when(is_site, F.least("x", "y")).otherwise(F.col("x")).alias("key_a"),
-        F.when(is_site, F.greatest("x", "y")).otherwise(F.col("y")).alias("key_b"),
-    )
+    members = rows.select(F.col("p1").alias("b"), F.col("p2").alias("b2"), F.col("site_row").alias("y"))
+    firsts = rows.select("p1", "p2", F.col("site_row").alias("x"))
+    found = pairs.join(members, ["b", "b2"])
+    both = found.filter("kind = 'site'").join(firsts.withColumnsRenamed({"p1": "a", "p2": "a2"}), ["a", "a2"])
+    both = both.select("kind", F.least("x", "y").alias("key_a"), F.greatest("x", "y").alias("key_b"))
+    return both.unionAll(found.filter("kind = 'area'").select("kind", "a", "y")).withColumnRenamed("kind", "match_kind")
