@@ -1,8 +1,10 @@
 """Problem 3: rows that fail to parse.
 
 A recursive-descent grammar reads delimited text and recovers from errors: after a broken quote it resumes at the next
-line start that validates as the start of a record, so one bad record never swallows the ones behind it. Every record
-comes out typed, every error with its reason and place. The grammar is
+line start that validates as the start of a record (as many fields as the header, the first of them valid), so one bad
+record never swallows the ones behind it. Every record comes out typed, every error with its reason and place, and a text
+may give several of both. The search for such a start reads no more fields than a record has, so its time grows with the
+text's length times the number of columns. The grammar is
 
     text    := record (line-break record)*
     record  := field (',' field)*
@@ -15,6 +17,8 @@ Defined results
 * Null text counts as an empty line: one empty field, so `field_count` unless the header has one column.
 * Empty tables give empty results; repeated lines are each returned.
 * A line whose file has no header is in error with reason `no_header`.
+* A line break outside quotes ends a record: records behind it are typed, and the line has the error `line_break`.
+* Records read behind an error in the same line are typed, but the line stays in error.
 * Very long lines are read whole. Extra columns of the input are ignored.
 """
 
@@ -81,12 +85,15 @@ def _bare(text: str, at: int, line_end: int, record: Record) -> int:
     return end
 
 
-def read_record(text: str, at: int) -> Record:
-    """Reads one record that starts at `at`; its end is the offset behind its line break."""
+def read_record(text: str, at: int, most: int | None = None) -> Record:
+    """Reads one record that starts at `at`; its end is the offset behind its line break. It is in error beyond `most` fields."""
     record, i = Record(at), at
     line_end = text.find("\n", at)
     line_end = len(text) if line_end < 0 else line_end
     while True:
+        if most is not None and len(record.fields) >= most:
+            record.error, record.error_at = "field_count", i
+            return record
         while i < len(text) and text[i] in BLANKS:
             i += 1
         record.starts.append(i)
@@ -106,14 +113,14 @@ def read_record(text: str, at: int) -> Record:
         return record
 
 
-def read_text(text: str, anchor) -> Iterator[Record]:
-    """All records of a text. After a syntax error it resumes at the next line start whose record satisfies `anchor`."""
+def read_text(text: str, anchor, most: int | None = None) -> Iterator[Record]:
+    """All records of a text. After a syntax error it resumes at the next line start whose record, of `most` fields, satisfies `anchor`."""
     i, n = 0, len(text)
     while i < n or i == 0:
         record = read_record(text, i)
         if record.error:
             j = text.find("\n", i)
-            while j >= 0 and not (j + 1 < n and not (ahead := read_record(text, j + 1)).error and anchor(ahead)):
+            while j >= 0 and not (j + 1 < n and not (ahead := read_record(text, j + 1, most)).error and anchor(ahead)):
                 j = text.find("\n", j + 1)
             record.end = n if j < 0 else j + 1
         yield record
@@ -195,32 +202,57 @@ def header_fields(kind: str | None, header: str | None) -> list[str | None]:
     return [n if n in KINDS.get(kind or "", {}) else None for n in names]
 
 
-def parse_line(kind: str | None, columns: list[str | None], text: str | None) -> tuple[dict, str | None, str | None, int]:
-    """Typed values, and of the first error its reason, field and offset (0 without an error)."""
-    if not columns:
-        return {}, "no_header", None, 1
-    rules, text = KINDS.get(kind or "", {}), text or ""
-    records = list(read_text(text.rstrip("\r\n"), lambda r: len(r.fields) == len(columns)))
-    record = records[0]
+@dataclass
+class Parsed:
+    """A record's typed values, or the reason, field and offset (from 1) of its first error."""
+
+    values: dict = field(default_factory=dict)
+    reason: str | None = None
+    field: str | None = None
+    at: int = 0
+
+
+def _typed(record: Record, columns: list[str | None], rules: dict) -> Parsed:
     if record.error:
         name = columns[len(record.fields)] if len(record.fields) < len(columns) else None
-        return {}, record.error, name, record.error_at + 1
-    if len(record.fields) != len(columns) or len(records) > 1:
-        return {}, "field_count", None, record.starts[min(len(columns), len(record.fields)) - 1] + 1
+        return Parsed(reason=record.error, field=name, at=record.error_at + 1)
+    if len(record.fields) != len(columns):
+        return Parsed(reason="field_count", at=record.starts[min(len(columns), len(record.fields)) - 1] + 1)
     values: dict = {}
     for name, value, start in zip(columns, record.fields, record.starts, strict=True):
         if name is None:
             continue
         typed = rules[name](value)
         if typed is None:
-            return {}, "bad_" + name, name, start + 1
+            return Parsed(reason="bad_" + name, field=name, at=start + 1)
         if typed is not _BLANK:
             values[name] = typed
-    return values, None, None, 0
+    return Parsed(values)
 
 
-_OUT = "line_id bigint, file_name string, file_kind string, line_no bigint, " + ", ".join(f"`{k}` {v}" for k, v in TYPED.items())
-SCHEMA = _OUT + ", error_reason string, error_field string, error_at bigint, raw_line string"
+def parse_text(kind: str | None, columns: list[str | None], text: str | None) -> list[Parsed]:
+    """All records of a line's text, typed or in error; a break outside quotes is one more error."""
+    if not columns:
+        return [Parsed(reason="no_header", at=1)]
+    rules, text = KINDS.get(kind or "", {}), (text or "").rstrip("\r\n")
+    first = next((i for i, c in enumerate(columns) if c is not None), None)
+    anchor = lambda r: len(r.fields) == len(columns) and (first is None or rules[columns[first]](r.fields[first]) is not None)
+    records = list(read_text(text, anchor, len(columns)))
+    out = [_typed(r, columns, rules) for r in records]
+    if len(records) > 1 and not records[0].error:
+        out.insert(1, Parsed(reason="line_break", at=records[0].end))
+    return out
+
+
+def parse_line(kind: str | None, columns: list[str | None], text: str | None) -> tuple[dict, str | None, str | None, int]:
+    """Typed values of a line of one record, or of the line's first error its reason, field and offset (0 without an error)."""
+    parsed = parse_text(kind, columns, text)
+    bad = next((p for p in parsed if p.reason), None)
+    return ({}, bad.reason, bad.field, bad.at) if bad else (parsed[0].values, None, None, 0)
+
+
+_OUT = "line_id bigint, file_name string, file_kind string, line_no bigint, record_no bigint, " + ", ".join(f"`{k}` {v}" for k, v in TYPED.items())
+SCHEMA = _OUT + ", error_reason string, error_field string, error_at bigint, error_no bigint, line_ok boolean, raw_line string"
 
 
 def _parse(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -234,14 +266,20 @@ def _parse(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
                 if len(headers) > 10_000:
                     headers.clear()
                 columns = headers[kind, header] = header_fields(kind, header)
-            values, reason, field_name, at = parse_line(kind, columns, text)
-            rows.append((line_id, name, kind, no, *(values.get(k) for k in TYPED), reason, field_name, at, text))
-        out = pd.DataFrame(rows, columns=["line_id", "file_name", "file_kind", "line_no", *TYPED, "error_reason", "error_field", "error_at", "raw_line"])
-        yield out.astype({k: "Int64" for k in ("line_id", "line_no", "mcs")} | {k: "boolean" for k in ("power", "light")})
+            parsed = parse_text(kind, columns, text)
+            errors, ok = 0, all(p.reason is None for p in parsed)
+            for k, p in enumerate(parsed, 1):
+                errors += p.reason is not None
+                rows.append((line_id, name, kind, no, k, *(p.values.get(c) for c in TYPED), p.reason, p.field, p.at, errors if p.reason else None, ok, text))
+        out = pd.DataFrame(rows, columns=["line_id", "file_name", "file_kind", "line_no", "record_no", *TYPED, "error_reason", "error_field", "error_at", "error_no", "line_ok", "raw_line"])
+        yield out.astype({k: "Int64" for k in ("line_id", "line_no", "mcs", "error_no")} | {k: "boolean" for k in ("power", "light")})
 
 
 def parse_lines(lines: DataFrame) -> DataFrame:
-    """Typed records and located errors of all lines but headers, each line against the header (line 1) of its file."""
+    """Typed records and located errors of all lines but headers, each line against the header (line 1) of its file.
+
+    A row is a record (record_no within its line) or an error (error_no); line_ok tells if its line has no error at all.
+    """
     lines = lines.select("line_id", "file_name", "file_kind", "line_no", "raw_line")
     first = F.min_by("raw_line", "line_id").alias("header")
     headers = lines.filter("line_no = 1").groupBy("file_name").agg(first)

@@ -29,12 +29,28 @@ def p2_found(spark: SparkSession, d: str) -> DataFrame:
     return proximity.near_and_inside(table(spark, d, "sites"), table(spark, d, "areas"))
 
 
+def _parsed(spark: SparkSession, d: str) -> DataFrame:
+    return linegrammar.parse_lines(table(spark, d, "raw_lines")).filter("line_no > 1")
+
+
 def p3_found(spark: SparkSession, d: str) -> DataFrame:
-    return linegrammar.parse_lines(table(spark, d, "raw_lines")).filter("line_no > 1 and error_reason is not null").select("line_id")
+    """Lines in error, by the first error of each."""
+    return _parsed(spark, d).filter("error_no = 1").select("line_id")
 
 
 def p3_typed(spark: SparkSession, d: str) -> DataFrame:
-    return linegrammar.parse_lines(table(spark, d, "raw_lines"))
+    """Records of the lines without an error."""
+    return _parsed(spark, d).filter("line_ok").select("line_id", "file_name", "file_kind", "line_no", *linegrammar.TYPED)
+
+
+def p3_errors(spark: SparkSession, d: str) -> DataFrame:
+    """Located errors."""
+    return _parsed(spark, d).filter("error_reason is not null").select("line_id", "error_no", "error_reason", "error_field", "error_at", "raw_line")
+
+
+def p3_recovered(spark: SparkSession, d: str) -> DataFrame:
+    """Records that were read in lines with an error, before or behind it."""
+    return _parsed(spark, d).filter("not line_ok and error_reason is null").select("line_id", "record_no", *linegrammar.TYPED)
 
 
 def p4_found(spark: SparkSession, d: str) -> DataFrame:
@@ -58,7 +74,7 @@ def p5_converted(spark: SparkSession, d: str) -> DataFrame:
     return units.convert_units(table(spark, d, "mount_surveys"), table(spark, d, "survey_notes"))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_orphans_by_month, p2_found, p3_found, p3_typed, p4_found, p4_alternatives, p4_sites, p5_found, p5_converted)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_orphans_by_month, p2_found, p3_found, p3_typed, p3_errors, p3_recovered, p4_found, p4_alternatives, p4_sites, p5_found, p5_converted)}
 
 _CASES = """
 WITH e AS (

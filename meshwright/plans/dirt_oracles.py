@@ -68,7 +68,7 @@ def _angle(v: str, letters: str, most: int) -> str:
 
 
 _FIELD = r'[ \t]*("([^"]|"")*"[ \t]*|[^", \t][^,]*|)'
-P3_FOUND = f"""
+_P3 = f"""
 WITH hd AS (SELECT file_name, min(raw_line) AS header FROM raw_lines WHERE line_no = 1 GROUP BY 1),
 ln AS (SELECT line_id, file_kind, rtrim(raw_line, chr(13)) AS t, regexp_split_to_array(lower(replace(replace(header, chr(65279), ''), chr(13), '')), ',') AS cols FROM raw_lines JOIN hd USING (file_name) WHERE line_no > 1),
 gr AS (SELECT *, regexp_full_match(t, '(?s){_FIELD}(,{_FIELD})*') AS well, regexp_extract_all(t || ',', '(?s){_FIELD},') AS parts FROM ln),
@@ -83,6 +83,24 @@ ok AS (SELECT line_id, shaped AND CASE
     WHEN c = 'base_lon' THEN {_angle('v', 'EW', 180)}
     WHEN c IN ('power', 'light') THEN upper(v) IN ('TRUE', 'FALSE')
     WHEN c IN ('height', 'feet') THEN v = '' OR (regexp_full_match(v, '{_NUMBER}') AND TRY_CAST(v AS DOUBLE) >= 0)
-    WHEN c = 'type' THEN upper(split_part(v, ' ', 1)) IN ('POP', 'DN', 'CN') ELSE true END AS ok FROM tx)
-SELECT line_id FROM ok GROUP BY 1 HAVING NOT bool_and(coalesce(ok, false))"""
-ORACLES = {"p3_found": P3_FOUND, "p4_found": P4_FOUND, "p4_alternatives": P4_ALTERNATIVES, "p5_found": P5_FOUND}
+    WHEN c = 'type' THEN upper(split_part(v, ' ', 1)) IN ('POP', 'DN', 'CN') ELSE true END AS ok FROM tx)"""
+P3_FOUND = _P3 + "SELECT line_id FROM ok GROUP BY 1 HAVING NOT bool_and(coalesce(ok, false))"
+
+
+def _degrees(letters: str) -> str:
+    dms = rf"^({_UNSIGNED})[ \t]*°[ \t]*({_UNSIGNED})[ \t]*''[ \t]*({_UNSIGNED})[ \t]*\"".replace('\\"', '"')
+    part = lambda i: f"TRY_CAST(regexp_extract(v, '{dms}', {i}) AS DOUBLE)"
+    size = f"CASE WHEN regexp_matches(v, '{dms}') THEN {part(1)} + {part(4)} / 60 + {part(7)} / 3600 ELSE TRY_CAST(regexp_extract(v, '^({_UNSIGNED})', 1) AS DOUBLE) END"
+    return f"CASE WHEN regexp_full_match(v, '{_NUMBER}') THEN TRY_CAST(v AS DOUBLE) WHEN ends_with(v, '{letters[1]}') THEN -({size}) ELSE {size} END"
+
+
+_COLUMNS = {
+    **{f"m.{c}": (c, f"TRY_CAST(v AS {t})", f"file_kind = 'mcs' AND starts_with(c, '{c}')") for c, t in (("mcs", "DOUBLE"), ("snr", "DOUBLE"), ("mbps", "DOUBLE"), ("tx_backoff", "DOUBLE"))},
+    **{c: (c, x, f"file_kind <> 'mcs' AND c = '{c}'") for c, x in (
+        ("base_lat", _degrees("NS")), ("base_lon", _degrees("EW")), ("power", "upper(v) = 'TRUE'"), ("light", "upper(v) = 'TRUE'"), ("height", "TRY_CAST(v AS DOUBLE)"), ("feet", "TRY_CAST(v AS DOUBLE)"),
+        ("type", "upper(split_part(v, ' ', 1))"), ("remarks", "v"))},
+}
+P3_TYPED = _P3 + ", " + f"""ty AS (SELECT line_id, {", ".join(f"max(CASE WHEN {when} THEN {x} END) AS {c}" for c, x, when in _COLUMNS.values())} FROM tx GROUP BY 1),
+gd AS (SELECT line_id FROM ok GROUP BY 1 HAVING bool_and(coalesce(ok, false)))
+SELECT line_id, file_name, lower(trim(raw_lines.file_kind)) AS file_kind, line_no, CAST(mcs AS BIGINT) AS mcs, ty.* EXCLUDE (line_id, mcs) FROM gd JOIN ty USING (line_id) JOIN raw_lines USING (line_id)"""
+ORACLES = {"p3_found": P3_FOUND, "p3_typed": P3_TYPED, "p4_found": P4_FOUND, "p4_alternatives": P4_ALTERNATIVES, "p5_found": P5_FOUND}

@@ -1,6 +1,6 @@
 import pytest
 
-from meshwright.operators.linegrammar import header_fields, parse_line, parse_lines, read_text
+from meshwright.operators.linegrammar import header_fields, parse_line, parse_lines, parse_text, read_text
 
 LATLON = header_fields("latlon", "\ufeff base_lon , BASE_LAT,power,light,height,feet,type,remarks\r")
 MCS = header_fields("mcs", "snr_b, mcs_b,mbps_b,tx_backoff_b")
@@ -62,6 +62,25 @@ def test_recovery_at_validated_anchors():
     assert [(r.fields if not r.error else r.error) for r in lines] == [["a", "b"], "unclosed_quote", ["d", "e"], ["f", "g"]]
 
 
+def test_records_behind_an_error_are_typed():
+    rows = parse_text("mcs", ["mcs", "snr", "mbps", "tx_backoff"], '3,"broken,1,0\n4,4.5,67.5,0\nx,1\n5,5,115,0\n6,y,1,0')
+    assert [(p.reason, p.at, p.values.get("mcs")) for p in rows] == [("unclosed_quote", 3, None), (None, 0, 4), ("field_count", 30, None), (None, 0, 5), ("bad_snr", 44, None)]
+    assert [(p.reason, p.at) for p in parse_text("mcs", MCS, "1,2,3,0\n4,5,6,0")] == [(None, 0), ("line_break", 8), (None, 0)]
+
+
+def test_anchor_search_is_linear():
+    import time
+
+    def took(n):
+        text = '1,2,3,"' + 'a"b\n"c\n,"",\n' * n
+        began = time.process_time()
+        assert parse_text("mcs", MCS, text)[0].reason
+        return time.process_time() - began
+
+    took(100)
+    assert took(40_000) < 12 * took(8_000) + 0.2
+
+
 def test_table(spark):
     schema = "line_id bigint, file_name string, file_kind string, line_no bigint, raw_line string, header string"
     data = [
