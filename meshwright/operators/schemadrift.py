@@ -102,10 +102,10 @@ def values(feed: DataFrame) -> DataFrame:
 def file_schemas(feed: DataFrame) -> DataFrame:
     """Tagged union of each file: feed_id, file_seq, field and kinds, the set of its alternatives as bits of KINDS.
 
-    A file without any field has one row whose field is null. Sets of bits are combined before rows move.
+    Sets of bits are combined before rows move.
     """
     schemas = F.transform("entries", lambda e: F.struct(e["field"].alias("field"), F.schema_of_variant(e["value"]).alias("schema")))
-    long = _parsed(feed).select("feed_id", "file_seq", F.explode_outer(schemas).alias("e")).select("feed_id", "file_seq", "e.field", _kind(F.col("e.schema")).alias("kind"))
+    long = _parsed(feed).select("feed_id", "file_seq", F.explode(schemas).alias("e")).select("feed_id", "file_seq", "e.field", _kind(F.col("e.schema")).alias("kind"))
     bit = F.lit(0)
     for i, kind in enumerate(KINDS):
         bit = F.when(F.col("kind") == kind, 1 << i).otherwise(bit)
@@ -124,8 +124,9 @@ def _field_states(feed: DataFrame) -> DataFrame:
     """
     schemas = file_schemas(feed)
     order = Window.partitionBy("feed_id").orderBy("file_seq")
-    steps = schemas.select("feed_id", "file_seq").distinct().select("feed_id", "file_seq", F.lag("file_seq").over(order).alias("prev"), F.lead("file_seq").over(order).alias("next"))
-    both = schemas.filter("field is not null").join(steps, ["feed_id", "file_seq"])
+    files = feed.filter("feed_id is not null and file_seq is not null").select("feed_id", "file_seq").distinct()  # without a parse
+    steps = files.select("feed_id", "file_seq", F.lag("file_seq").over(order).alias("prev"), F.lead("file_seq").over(order).alias("next"))
+    both = schemas.join(steps, ["feed_id", "file_seq"])
     as_new, as_old = F.when(F.col("prev").isNotNull(), F.col("file_seq")), F.col("next")
     states = F.explode(F.array(F.struct(as_new.alias("to"), F.lit(True).alias("is_new")), F.struct(as_old.alias("to"), F.lit(False).alias("is_new")))).alias("s")
     states = both.select("feed_id", F.col("file_seq").alias("own"), "field", "kinds", states).filter("s.to is not null")
