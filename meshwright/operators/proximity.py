@@ -276,6 +276,6 @@ def near_and_inside(sites: DataFrame, areas: DataFrame, radius: float = 25.0, *,
     members = rows.select(F.col("p1").alias("b"), F.col("p2").alias("b2"), F.col("site_row").alias("y"))
     firsts = rows.select("p1", "p2", F.col("site_row").alias("x"))
     found = pairs.join(members, ["b", "b2"])
-    both = found.filter("kind = 'site'").join(firsts.withColumnsRenamed({"p1": "a", "p2": "a2"}), ["a", "a2"])
-    both = both.select("kind", F.least("x", "y").alias("key_a"), F.greatest("x", "y").alias("key_b"))
-    return both.unionAll(found.filter("kind = 'area'").select("kind", "a", "y")).withColumnRenamed("kind", "match_kind")
+    found = found.join(firsts, (F.col("a") == F.col("p1")) & (F.col("a2") == F.col("p2")) & (F.col("kind") == "site"), "left")
+    is_site = F.col("kind") == "site"
+    return found.select(F.col("kind").alias("match_kind"), F.when(is_site, F.least("x", "y")).otherwise(F.col("a")).alias("key_a"), F.when(is_site, F.greatest("x", "y")).otherwise(F.col("y")).alias("key_b"))
