@@ -6,12 +6,16 @@ graph is refused. The finished conversions are a small fixed table that values a
 canonical target.
 
 A value's unit comes, in this order, from its own text, from the survey's note on that column, or from the row: feet are
-feet, a height is in the unit in which it agrees best with the row's feet (metres without feet), a longitude is in
-decimal degrees if within 180, else in the finest unit that brings it there.
+feet, a height is in the unit in which it agrees best with the row's feet (metres without feet). A longitude is in
+decimal degrees if within 180, counted all around if within 360, in arc seconds if within 648,000; beyond, a whole number
+is in 1e-7 degrees (as encoders write them) and one with a fraction in 1e-6 degrees if that brings it within 180.
+Values of several parts (feet and inches; degrees, minutes and seconds) are converted part by part and summed up.
 
 Defined results
 ---------------
-* Null and blank values give no row. Values without a number, or with an unknown unit, keep unit and result null.
+* Null and blank values give no row. Values without a number keep unit and result null.
+* A stated but unknown unit is '?', its result is null, and it counts as another unit than the canonical one.
+* 1,234.5 and 1.234,5 and 1 234.5 are one number; a single comma or point is a decimal one.
 * Repeated rows are each returned; several notes of one survey count as one text.
 * Empty tables give empty results; other columns are ignored.
 """
@@ -30,7 +34,8 @@ EDGES = (
     ("in", "mm", 25.4, 0.0), ("in", "cm", 2.54, 0.0), ("ft", "in", 12.0, 0.0), ("yd", "ft", 3.0, 0.0), ("yd", "m", 0.9144, 0.0),
     ("ft", "m", 0.3048, 0.0),
     ("turn", "deg", 360.0, 0.0), ("turn", "gon", 400.0, 0.0), ("rad", "deg", 57.29577951308232, 0.0), ("deg", "arcmin", 60.0, 0.0),
-    ("arcmin", "arcsec", 60.0, 0.0), ("deg", "microdeg", 1e6, 0.0), ("microdeg", "e7deg", 10.0, 0.0), ("deg360", "deg", 1.0, -360.0),
+    ("arcmin", "arcsec", 60.0, 0.0), ("deg", "microdeg", 1e6, 0.0), ("microdeg", "e7deg", 10.0, 0.0), ("deg360", "deg", 1.0, -360.0), ("deg360", "turn", 1 / 360, -1.0),
+    ("degneg360", "deg", 1.0, 360.0),
 )
 
 #: Spellings of units in values, in lower case. Fixed values.
@@ -93,14 +98,19 @@ def conversion_table(spark: SparkSession, edges=EDGES) -> DataFrame:
     return spark.createDataFrame([(a, b, *f) for (a, b), f in compositions(edges).items()], "source_unit string, target_unit string, scale double, shift double")
 
 
-_NUMBER = r"([+-]?\d+(?:[.,]\d+)?(?:[eE][+-]?\d+)?)"
+_GAP = r"[ '’\u00a0\u202f]"
+_NUMBER = rf"([+-]?(?:\d{{1,3}}(?:,\d{{3}})+\.\d+|\d{{1,3}}(?:\.\d{{3}})+,\d+|\d{{1,3}}(?:,\d{{3}}){{2,}}|\d{{1,3}}(?:\.\d{{3}}){{2,}}|\d{{1,3}}(?:{_GAP}\d{{3}})+(?:[.,]\d+)?|\d+(?:[.,]\d+)?)(?:[eE][+-]?\d+)?)"
 _PLAIN = rf"^(?:ca\.?|circa|approx\.?|about|~|≈)?\s*{_NUMBER}\s*(.*?)\s*\.?$"
 _FEET_INCHES = r"(?i)^(?:ca\.?|circa|approx\.?|about|~|≈)?\s*(\d+)\s*(?:'|′|ft\.?|feet|foot)\s*(\d+(?:\.\d+)?)\s*(?:\"|″|''|in\.?|inch(?:es)?)?$"
 _DMS = r"(?i)^(\d+)\s*(?:°|deg)?\s*(\d+(?:\.\d+)?)\s*(?:'|′|min)\s*(?:(\d+(?:\.\d+)?)\s*(?:\"|″|''|sec)?)?\s*([ew]?)$"
 
 
 def _as_double(text: Column) -> Column:
-    return F.when(text != "", F.regexp_replace(text, ",", ".").cast("double"))
+    """A number with a decimal comma or point and any thousands separators; null for an empty text."""
+    plain = F.regexp_replace(text, _GAP, "")
+    plain = F.regexp_replace(plain, r"^([+-]?\d{1,3})([.,])(\d{3})\2(\d{3})(?!\d)", "$1$3$4")
+    plain = F.regexp_replace(plain, r"[.,](?=\d{3}[.,]\d)", "")
+    return F.replace(plain, F.lit(","), F.lit(".")).try_cast("double")
 
 
 #: What a note says of a column, in the order tried; "not X" is taken out before. Fixed patterns.
@@ -147,23 +157,38 @@ def note_units(notes: DataFrame) -> DataFrame:
     return notes.select("survey_id", height.alias("height"), feet.alias("feet"), lon.alias("base_lon"))
 
 
-def read_value(field_name: str, text: Column) -> tuple[Column, Column]:
-    """Number and unit of a value's text; the unit is null if the text names none and '?' if it is unknown."""
-    text = F.trim(text)
-    number = _as_double(F.regexp_extract(text, _PLAIN, 1))
-    tail = F.lower(F.regexp_extract(text, _PLAIN, 2))
+#: Parts a value can have, with the units of the smaller ones by the label of the whole.
+PARTS = {"ft_in": ("ft", "in", None), "dms": ("deg", "arcmin", "arcsec")}
+
+
+def read_values(rows: DataFrame, fields: Iterable[str]) -> DataFrame:
+    """Adds what each field's text says: {field}_n, _n2, _n3 (sizes of its parts), _sign, and _u, its unit.
+
+    The unit is null if the text names none and '?' if it is unknown. Columns are added in steps, so that each pattern is
+    matched once.
+    """
     spelt = F.create_map(*(F.lit(x) for unit, names in SPELLINGS.items() for name in names for x in (name, unit)))
-    unit = F.when(tail == "", F.lit(None)).otherwise(F.coalesce(spelt[tail], F.lit("?")))
-    if field_name == "base_lon":
-        part = [F.regexp_extract(text, _DMS, i) for i in range(1, 5)]
-        whole = F.coalesce(_as_double(part[0]), F.lit(0.0)) + F.coalesce(_as_double(part[1]), F.lit(0.0)) / 60 + F.coalesce(_as_double(part[2]), F.lit(0.0)) / 3600
-        sign = lambda letter: F.when(F.lower(letter) == "w", -1.0).otherwise(1.0)
-        west = F.when(tail.endswith("w"), -1.0).otherwise(1.0)
-        is_dms = (part[0] != "") & (part[1] != "")
-        return F.when(is_dms, whole * sign(part[3])).otherwise(number * west), F.when(is_dms, "dms").when(number.isNotNull(), unit)
-    feet, inches = (_as_double(F.regexp_extract(text, _FEET_INCHES, i)) for i in (1, 2))
-    is_both = feet.isNotNull() & inches.isNotNull()
-    return F.when(is_both, feet + inches / 12).otherwise(number), F.when(is_both, "ft_in").when(number.isNotNull(), unit)
+    texts: dict[str, Column] = {}
+    numbers: dict[str, Column] = {}
+    parts: dict[str, Column] = {}
+    for f in fields:
+        whole = _DMS if f == "base_lon" else _FEET_INCHES
+        texts |= {f"{f}_t0": F.regexp_extract(F.trim(f), _PLAIN, 1), f"{f}_tail": F.lower(F.regexp_extract(F.trim(f), _PLAIN, 2))}
+        texts |= {f"{f}_t{i}": F.regexp_extract(F.trim(f), whole, i) for i in range(1, 5 if f == "base_lon" else 3)}
+        numbers |= {f"{f}_x{i}": _as_double(F.col(f"{f}_t{i}")) for i in range(4 if f == "base_lon" else 3)}
+        if f == "base_lon":
+            numbers[f"{f}_letter"] = F.lower(F.col(f"{f}_t4"))
+        compound = F.col(f"{f}_x1").isNotNull() & F.col(f"{f}_x2").isNotNull()
+        parts |= {f"{f}_n": F.when(compound, F.col(f"{f}_x1")).otherwise(F.col(f"{f}_x0")), f"{f}_n2": F.when(compound, F.col(f"{f}_x2"))}
+        unit = F.when(F.col(f"{f}_x0").isNotNull() & (F.col(f"{f}_tail") != ""), F.coalesce(spelt[F.col(f"{f}_tail")], F.lit("?")))
+        parts[f"{f}_u"] = F.when(compound, "dms" if f == "base_lon" else "ft_in").otherwise(unit)
+        if f == "base_lon":
+            west = F.when(compound, F.col(f"{f}_letter") == "w").otherwise(F.col(f"{f}_tail").endswith("w"))
+            parts |= {f"{f}_n3": F.when(compound, F.col(f"{f}_x3")), f"{f}_sign": F.when(west, -1.0).otherwise(1.0)}
+        else:
+            parts |= {f"{f}_n3": F.lit(None).cast("double"), f"{f}_sign": F.lit(1.0)}
+    rows = rows.withColumns(texts).withColumns(numbers).withColumns(parts)
+    return rows.drop(*texts, *numbers)
 
 
 #: Units a bare height can be in; with others a note or the value says so.
@@ -179,44 +204,53 @@ def _height_by_feet(height: Column, feet_in_m: Column, table: dict) -> Column:
     return F.when(usable, F.array_min(errors)["unit"]).otherwise(F.lit("m"))
 
 
-def _lon_by_size(lon: Column) -> Column:
+def _lon_by_size(lon: Column, text: Column) -> Column:
     size = F.abs(lon)
-    return F.when(size <= 180, "deg").when(size <= 180 * 3600, "arcsec").when(size <= 180e6, "microdeg").otherwise("e7deg")
+    around = F.when(lon > 0, "deg360").otherwise("degneg360")
+    whole = F.when(~text.rlike(r"[.,]\d"), "e7deg")
+    return F.when(size <= 180, "deg").when(size <= 360, around).when(size <= 180 * 3600, "arcsec").otherwise(F.coalesce(whole, F.when(size <= 180e6, "microdeg").otherwise("e7deg")))
 
 
 def convert_units(measured: DataFrame, notes: DataFrame) -> DataFrame:
     """All values of height, feet and base_lon in metres, feet and decimal degrees.
 
-    Returns meas_id, field_name, raw_value, number, source_unit, target_unit, how (value, note or row) and value.
+    Returns meas_id, field_name, raw_value, number (of its first part), source_unit, target_unit, how (value, note or row),
+    value, and as_recorded: the conversion found is the identity.
     """
     table = compositions()
     spark = measured.sparkSession
     said = note_units(notes).select("survey_id", *(F.col(f).alias(f"note_{f}") for f in CANONICAL))
     rows = measured.select("meas_id", "survey_id", *CANONICAL).join(said, "survey_id", "left")
-    read: dict[str, Column] = {}
-    for f in CANONICAL:
-        read[f"{f}_n"], read[f"{f}_u"] = read_value(f, F.col(f))
-    rows = rows.withColumns(read)
+    rows = read_values(rows, CANONICAL)
     how = {f"{f}_how": F.when(F.col(f"{f}_u").isNotNull(), "value").when(F.col(f"note_{f}").isNotNull(), "note").otherwise("row") for f in CANONICAL}
     rows = rows.withColumns(how)
     rows = rows.withColumn("feet_u", F.coalesce("feet_u", "note_feet", F.lit("ft")))
     in_m = F.create_map(*(F.lit(x) for u in ("m", "km", "dm", "cm", "mm", "in", "ft", "yd") for x in (u, table[u, "m"][0])), F.lit("ft_in"), F.lit(table["ft", "m"][0]))
-    feet_in_m = F.col("feet_n") * in_m[F.col("feet_u")]
+    feet_in_m = F.col("feet_n") * in_m[F.col("feet_u")] + F.coalesce(F.col("feet_n2") * F.lit(table["in", "m"][0]), F.lit(0.0))
     rows = rows.withColumns({
         "height_u": F.coalesce("height_u", "note_height", F.when(feet_in_m.isNull(), "m").otherwise(_height_by_feet(F.col("height_n"), feet_in_m, table))),
-        "base_lon_u": F.coalesce("base_lon_u", "note_base_lon", _lon_by_size(F.col("base_lon_n"))),
+        "base_lon_u": F.coalesce("base_lon_u", "note_base_lon", _lon_by_size(F.col("base_lon_n"), F.col("base_lon"))),
     })
     long = rows.select("meas_id", F.explode(F.array(*(
-        F.struct(F.lit(f).alias("field_name"), F.col(f).alias("raw_value"), F.col(f"{f}_n").alias("number"), F.when(F.col(f"{f}_n").isNotNull(), F.col(f"{f}_u")).alias("source_unit"), F.lit(to).alias("target_unit"), F.col(f"{f}_how").alias("how"))
-        for f, to in CANONICAL.items()))).alias("x")).select("meas_id", "x.*").filter("trim(raw_value) <> ''")
-    # compound values are already summed up in the larger unit
-    joined_on = F.when(F.col("source_unit") == "ft_in", "ft").when(F.col("source_unit") == "dms", "deg").otherwise(F.col("source_unit"))
-    fixed = F.broadcast(conversion_table(spark))  # a fixed table
-    out = long.withColumn("unit", joined_on).join(fixed.withColumnRenamed("source_unit", "unit"), ["unit", "target_unit"], "left")
-    value = F.col("number") * F.col("scale") + F.col("shift")
-    return out.select("meas_id", "field_name", "raw_value", "number", "source_unit", "target_unit", "how", value.alias("value"))
+        F.struct(
+            F.lit(f).alias("field_name"), F.col(f).alias("raw_value"), *(F.col(f"{f}_{k}").alias(k) for k in ("n", "n2", "n3", "sign")),
+            F.when(F.col(f"{f}_n").isNotNull(), F.col(f"{f}_u")).alias("source_unit"), F.lit(to).alias("target_unit"), F.col(f"{f}_how").alias("how"),
+        ) for f, to in CANONICAL.items()))).alias("x")).select("meas_id", "x.*").filter("trim(raw_value) <> ''")
+    # each part is joined with the conversion of its own unit
+    whole = F.col("source_unit").isin(*PARTS)
+    unit = lambda i: F.create_map(*(F.lit(x) for k, units in PARTS.items() if units[i] for x in (k, units[i])))[F.col("source_unit")]
+    out = long.withColumns({"u": F.when(whole, unit(0)).otherwise(F.col("source_unit")), "u2": unit(1), "u3": unit(2)})
+    for i in ("", "2", "3"):
+        fixed = F.broadcast(conversion_table(spark).select(F.col("source_unit").alias(f"u{i}"), "target_unit", F.col("scale").alias(f"scale{i}"), F.col("shift").alias(f"shift{i}")))  # a fixed table
+        out = out.join(fixed, [f"u{i}", "target_unit"], "left")
+    part = lambda i: F.coalesce(F.col(f"n{i}") * F.col(f"scale{i}") + F.col(f"shift{i}"), F.lit(0.0))
+    value = F.col("sign") * (F.col("n") * F.col("scale") + F.col("shift") + part("2") + part("3"))
+    identity = (F.col("scale") == 1) & (F.col("shift") == 0) & ~whole
+    return out.select(
+        "meas_id", "field_name", "raw_value", (F.col("sign") * F.col("n")).alias("number"), "source_unit", "target_unit", "how", value.alias("value"), F.coalesce(identity, F.lit(False)).alias("as_recorded")
+    )
 
 
 def recorded_elsewise(converted: DataFrame) -> DataFrame:
-    """Values with a known unit that isn't the canonical one; feet with inches and degrees with minutes are other units."""
-    return converted.filter("source_unit is not null and source_unit <> '?' and source_unit <> target_unit")
+    """Values whose conversion to the canonical unit is not the identity, or not known: those recorded in another unit."""
+    return converted.filter("number is not null and not as_recorded")

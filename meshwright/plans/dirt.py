@@ -74,7 +74,12 @@ def p5_converted(spark: SparkSession, d: str) -> DataFrame:
     return units.convert_units(table(spark, d, "mount_surveys"), table(spark, d, "survey_notes"))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_orphans_by_month, p2_found, p3_found, p3_typed, p3_errors, p3_recovered, p4_found, p4_alternatives, p4_sites, p5_found, p5_converted)}
+def p5_values(spark: SparkSession, d: str) -> DataFrame:
+    """All values in canonical units, to six decimals."""
+    return p5_converted(spark, d).filter("value is not null").select("meas_id", "field_name", (F.round("value", 6) + 0.0).alias("value"))
+
+
+QUERIES = {f.__name__: f for f in (p1_found, p1_orphans_by_month, p2_found, p3_found, p3_typed, p3_errors, p3_recovered, p4_found, p4_alternatives, p4_sites, p5_found, p5_converted, p5_values)}
 
 _CASES = """
 WITH e AS (

@@ -43,7 +43,7 @@ _LENGTHS = "CASE WHEN u = '' THEN NULL " + " ".join(f"WHEN u IN ({', '.join(repr
     "m": ("m", "metres", "metre"), "km": ("km",), "dm": ("dm",), "cm": ("cm", "centimetres"), "mm": ("mm", "millimetres"), "in": ("in", "inches", '"', "″"), "ft": ("ft", "feet", "foot", "fuß"), "yd": ("yd", "yards", "yard"),
 }.items()) + " WHEN regexp_matches(u, '^(''|′|ft) ?[0-9]') THEN 'ft_in' END"
 _TO_M = "CASE {u} WHEN 'm' THEN 1 WHEN 'km' THEN 1000 WHEN 'dm' THEN 0.1e0 WHEN 'cm' THEN 0.01e0 WHEN 'mm' THEN 0.001e0 WHEN 'in' THEN 0.0254e0 WHEN 'yd' THEN 0.9144e0 ELSE 0.3048e0 END"
-P5_FOUND = f"""
+_P5 = f"""
 WITH nt AS (SELECT survey_id, {_says(_HEIGHT)} AS hu, {_says(_FEET)} AS fu, {_says(_LON)} AS lu FROM (SELECT survey_id, string_agg(unit_note, '; ') AS note FROM survey_notes GROUP BY 1)),
 p AS (SELECT meas_id, survey_id, nullif(trim(height), '') AS h, nullif(trim(feet), '') AS f, nullif(trim(base_lon), '') AS l FROM mount_surveys),
 q AS (SELECT *, CAST(replace(regexp_extract(h, '[0-9]+([.,][0-9]+)?'), ',', '.') AS DOUBLE) AS hn, lower(trim(regexp_replace(h, '^(ca[.] |~)?[0-9]+([.,][0-9]+)?', ''))) AS ht,
@@ -53,7 +53,17 @@ s AS (SELECT *, fn * {_TO_M.format(u="coalesce(fv, fu, 'ft')")} AS fm FROM r),
 u AS (SELECT meas_id, 'height' AS field_name, 'm' AS want, coalesce(hv, hu, CASE WHEN f IS NULL THEN 'm' ELSE list_min([{{'d': abs(ln(hn * k.x / fm)), 'u': k.u}} for k in [{{'x': 1e0, 'u': 'm'}}, {{'x': 0.3048e0, 'u': 'ft'}}, {{'x': 0.01e0, 'u': 'cm'}}, {{'x': 0.0254e0, 'u': 'in'}}, {{'x': 0.001e0, 'u': 'mm'}}]]).u END) AS unit FROM s WHERE h IS NOT NULL
   UNION ALL SELECT meas_id, 'feet', 'ft', coalesce(fv, fu, 'ft') FROM s WHERE f IS NOT NULL
   UNION ALL SELECT meas_id, 'base_lon', 'deg', CASE WHEN ln IS NOT NULL THEN coalesce(lu, CASE WHEN abs(ln) <= 180 THEN 'deg' ELSE 'finer' END) WHEN regexp_matches(l, '^[0-9.]+ ?°? ?[EW]$|deg$') AND NOT regexp_matches(l, '[µu]deg$') THEN 'deg' ELSE 'other' END FROM s WHERE l IS NOT NULL)
-SELECT meas_id, field_name FROM u WHERE unit <> want"""
+"""
+P5_FOUND = _P5 + "SELECT meas_id, field_name FROM u WHERE unit <> want"
+_DEG, _MIN, _SEC, _LETTER = r"^([0-9]+) ?(?:°|deg)? ?", r"([0-9.]+) ?(?:''|′|min)", r"([0-9.]+) ?(?:\"|″|sec)", r"W$"
+P5_VALUES = _P5 + f""", d AS (SELECT meas_id, l, lu, regexp_matches(l, '{_DEG}{_MIN}') AS dms, TRY_CAST(regexp_extract(l, '^-?[0-9.]+') AS DOUBLE) AS n, CASE WHEN regexp_matches(l, 'W$') THEN -1 ELSE 1 END AS sign,
+    TRY_CAST(regexp_extract(l, '{_DEG}{_MIN}', 1) AS DOUBLE) + TRY_CAST(regexp_extract(l, '{_DEG}{_MIN}', 2) AS DOUBLE) / 60 + coalesce(TRY_CAST(regexp_extract(l, '{_MIN} ?{_SEC}', 2) AS DOUBLE), 0) / 3600 AS whole FROM s WHERE l IS NOT NULL),
+e AS (SELECT *, CASE WHEN regexp_matches(l, '([µμu]deg|microdegrees?)$') THEN 'microdeg' WHEN regexp_matches(l, 'gon$') THEN 'gon' WHEN regexp_matches(l, 'rad$') THEN 'rad' WHEN regexp_matches(l, '[°EWg]$') THEN 'deg' WHEN lu IS NOT NULL THEN lu WHEN abs(n) <= 180 THEN 'deg' ELSE 'e7deg' END AS unit FROM d),
+v AS (SELECT meas_id, 'base_lon' AS field_name, CASE WHEN dms THEN sign * whole ELSE sign * n * CASE unit WHEN 'deg' THEN 1 WHEN 'microdeg' THEN 1e-6 WHEN 'e7deg' THEN 1e-7 WHEN 'gon' THEN 0.9e0 WHEN 'rad' THEN 180 / pi() WHEN 'arcsec' THEN 1 / 3600e0 END END AS v FROM e
+  UNION ALL SELECT meas_id, 'feet', fm / 0.3048e0 FROM s WHERE f IS NOT NULL
+  UNION ALL SELECT meas_id, 'height', (hn + coalesce(TRY_CAST(regexp_extract(h, '(?:ft|''|′) ?([0-9]+)', 1) AS DOUBLE), 0) / 12) * {_TO_M.format(u="unit")} FROM s JOIN u USING (meas_id) WHERE h IS NOT NULL AND u.field_name = 'height')
+SELECT meas_id, field_name, round(v, 6) + 0 AS value FROM v WHERE v IS NOT NULL"""
+
 
 _NUMBER = r"[+-]?([0-9]+([.][0-9]*)?|[.][0-9]+)([eE][+-]?[0-9]+)?"
 _UNSIGNED = r"([0-9]+([.][0-9]*)?|[.][0-9]+)"
@@ -103,4 +113,4 @@ _COLUMNS = {
 P3_TYPED = _P3 + ", " + f"""ty AS (SELECT line_id, {", ".join(f"max(CASE WHEN {when} THEN {x} END) AS {c}" for c, x, when in _COLUMNS.values())} FROM tx GROUP BY 1),
 gd AS (SELECT line_id FROM ok GROUP BY 1 HAVING bool_and(coalesce(ok, false)))
 SELECT line_id, file_name, lower(trim(raw_lines.file_kind)) AS file_kind, line_no, CAST(mcs AS BIGINT) AS mcs, ty.* EXCLUDE (line_id, mcs) FROM gd JOIN ty USING (line_id) JOIN raw_lines USING (line_id)"""
-ORACLES = {"p3_found": P3_FOUND, "p3_typed": P3_TYPED, "p4_found": P4_FOUND, "p4_alternatives": P4_ALTERNATIVES, "p5_found": P5_FOUND}
+ORACLES = {"p3_found": P3_FOUND, "p3_typed": P3_TYPED, "p4_found": P4_FOUND, "p4_alternatives": P4_ALTERNATIVES, "p5_found": P5_FOUND, "p5_values": P5_VALUES}

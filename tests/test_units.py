@@ -57,5 +57,16 @@ def test_sources_of_units(spark):
     assert (0, "base_lon") not in found and (0, "height") in found and (3, "base_lon") in found and (4, "feet") in found
 
 
+def test_values_that_look_like_others(spark):
+    rows = [(1, "1,234.5 mm", "1.234,5", "270"), (1, "12,345,678 mm", "1 234 ft", "-190.5"), (1, "12 fathoms", "3", "-9271298"), (1, "5", None, "700000.5")]
+    got = {(r.meas_id, r.field_name): r for r in _convert(spark, rows).collect()}
+    value = lambda i, f: round(got[i, f].value, 6)
+    assert (value(0, "height"), value(0, "feet"), value(0, "base_lon")) == (1.2345, 1234.5, -90.0)
+    assert (value(1, "height"), value(1, "feet"), value(1, "base_lon")) == (12345.678, 1234.0, 169.5)
+    assert (got[2, "height"].value, got[2, "height"].source_unit, value(2, "base_lon"), value(3, "base_lon")) == (None, "?", -0.92713, 0.7)
+    found = {(r.meas_id, r.field_name) for r in recorded_elsewise(_convert(spark, rows)).collect()}
+    assert (2, "height") in found and (0, "base_lon") in found and (1, "feet") not in found
+
+
 def test_empty(spark):
     assert _convert(spark, []).count() == 0
