@@ -2,9 +2,10 @@
 
 Documents of each source are cut by hash into shards and, in a seeded order, into blocks of equal token counts. The
 total is what the scarcest source can give at its highest number of repeats, or a wanted total below that. Sainte-Laguë
-apportionment (highest quotients w / (2n + 1)) hands out the total's blocks to sources, and each source's blocks to its
-shards, as integers. A shard repeats all its documents as often as its quota covers them and takes the rest of it as
-seeded blocks.
+apportionment (highest quotients w / (2n + 1)) hands out the total's blocks to sources, each source's blocks to groups of
+RUN_SHARDS shards, and each group's blocks to its shards, as integers; the first step is taken over the fixed table of
+targets, the others by tasks. A shard repeats all its documents as often as its quota covers them and takes the rest of
+it as seeded blocks. A block holds the documents that begin in its tokens, so blocks are equal up to a document.
 
 Defined results
 ---------------
@@ -19,6 +20,7 @@ from __future__ import annotations
 import heapq
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -26,7 +28,7 @@ from pyspark.sql.window import Window
 from meshwright.llm.packing import fixed_rows
 from meshwright.tables import checkpoint
 
-SHARD_TOKENS = 8_000_000
+SHARD_TOKENS, RUN_SHARDS = 8_000_000, 4096
 #: The smallest source's part of a shard is at least so many blocks.
 LEAST_BLOCKS, LEAST_BLOCK_TOKENS = 64, 256
 
@@ -67,6 +69,33 @@ def _targets(targets: DataFrame) -> dict[str, tuple[float, int]]:
     return {r.s: (float(r.w), int(r.m or 0)) for r in rows if r.s and r.w and r.w > 0}
 
 
+def _quotas(rows: DataFrame, seats: dict[str, int], most: dict[str, int], block: int) -> DataFrame:
+    """Each shard's quota: source, shard, passes (whole repeats of all it has), rest (tokens beyond them), most.
+
+    A source's blocks go to runs of shards in one task, which reads one row for each RUN_SHARDS shards; a run's blocks go to
+    its shards in another.
+    """
+    held = rows.groupBy("source", "shard").agg(F.sum("n_tokens").alias("held")).withColumn("run", F.floor(F.col("shard") / RUN_SHARDS))
+    runs = held.groupBy("source", "run").agg(F.sum("held").alias("held"))
+
+    def split(pdf: pd.DataFrame, seats_here: int) -> np.ndarray:
+        tokens = pdf["held"].to_numpy()
+        return sainte_lague(tokens, seats_here, -(-tokens * most[pdf["source"].iloc[0]] // block))
+
+    def to_runs(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("run")
+        return pdf.assign(seats=split(pdf, seats[pdf["source"].iloc[0]]))[["source", "run", "seats"]]
+
+    def to_shards(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("shard")
+        held, cap = pdf["held"].to_numpy(), most[pdf["source"].iloc[0]]
+        quota = np.minimum(split(pdf, int(pdf["seats"].iloc[0])) * block, held * cap)
+        return pdf.assign(passes=quota // held, rest=quota % held, most=cap)[["source", "shard", "passes", "rest", "most"]]
+
+    of_runs = runs.groupBy("source").applyInPandas(to_runs, "source string, run bigint, seats bigint")
+    return held.join(of_runs, ["source", "run"]).groupBy("source", "run").applyInPandas(to_shards, "source string, shard bigint, passes bigint, rest bigint, most bigint")
+
+
 def mix(sizes: DataFrame, targets: DataFrame, *, total_tokens: int | None = None, seed: int = 0, shard_tokens: int = SHARD_TOKENS) -> DataFrame:
     """Documents used, with repeats: doc_id, source, n_tokens, repeats, shard, block. sizes: doc_id, source, n_tokens."""
     spark = sizes.sparkSession
@@ -85,21 +114,11 @@ def mix(sizes: DataFrame, targets: DataFrame, *, total_tokens: int | None = None
     block = max(LEAST_BLOCK_TOKENS, int(total * least / (shards * LEAST_BLOCKS)))
     names = sorted(able)
     seats = dict(zip(names, sainte_lague([able[s][0] for s in names], round(total / block), [totals[s] * able[s][1] // block for s in names]), strict=True))
-    # rows without an id are spread by their place in the checkpointed table, which is the same in every attempt
-    spread = F.xxhash64(F.coalesce("doc_id", F.monotonically_increasing_id()), F.lit(seed))
-    rows = sizes.withColumn("shard", F.pmod(spread, F.lit(shards))).filter(F.col("source").isin(names))
-    held = rows.groupBy("source", "shard").agg(F.sum("n_tokens").alias("held")).orderBy("source", "shard").collect()  # a row for each 8M tokens or source
-    quotas = []
-    for s in names:
-        mine = [r for r in held if r.source == s]
-        tokens = np.array([r.held for r in mine])
-        for r, n in zip(mine, sainte_lague(tokens, seats[s], np.maximum(tokens * able[s][1] // block, 1)), strict=True):
-            quota = min(int(n) * block, int(r.held) * able[s][1])
-            quotas.append((s, r.shard, quota // r.held, quota % r.held, able[s][1]))
-    quotas = spark.createDataFrame(quotas, "source string, shard bigint, passes bigint, rest bigint, most bigint")
-    order = F.xxhash64("doc_id", "n_tokens", F.lit(seed + 1))
+    # copies of a row are spread by their places in the checkpointed table, which are the same in every attempt
+    place = F.monotonically_increasing_id()
+    rows = sizes.withColumns({"shard": F.pmod(F.xxhash64("doc_id", place, F.lit(seed)), F.lit(shards)), "h": F.xxhash64("doc_id", "n_tokens", place, F.lit(seed + 1))}).filter(F.col("source").isin(names))
+    quotas = _quotas(rows, seats, {s: able[s][1] for s in names}, block)
     in_shard = Window.partitionBy("source", "shard").orderBy("h", "doc_id", "n_tokens").rowsBetween(Window.unboundedPreceding, -1)
-    rows = rows.withColumn("h", order)
     rows = rows.withColumn("block", F.floor(F.coalesce(F.sum("n_tokens").over(in_shard), F.lit(0)) / block))
     rows = rows.join(quotas, ["source", "shard"])
     # whole blocks in a seeded order until the rest of the quota is met, to the nearest block

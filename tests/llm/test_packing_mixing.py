@@ -122,6 +122,19 @@ def test_mix(spark, shard_tokens):
     assert sum(r.tokens for r in small) == pytest.approx(20_000, rel=0.05)
 
 
+def test_mix_over_runs_of_shards(spark, monkeypatch):
+    from meshwright.llm import mixing
+
+    monkeypatch.setattr(mixing, "RUN_SHARDS", 4)
+    targets, docs = spark.createDataFrame(TARGETS, T), _docs(spark, 3000)
+    mixed = mix(docs, targets, shard_tokens=20_000)
+    assert mixed.selectExpr("max(shard)").first()[0] > 12
+    got = {r.source: r for r in mix_report(mixed, targets).collect()}
+    assert got["a"].reached_share == pytest.approx(0.625, abs=0.01) and got["b"].reached_share == pytest.approx(0.375, abs=0.01)
+    copies = spark.range(600).selectExpr("1L AS doc_id", "IF(id < 500, 'a', 'b') AS source", "100L AS n_tokens")
+    assert mix(copies, targets, shard_tokens=10_000).selectExpr("count(DISTINCT shard)").first()[0] > 3
+
+
 def test_mix_edges(spark):
     targets = spark.createDataFrame(TARGETS, T)
     assert mix(_docs(spark).limit(0), targets).count() == 0 and mix(_docs(spark), targets.limit(0)).count() == 0
