@@ -1,9 +1,13 @@
 """Problem 8: personal information inside free text.
 
 Finds e-mail addresses (also written around), phone numbers, identity numbers, street addresses and person names, and
-replaces each by a typed placeholder. The placeholder of an item holds a format-preserving pseudonym: its letters and
-digits are permuted under a key by a Feistel network within their format, so equal values stay linked across documents
-and can be told apart, while the value itself can only be had back with the key.
+replaces each by a typed placeholder; dates of birth and numbers of bank accounts and cards are items of the operator, too.
+The placeholder of an item holds a format-preserving pseudonym: its letters and digits are permuted under a key by a
+Feistel network within their format, so equal values stay linked across documents and can be told apart, while the value
+itself can only be had back with the key. Numbers are validated and stay as valid as they were: check digits and letters
+keep their distance from the right one, numbers with ranges (social security, insurance) walk on until they are as much
+in range as before, dates are permuted among the days of their span, and phone numbers keep their country and area code,
+so +49 and 0049 and the national form of one number stay linked.
 
 Items are found by shape and confirmed by what stands around them: numbers and addresses by their formats and by words
 that name them something else (batch, file, serial ...), names by titles, roles, phrases that have a person before or
@@ -12,7 +16,8 @@ behind them, or another personal item next to them. Line breaks count as blanks.
 Defined results
 ---------------
 * Null and empty texts have no items and come back unchanged. Texts are read whole, however long.
-* Overlapping finds: the longer one holds, of equal ones the one by the order e-mail, id number, address, phone, name.
+* Overlapping finds: the longer one holds, of equal ones the one by the order of KINDS.
+* Without a key the pseudonyms' key is drawn anew for each application, so they link within it only.
 * Repeated documents and repeated items are each returned. Empty tables give empty results; other columns are ignored.
 """
 
@@ -23,17 +28,20 @@ import hmac
 import re
 from bisect import bisect_left
 from collections.abc import Iterator
+from datetime import date, datetime
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-KINDS = ("email", "id_number", "street_address", "phone", "person_name")
+#: Kinds that identify a person, and those found beside them.
+PERSONAL = ("email", "id_number", "street_address", "phone", "person_name")
+KINDS = ("account_number", *PERSONAL[:4], "birth_date", "person_name")
 _UP, _LOW = "A-ZÀ-ÖØ-ÞŠŽ", "a-zß-öø-ÿšž"
 _CAP = rf"(?:[A-Z]['’](?=[{_UP}]))?[{_UP}][{_LOW}]+(?:-[{_UP}][{_LOW}]+)*"
 
 # --- e-mail ---------------------------------------------------------------------------------------------------------
-_LOCAL = re.compile(r"[A-Za-z0-9][A-Za-z0-9._%+\-]*\Z")
+_LOCAL_CHARS = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 _LABEL = r"[A-Za-z0-9][A-Za-z0-9\-]*"
 _DOMAIN = re.compile(rf"{_LABEL}(?:\.{_LABEL})*\.[A-Za-z][A-Za-z]+")
 # a dot with blanks goes on only in lower case: it may end a sentence
@@ -42,18 +50,22 @@ _SPACED_DOMAIN = re.compile(rf"\s{{0,2}}{_LABEL}{_NEXT}*(?:\.[A-Za-z]{{2,}}|\s?\
 _AT_WORD = re.compile(r"[\[(]\s?at\s?[\])]", re.I)
 _DOT = r"(?:\s?[\[(]\s?(?:dot|DOT)\s?[\])]\s?|\s+dot\s+)"
 _WORDED_DOMAIN = re.compile(rf"\s?{_LABEL}(?:{_DOT}{_LABEL}|{_NEXT})+")
-_SPELT = re.compile(r"[A-Za-z0-9_+\-]+(?:\s+dot\s+[A-Za-z0-9_+\-]+)*\s+at\s+[A-Za-z0-9\-]+(?:\s+dot\s+[A-Za-z0-9\-]+)+")
+_SPELT = re.compile(r"(?<![A-Za-z0-9_+\-])[A-Za-z0-9_+\-]++(?:\s+dot\s+[A-Za-z0-9_+\-]+)*\s+at\s+[A-Za-z0-9\-]+(?:\s+dot\s+[A-Za-z0-9\-]+)+")
 
 
 def _local_before(text: str, at: int) -> int:
-    """Start of the local part that ends at `at`, or -1."""
-    piece = text[max(0, at - 70) : at]
-    bare = piece.rstrip()
-    if len(piece) - len(bare) > 2:
+    """Start of the local part that ends at `at`, or -1; up to two blanks may stand between."""
+    end = at
+    while end > 0 and at - end < 3 and text[end - 1].isspace():
+        end -= 1
+    if at - end > 2:
         return -1
-    m = _LOCAL.search(bare)
-    # Z anchors the end; the search finds the leftmost start of the run
-    return max(0, at - 70) + m.start() if m else -1
+    start = end
+    while start > 0 and text[start - 1] in _LOCAL_CHARS:
+        start -= 1
+    while start < end and not text[start].isalnum():
+        start += 1
+    return start if start < end else -1
 
 
 def _emails(text: str) -> Iterator[tuple[int, int]]:
@@ -70,18 +82,8 @@ def _emails(text: str) -> Iterator[tuple[int, int]]:
         start, domain = _local_before(text, m.start()), _WORDED_DOMAIN.match(text, m.end())
         if start >= 0 and domain and domain.group(0)[-1].isalpha():
             yield start, domain.end()
-    at = text.find("dot")
-    if at >= 0:
-        done = 0
-        while at >= 0:
-            if at >= done and text[at - 1 : at].isspace():
-                for m in _SPELT.finditer(text, max(0, at - 60), min(len(text), at + 160)):
-                    if m.end() > done:
-                        # an enclosing word may be cut at the window's start; words are short
-                        yield m.start(), m.end()
-                        done = m.end()
-                        break
-            at = text.find("dot", at + 3)
+    if " dot " in text or re.search(r"\sdot\s", text):
+        yield from (m.span() for m in _SPELT.finditer(text))
 
 
 # --- identity numbers -----------------------------------------------------------------------------------------------
@@ -104,6 +106,39 @@ def _ids(text: str, a: int, b: int) -> Iterator[tuple[int, int]]:
             yield m.start(), m.end()
 
 
+# --- accounts and dates of birth ------------------------------------------------------------------------------------------
+_IBAN = re.compile(r"(?<![\w])[A-Z]{2}\d\d(?:\s?[A-Z0-9]{4}){2,7}(?:\s?[A-Z0-9]{1,3})?(?!\w)")
+_CARD = re.compile(r"(?<![\w.+\-])\d{4}([\s\-]?)\d{4}\1\d{4}\1\d{1,7}(?![\w\-])")
+_DATE = r"(?:\d{1,2}[./\-]\d{1,2}[./\-]\d{4}|\d{4}-\d\d-\d\d)"
+_DATE_AT = re.compile(rf"{_DATE}(?!\w)")
+_BORN = re.compile(r"(?i:\bborn(?:\son)?|\bdate\sof\sbirth|\bDOB|\bgeb(?:oren(?:\sam)?|\.)|\bnée?\sle|\bnacid[oa]\sel|\bfecha\sde\snacimiento|\bdate\sde\snaissance|\bgeburtsdatum)\s?:?\s?\Z")
+
+
+def iban_remainder(value: str) -> int:
+    """97-remainder of an account number; 1 if it is valid."""
+    flat = "".join(c for c in value if not c.isspace())
+    return int("".join(str(int(c, 36)) for c in flat[4:] + flat[:4])) % 97
+
+
+def luhn_digit(digits: list[int]) -> int:
+    """The digit that makes the number valid when put behind the given ones."""
+    total = 0
+    for i, x in enumerate(reversed(digits)):
+        x = x * 2 if i % 2 == 0 else x
+        total += x - 9 if x > 9 else x
+    return -total % 10
+
+
+def _accounts(text: str, a: int, b: int) -> Iterator[tuple[int, int]]:
+    for m in _IBAN.finditer(text, a, b):
+        if iban_remainder(m.group(0)) == 1:
+            yield m.span()
+    for m in _CARD.finditer(text, a, b):
+        digits = [int(c) for c in m.group(0) if c.isdigit()]
+        if 13 <= len(digits) <= 19 and luhn_digit(digits[:-1]) == digits[-1] and any(digits):
+            yield m.span()
+
+
 # --- phone numbers --------------------------------------------------------------------------------------------------
 _D = "[0-9O]"
 _PHONE = re.compile(
@@ -154,7 +189,11 @@ _ROADISH = re.compile(rf"(?<!\w)(?:{_ROAD}|{_ROAD.upper()}|{_RUE}|{_CALLE}|{_CAL
 
 
 def _address_at(text: str, at: int) -> tuple[int, int] | None:
-    if _ROADISH.search(text, at, at + 60) and (m := _ADDRESS.match(text, at) or _ADDRESS_SHOUTED.match(text, at)):
+    end = at + 60
+    if end < len(text) and text.count(" ", at, end) < 6:  # long words: as far as the sixth blank
+        for _ in range(6):
+            end = text.find(" ", end) + 1 or len(text)
+    if _ROADISH.search(text, at, end) and (m := _ADDRESS.match(text, at) or _ADDRESS_SHOUTED.match(text, at)):
         return m.span() if _plain_name(m.group(0)) else None
     return None
 
@@ -179,6 +218,11 @@ def _solid(text: str, caps: list[int]) -> Iterator[tuple[int, int, str]]:
             start, end = max(seen, a - 6, 0), b + 12
             for x, y in _ids(text, start, end):
                 yield x, y, "id_number"
+            if (day := _DATE_AT.match(text, a)) and _BORN.search(text, max(0, a - 24), a):  # longer than any of the phrases
+                yield *day.span(), "birth_date"
+            if sum(map(run.count, "0123456789")) >= 10:
+                for x, y in _accounts(text, start, end + 30):
+                    yield x, y, "account_number"
             for x, y in _phones(text, start, end):
                 yield x, y, "phone"
         if (found := _address_at(text, a)) or (b - a > 5 and (inner := re.search(r"[0-9]+[a-z]?,?\s[^0-9\s]*\Z", run)) and (found := _address_at(text, m.start() + inner.start()))):
@@ -208,9 +252,17 @@ _COMMON = frozenset(
 #: Last words of the phrases below that have a name behind them; checked first since commas are many.
 _LEADS = frozenset("by to of de pour von nach i, zeuge zeugin is an a as según joindre person".split())
 _TITLE = r"(?:(?:Mr|Mrs|Ms|Miss|Mister|Dr|Prof|Herrn?|Frau|Hr|Fr|Mme|Mlle|Monsieur|Madame|M|Sr|Sra|Srta|Señora?|Don|Doña)\b\.?\s)"
+#: Words for what a person is to others. Fixed list.
+_ROLE = (
+    "patient|client|customer|tenant|resident|employee|colleague|trainee|nurse|doctor|surgeon|teacher|pupil|student|neighbour|widow|widower|daughter|son|brother|sister|mother|father|husband|wife|caretaker|driver|mechanic|technician|"
+    "Patientin?|Kundin|Kunde|Mieterin?|Mitarbeiterin?|Kollegin|Kollege|Nachbarin?|Witwer?|Tochter|Sohn|Bruder|Schwester|Ehefrau|Ehemann|Ärztin|Arzt|Lehrerin?|Technikerin?|"
+    "patiente|cliente?|locataire|employée?|collègue|voisine?|veuve|veuf|fille|fils|frère|sœur|épouse|époux|médecin|"
+    "paciente|inquilin[oa]|emplead[oa]|compañer[oa]|vecin[oa]|viud[oa]|hij[oa]|herman[oa]|espos[oa]|médic[oa]"
+)
 #: Phrases that have a person's name behind them. Titles may stand in between.
 _BEFORE = re.compile(
     rf"(?:(?<![\w]){_TITLE}|(?i:\binventor(?:\sperson)?(?:\sis|\sare)?\s?:?\s|\binventeurs?\s?:\s|\berfinder(?:in)?\s?:\s|\binventores?\s?:\s)"
+    rf"|\b(?:{_ROLE})\s"
     r"|(?i:\b(?:contact person|correspondence to|thanks are due to|note of the examiner:|examiner:|witness:|zeuge|zeugin|testigo:|témoin ?:|declaration: i,|signed by|assigned by|drawing by|watched by|notebook of|owed to|handed to|établie pour|a nombre de|d['’]après|nach aussage von|llamar a|joindre|rückfragen an|según|agente?|avocat|anwalt|attorney|abogad[oa])\s)|\(72\)\s)\Z",
 )
 #: Phrases that have a person's name before them.
@@ -385,8 +437,123 @@ def canonical(kind: str, value: str) -> str:
     return value
 
 
-def pseudonym(kind: str, value: str, key: bytes) -> str:
-    return permute_text(canonical(kind, value), key, kind.encode()[:12])
+def permute_number(x: int, size: int, key: bytes, tweak: bytes = b"", *, back: bool = False) -> int:
+    """Keyed permutation of the numbers below size: digits are permuted until the result is below it (cycle walking)."""
+    n = max(2, len(str(size - 1)))
+    while True:
+        x = int("".join(map(str, feistel([int(c) for c in str(x).zfill(n)], 10, key, tweak, back=back))))
+        if x < size:
+            return x
+
+
+def _fill(value: str, digits: str) -> str:
+    """The value with its digits replaced, in order."""
+    new = iter(digits)
+    return "".join(next(new) if c.isdigit() else c for c in value)
+
+
+#: Letters of the Spanish number by its 23-remainder, prefixes not given out in the British one, and spans of days. Fixed values.
+_DNI = "TRWAGMYFPDXBNJZSQVHLCKE"
+_NO_PREFIX = frozenset("BG GB KN NK NT TN ZZ".split())
+_FIRST_DAY, _DAYS = date(1850, 1, 1).toordinal(), date(2100, 1, 1).toordinal() - date(1850, 1, 1).toordinal()
+
+
+def valid_ssn(digits: str) -> bool:
+    return digits[:3] not in ("000", "666") and digits[0] != "9" and digits[3:5] != "00" and digits[5:] != "0000"
+
+
+def valid_nino(prefix: str) -> bool:
+    return not set(prefix) & set("DFIQUV") and prefix[1] != "O" and prefix not in _NO_PREFIX
+
+
+def _walk(value, step, like):
+    """The first further value of a permutation that is as valid as this one."""
+    want, value = like(value), step(value)
+    while like(value) != want:
+        value = step(value)
+    return value
+
+
+def _id_pseudonym(value: str, key: bytes, back: bool) -> str:
+    digits = "".join(c for c in value if c.isdigit())
+    step = lambda tweak: lambda x: permute_text(x, key, tweak, back=back)
+    if re.fullmatch(r"\d{3}[\- ]\d\d[\- ]\d{4}", value):
+        return _fill(value, _walk(digits, step(b"ssn"), valid_ssn))
+    if re.fullmatch(r"\d{8}-[A-Z]", value) and value[-1] in _DNI:
+        new = permute_text(digits, key, b"dni", back=back)
+        off = _DNI.index(value[-1]) - int(digits) % 23
+        return f"{new}-{_DNI[(int(new) % 23 + off) % 23]}"
+    if re.fullmatch(r"\d{6}-\d{4}", value):
+        # a day, three digits and a Luhn digit; a part that is no day is permuted like any number
+        day = _two_digit_day(digits[:6], key, back)
+        new = (day or permute_text(digits[:6], key, b"day", back=back)) + permute_text(digits[6:9], key, b"serial", back=back)
+        off = int(digits[9]) - luhn_digit([int(c) for c in digits[:9]])
+        return _fill(value, f"{new}{(luhn_digit([int(c) for c in new]) + off) % 10}")
+    if m := re.fullmatch(r"([A-Z]{2})(\s?\d\d\s?\d\d\s?\d\d\s?)([A-D])", value):
+        prefix = _walk(m[1], step(b"prefix"), valid_nino)
+        suffix = "ABCD"[feistel(["ABCD".index(m[3])], 4, key, b"suffix", back=back)[0]]
+        return prefix + permute_text(m[2], key, b"nino", back=back) + suffix
+    return permute_text(value, key, b"id_number", back=back)
+
+
+def _two_digit_day(digits: str, key: bytes, back: bool) -> str | None:
+    """A day as yymmdd or ddmmyy in its century, permuted among the days of a century; None if it is no day."""
+    first, days = date(1900, 1, 1).toordinal(), date(2000, 1, 1).toordinal() - date(1900, 1, 1).toordinal()
+    for form in ("%y%m%d", "%d%m%y"):
+        try:
+            day = datetime.strptime(digits, form).date()
+        except ValueError:
+            continue
+        try:
+            day = day.replace(year=1900 + day.year % 100)
+        except ValueError:  # 29 February 2000
+            return None
+        return date.fromordinal(first + permute_number(day.toordinal() - first, days, key, form.encode(), back=back)).strftime(form)
+    return None
+
+
+def _date_pseudonym(value: str, key: bytes, back: bool) -> str:
+    parts = re.split(r"([./\-])", value)
+    year_first = len(parts[0]) == 4
+    y, m, d = (int(parts[i]) for i in ((0, 2, 4) if year_first else (4, 2, 0)))
+    try:
+        at = date(y, m, d).toordinal() - _FIRST_DAY
+    except ValueError:
+        at = -1
+    if not 0 <= at < _DAYS:
+        return permute_text(value, key, b"birth_date", back=back)
+    day = date.fromordinal(_FIRST_DAY + permute_number(at, _DAYS, key, b"birth_date", back=back))
+    sep = parts[1]
+    return f"{day.year:04d}-{day.month:02d}-{day.day:02d}" if year_first else f"{day.day:02d}{sep}{day.month:02d}{sep}{day.year:04d}"
+
+
+def _phone_pseudonym(value: str, key: bytes, back: bool) -> str:
+    """The last six digits permuted (of numbers below nine digits the later half), and an extension; country and area code stay."""
+    m = re.search(r"\s(?:ext|extn|Durchwahl|poste)\b\.?\s?\d+\Z", value)
+    main, more = (value[: m.start()], value[m.start() :]) if m else (value, "")
+    digits = "".join(c for c in main if c.isdigit())
+    n = 6 if len(digits) >= 9 else len(digits) // 2
+    new = digits[:-n] + permute_text(digits[-n:], key, b"phone", back=back) if n else digits
+    return _fill(main, new) + _fill(more, permute_text("".join(c for c in more if c.isdigit()), key, b"ext", back=back))
+
+
+def _account_pseudonym(value: str, key: bytes, back: bool) -> str:
+    flat = "".join(c for c in value if c.isalnum())
+    if flat[:2].isalpha():  # country stays, the account is permuted, and the check digits are set anew
+        body = permute_text(flat[4:], key, b"iban", back=back)
+        new = flat[:2] + f"{98 - iban_remainder(flat[:2] + '00' + body):02d}" + body
+    else:
+        head = flat[:6] + permute_text(flat[6:-1], key, b"card", back=back)
+        new = head + str(luhn_digit([int(c) for c in head]))
+    new_chars = iter(new)
+    return "".join(next(new_chars) if c.isalnum() else c for c in value)
+
+
+def pseudonym(kind: str, value: str, key: bytes, *, back: bool = False) -> str:
+    """The pseudonym of a value, in its canonical writing; with back the value of a pseudonym."""
+    value = canonical(kind, value)
+    special = {"id_number": _id_pseudonym, "birth_date": _date_pseudonym, "phone": _phone_pseudonym, "account_number": _account_pseudonym}.get(kind)
+    return special(value, key, back) if special else permute_text(value, key, kind.encode()[:12], back=back)
 
 
 def replace_pii(text: str | None, key: bytes) -> str | None:

@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import secrets
+
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from meshwright.llm import mixing, packing, pii, sizes
 from meshwright.tables import table
@@ -37,13 +40,17 @@ def p7_shares(spark: SparkSession, d: str) -> DataFrame:
     return mixing.mix_report(p7_mixed(spark, d), table(spark, d, "mix_targets"))
 
 
+_drawn: dict[str, str] = {}
+
+
 def _secret(spark: SparkSession) -> str:
-    """Key of the pseudonyms; spark.meshwright.pii.key should name a secret one."""
-    return spark.conf.get("spark.meshwright.pii.key", "meshwright")
+    """Key of the pseudonyms: spark.meshwright.pii.key, else one drawn for this application and known to nobody else."""
+    key = spark.conf.get("spark.meshwright.pii.key", None)
+    return key or _drawn.setdefault(spark.sparkContext.applicationId, secrets.token_hex(32))
 
 
 def p8_found(spark: SparkSession, d: str) -> DataFrame:
-    return pii.pii_items(table(spark, d, "documents"), _secret(spark)).select("doc_id", "pii_kind", "char_start")
+    return pii.pii_items(table(spark, d, "documents"), _secret(spark)).filter(F.col("pii_kind").isin(*pii.PERSONAL)).select("doc_id", "pii_kind", "char_start")
 
 
 def p8_items(spark: SparkSession, d: str) -> DataFrame:

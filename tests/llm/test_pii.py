@@ -1,6 +1,6 @@
 import pytest
 
-from meshwright.llm.pii import find_pii, permute_text, pii_items, pii_replaced, pseudonym, replace_pii
+from meshwright.llm.pii import find_pii, iban_remainder, luhn_digit, permute_text, pii_items, pii_replaced, pseudonym, replace_pii, valid_nino, valid_ssn
 
 KEY = b"k" * 32
 
@@ -45,6 +45,46 @@ def test_pseudonyms_keep_format_and_link():
     assert len({permute_text(f"{i:03d}", KEY) for i in range(1000)}) == 1000
 
 
+@pytest.mark.parametrize(
+    ("kind", "value"),
+    [
+        ("id_number", "123-45-6789"), ("id_number", "666-79-6335"), ("id_number", "12345678-Z"), ("id_number", "77371219-Q"), ("id_number", "811228-9874"), ("id_number", "811228-9871"), ("id_number", "999999-1234"), ("id_number", "AB 35 81 76 C"), ("id_number", "QQ 35 81 76 C"),
+        ("birth_date", "12.03.1961"), ("birth_date", "1961-03-12"), ("birth_date", "31/02/1961"), ("phone", "+49 30 901820"), ("phone", "(202) 555-0128 ext. 42"), ("account_number", "GB82 WEST 1234 5698 7654 32"), ("account_number", "4539 1488 0343 6467"),
+    ],
+)
+def test_pseudonyms_stay_as_valid(kind, value):
+    new = pseudonym(kind, value, KEY)
+    assert new != value and pseudonym(kind, new, KEY, back=True) == value
+    assert [c.isdigit() for c in new] == [c.isdigit() for c in value] or kind == "account_number"
+    digits, of = "".join(c for c in new if c.isdigit()), "".join(c for c in value if c.isdigit())
+    if value.count("-") == 2 and kind == "id_number":
+        assert valid_ssn(digits) == valid_ssn(of)
+    if value[:2] in ("AB", "QQ"):
+        assert valid_nino(new[:2]) == valid_nino(value[:2])
+    if value[-2:] in ("-Z", "-Q"):
+        right = lambda v: "TRWAGMYFPDXBNJZSQVHLCKE"[int(v[:8]) % 23] == v[-1]
+        assert right(new) == right(value) == (value == "12345678-Z")
+    if len(of) == 10 and kind == "id_number":
+        right = lambda d: luhn_digit([int(c) for c in d[:9]]) == int(d[9])
+        assert right(digits) == right(of) == (value == "811228-9874")
+    if value[:2] == "GB":
+        assert iban_remainder(new) == 1 == iban_remainder(value)
+    if value[:4] == "4539":
+        assert new[:7] == value[:7] and luhn_digit([int(c) for c in digits[:-1]]) == int(digits[-1])
+
+
+def test_forms_of_one_phone_number_stay_linked():
+    a, b, c = (pseudonym("phone", x, KEY) for x in ("+49 151 2345678", "0049 151 2345678", "0151 2345678"))
+    assert a.startswith("+49 151 ") and b.startswith("0049 151 ") and a[-7:] == b[-7:] == c[-7:] != "2345678"
+
+
+def test_accounts_and_dates():
+    text = "Pay GB82 WEST 1234 5698 7654 32 or card 4539 1488 0343 6467, not 4539 1488 0343 6468. Born on 12.03.1961; filed 12.03.1999."
+    assert [(k, text[a:b]) for a, b, k in find_pii(text) if k in ("account_number", "birth_date")] == [("account_number", "GB82 WEST 1234 5698 7654 32"), ("account_number", "4539 1488 0343 6467"), ("birth_date", "12.03.1961")]
+    long = "x" * 300 + "@c.test and " + "y" * 90 + " dot z at w dot test."
+    assert [long[a:b] for a, b, _ in find_pii(long)] == ["x" * 300 + "@c.test", "y" * 90 + " dot z at w dot test"]
+
+
 def test_rest_stays():
     text = "x " * 60_000 + "Mail a.b@c.test, see claim 2."
     out = replace_pii(text, KEY)
