@@ -140,6 +140,7 @@ def note_units(notes: DataFrame) -> DataFrame:
     """survey_id and the unit its notes name for height, feet and base_lon (null where they name none)."""
     text = F.array_join(F.sort_array(F.collect_set("unit_note")), "; ").alias("note")
     notes = notes.filter("survey_id is not null and trim(unit_note) <> ''").groupBy("survey_id").agg(text)
+    texts = notes.select("note").distinct()  # many notes are alike
     said = F.regexp_replace("note", r"(?i)\(?\b(?:not|nicht|pas|no)\b (?:in )?[\p{L}]+\)?", " ")
     of_feet = F.regexp_extract(said, rf"(?i)(?:[^;/]*?)(?:{_FEET})(?:(?!; | / |\. (?!actually)).)*", 0)
     of_feet = F.when(of_feet.rlike(r"(?i)derived"), "").otherwise(of_feet)
@@ -154,7 +155,7 @@ def note_units(notes: DataFrame) -> DataFrame:
             feet = F.when(of_feet.rlike(rf"(?i)(?<!\w)(?:{words})(?!\w)"), unit).otherwise(feet)
     for unit, words in reversed(_LONGITUDE_WORDS):
         lon = F.when(said.rlike(_clause(words, _LONGITUDE)), unit).otherwise(lon)
-    return notes.select("survey_id", height.alias("height"), feet.alias("feet"), lon.alias("base_lon"))
+    return notes.join(texts.select("note", height.alias("height"), feet.alias("feet"), lon.alias("base_lon")), "note").drop("note")
 
 
 #: Parts a value can have, with the units of the smaller ones by the label of the whole.
@@ -165,17 +166,22 @@ def read_values(rows: DataFrame, fields: Iterable[str]) -> DataFrame:
     """Adds what each field's text says: {field}_n, _n2, _n3 (sizes of its parts), _sign, and _u, its unit.
 
     The unit is null if the text names none and '?' if it is unknown. Columns are added in steps, so that each pattern is
-    matched once.
+    matched once, and patterns are only tried on what is not a bare number.
     """
     spelt = F.create_map(*(F.lit(x) for unit, names in SPELLINGS.items() for name in names for x in (name, unit)))
+    bare: dict[str, Column] = {}
     texts: dict[str, Column] = {}
     numbers: dict[str, Column] = {}
     parts: dict[str, Column] = {}
     for f in fields:
         whole = _DMS if f == "base_lon" else _FEET_INCHES
-        texts |= {f"{f}_t0": F.regexp_extract(F.trim(f), _PLAIN, 1), f"{f}_tail": F.lower(F.regexp_extract(F.trim(f), _PLAIN, 2))}
-        texts |= {f"{f}_t{i}": F.regexp_extract(F.trim(f), whole, i) for i in range(1, 5 if f == "base_lon" else 3)}
-        numbers |= {f"{f}_x{i}": _as_double(F.col(f"{f}_t{i}")) for i in range(4 if f == "base_lon" else 3)}
+        text = F.trim(f)
+        bare[f"{f}_bare"] = F.when(F.substring(text, -1, 1).between("0", "9"), text.try_cast("double"))
+        extract = lambda pattern, i, f=f: F.when(F.col(f"{f}_bare").isNull(), F.regexp_extract(F.trim(f), pattern, i))
+        texts |= {f"{f}_t0": extract(_PLAIN, 1), f"{f}_tail": F.lower(extract(_PLAIN, 2))}
+        texts |= {f"{f}_t{i}": extract(whole, i) for i in range(1, 5 if f == "base_lon" else 3)}
+        numbers |= {f"{f}_x{i}": _as_double(F.col(f"{f}_t{i}")) for i in range(1, 4 if f == "base_lon" else 3)}
+        numbers[f"{f}_x0"] = F.coalesce(f"{f}_bare", _as_double(F.col(f"{f}_t0")))
         if f == "base_lon":
             numbers[f"{f}_letter"] = F.lower(F.col(f"{f}_t4"))
         compound = F.col(f"{f}_x1").isNotNull() & F.col(f"{f}_x2").isNotNull()
@@ -187,8 +193,8 @@ def read_values(rows: DataFrame, fields: Iterable[str]) -> DataFrame:
             parts |= {f"{f}_n3": F.when(compound, F.col(f"{f}_x3")), f"{f}_sign": F.when(west, -1.0).otherwise(1.0)}
         else:
             parts |= {f"{f}_n3": F.lit(None).cast("double"), f"{f}_sign": F.lit(1.0)}
-    rows = rows.withColumns(texts).withColumns(numbers).withColumns(parts)
-    return rows.drop(*texts, *numbers)
+    rows = rows.withColumns(bare).withColumns(texts).withColumns(numbers).withColumns(parts)
+    return rows.drop(*bare, *texts, *numbers)
 
 
 #: Units a bare height can be in; with others a note or the value says so.
