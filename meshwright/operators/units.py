@@ -22,6 +22,7 @@ Defined results
 
 from __future__ import annotations
 
+import math
 from collections import defaultdict, deque
 from collections.abc import Iterable
 
@@ -140,13 +141,16 @@ def note_units(notes: DataFrame) -> DataFrame:
     """survey_id and the unit its notes name for height, feet and base_lon (null where they name none)."""
     text = F.array_join(F.sort_array(F.collect_set("unit_note")), "; ").alias("note")
     notes = notes.filter("survey_id is not null and trim(unit_note) <> ''").groupBy("survey_id").agg(text)
-    texts = notes.select("note").distinct()  # many notes are alike
-    said = F.regexp_replace("note", r"(?i)\(?\b(?:not|nicht|pas|no)\b (?:in )?[\p{L}]+\)?", " ")
+    # many notes are alike; columns are added in steps, so that each pattern is matched once
+    texts = notes.select("note").distinct()
+    texts = texts.withColumn("said", F.regexp_replace("note", r"(?i)\(?\b(?:not|nicht|pas|no)\b (?:in )?[\p{L}]+\)?", " "))
+    said = F.col("said")
     of_feet = F.regexp_extract(said, rf"(?i)(?:[^;/]*?)(?:{_FEET})(?:(?!; | / |\. (?!actually)).)*", 0)
-    of_feet = F.when(of_feet.rlike(r"(?i)derived"), "").otherwise(of_feet)
     # a part on the feet column says nothing of height; feet of ladders and the like name no column
     of_height = F.regexp_replace(said, rf"(?i)[^;/.]*(?:{_FEET})(?!\s*derived)(?:(?!; | / |\. (?!actually)).)*", " ")
-    of_height = F.regexp_replace(of_height, r"(?i),? feet column derived", " ")
+    texts = texts.withColumns({"of_feet": of_feet, "of_height": of_height})
+    texts = texts.withColumns({"of_feet": F.when(~F.col("of_feet").rlike(r"(?i)derived"), F.col("of_feet")), "of_height": F.regexp_replace("of_height", r"(?i),? feet column derived", " ")})
+    of_feet, of_height = F.col("of_feet"), F.col("of_height")
     height, feet, lon = (F.lit(None).cast("string") for _ in range(3))
     for unit, words in reversed(_LENGTH_WORDS):
         height = F.when(of_height.rlike(_clause(words, _HEIGHT)), unit).otherwise(height)
@@ -201,13 +205,13 @@ def read_values(rows: DataFrame, fields: Iterable[str]) -> DataFrame:
 HEIGHT_GUESSES = ("m", "ft", "cm", "in", "mm")
 
 
-def _height_by_feet(height: Column, feet_in_m: Column, table: dict) -> Column:
-    """The unit in which a bare height is nearest to the row's feet, by ratio; metres where that says nothing."""
-    errors = F.array(
-        *(F.struct(F.abs(F.log(F.abs(height) * table[u, "m"][0] / F.abs(feet_in_m))).alias("off"), F.lit(i).alias("rank"), F.lit(u).alias("unit")) for i, u in enumerate(HEIGHT_GUESSES))
-    )
-    usable = (height != 0) & (feet_in_m != 0)
-    return F.when(usable, F.array_min(errors)["unit"]).otherwise(F.lit("m"))
+def _height_by_feet(log_ratio: Column, table: dict) -> Column:
+    """The unit in which a bare height is nearest to the row's feet, by ratio; metres where that says nothing.
+
+    log_ratio: logarithm of the height's number over the feet in metres, null if one of them is 0 or not known.
+    """
+    errors = F.array(*(F.struct(F.abs(log_ratio + F.lit(math.log(table[u, "m"][0]))).alias("off"), F.lit(i).alias("rank"), F.lit(u).alias("unit")) for i, u in enumerate(HEIGHT_GUESSES)))
+    return F.when(log_ratio.isNotNull(), F.array_min(errors)["unit"]).otherwise(F.lit("m"))
 
 
 def _lon_by_size(lon: Column, text: Column) -> Column:
@@ -233,8 +237,10 @@ def convert_units(measured: DataFrame, notes: DataFrame) -> DataFrame:
     rows = rows.withColumn("feet_u", F.coalesce("feet_u", "note_feet", F.lit("ft")))
     in_m = F.create_map(*(F.lit(x) for u in ("m", "km", "dm", "cm", "mm", "in", "ft", "yd") for x in (u, table[u, "m"][0])), F.lit("ft_in"), F.lit(table["ft", "m"][0]))
     feet_in_m = F.col("feet_n") * in_m[F.col("feet_u")] + F.coalesce(F.col("feet_n2") * F.lit(table["in", "m"][0]), F.lit(0.0))
+    ratio = F.abs(F.col("height_n") / F.nullif("feet_in_m", F.lit(0.0)))
+    rows = rows.withColumn("feet_in_m", feet_in_m).withColumn("ratio", ratio).withColumn("log_ratio", F.when(F.col("ratio") > 0, F.log("ratio")))
     rows = rows.withColumns({
-        "height_u": F.coalesce("height_u", "note_height", F.when(feet_in_m.isNull(), "m").otherwise(_height_by_feet(F.col("height_n"), feet_in_m, table))),
+        "height_u": F.coalesce("height_u", "note_height", _height_by_feet(F.col("log_ratio"), table)),
         "base_lon_u": F.coalesce("base_lon_u", "note_base_lon", _lon_by_size(F.col("base_lon_n"), F.col("base_lon"))),
     })
     long = rows.select("meas_id", F.explode(F.array(*(
