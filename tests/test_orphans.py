@@ -1,6 +1,6 @@
 from datetime import datetime as dt
 
-from meshwright.operators.orphans import orphan_references, orphan_report
+from meshwright.operators.orphans import Parents, References, find_orphans, orphan_references, orphan_report
 
 SITES = "plan_id string, site_name string, recorded_at timestamp, deleted_at timestamp, row_id int, key string, n int"
 LINKS = "link_row bigint, plan_id string, tx_site string, rx_site string, planned_at timestamp, scope string, at string"
@@ -39,6 +39,22 @@ def test_hot_keys_are_cut_into_days_with_the_same_result(spark):
     assert _find(spark, links, sites, hot_rows=20) == _find(spark, links, sites)
 
 
+def test_one_moment_is_salted_with_the_same_result(spark):
+    sites = [_site("hub", DAY[9], DAY[10]), _site("hub", DAY[10], DAY[12]), _site("hub2", DAY[11])] + [_site("hub2", DAY[10], DAY[11])] * 30
+    links = [_link(i, "hub", "hub2", DAY[10]) for i in range(300)] + [_link(300 + i, "hub", "hub2", DAY[i % 28]) for i in range(60)] + [_link(i, "hub", None, None) for i in range(40)]
+    assert _find(spark, links, sites, hot_rows=10) == _find(spark, links, sites)
+
+
+def test_several_tables_at_once(spark):
+    sites, links = spark.createDataFrame([_site("a"), _site("b", DAY[20])], SITES), spark.createDataFrame([_link(1, "a", "b"), _link(2, "c", "a")], LINKS)
+    kinds = spark.createDataFrame([("p", "a", DAY[15], None)], "area string, kind string, since timestamp, until timestamp")
+    notes = spark.createDataFrame([("n1", "p", "a", DAY[10]), ("n2", "p", "a", DAY[16])], "note string, area string, about string, made timestamp")
+    children = [References(links, "link_row", {"tx": "tx_site", "rx": "rx_site"}, "plan_id", "planned_at", "sites", "links"), References(notes, "note", {"about": "about"}, "area", "made", "kinds", "notes"), References(notes, "note", {"site": "about"}, "area", "made", "sites", "notes")]
+    parents = [Parents(sites, "sites", "plan_id", "site_name", "recorded_at", "deleted_at"), Parents(kinds, "kinds", "area", "kind", "since", "until")]
+    got = sorted((r.child_table, r.row_id, r.side, r.parent_table) for r in find_orphans(children, parents).collect())
+    assert got == [("links", "1", "rx", "sites"), ("links", "2", "tx", "sites"), ("notes", "n1", "about", "kinds")]
+
+
 def test_empty_tables(spark):
     assert _find(spark, [], [_site("a")]) == []
     assert _find(spark, [_link(1, "a", None)], []) == [(1, "tx", False)]
