@@ -39,7 +39,7 @@ def build_edges(sites: DataFrame, links: DataFrame) -> DataFrame:
     return pops.unionAll(edges).unionAll(demands)
 
 
-def shortest(starts: DataFrame, edges: DataFrame, *, most_rounds: int = 1000) -> DataFrame:
+def shortest(starts: DataFrame, edges: DataFrame) -> DataFrame:
     """Least cost from any start to each node reached, with the parent on that path: node, cost, parent.
 
     starts: node. edges: src, dst, cost > 0; infinite ones don't carry. Of equally dear parents the smallest is taken.
@@ -47,7 +47,7 @@ def shortest(starts: DataFrame, edges: DataFrame, *, most_rounds: int = 1000) ->
     edges = checkpoint(edges.filter(F.col("cost") < math.inf).groupBy("src", "dst").agg(F.min("cost").alias("cost")))  # each round reads them
     best = checkpoint(starts.select("node").distinct().select("node", F.lit(0.0).alias("cost"), F.lit(None).cast("string").alias("parent")))
     changed = best
-    for _ in range(most_rounds):
+    while True:
         offers = changed.join(edges.withColumnRenamed("cost", "w"), F.col("node") == F.col("src")).select(F.col("dst").alias("node"), (F.col("cost") + F.col("w")).alias("cost"), F.col("src").alias("parent"))
         offers = offers.groupBy("node").agg(F.min(F.struct("cost", "parent")).alias("offer"))
         known = best.select("node", F.struct("cost", "parent").alias("had"))
@@ -56,7 +56,6 @@ def shortest(starts: DataFrame, edges: DataFrame, *, most_rounds: int = 1000) ->
         if changed.isEmpty():
             return best
         best = checkpoint(best.join(changed.select("node"), "node", "left_anti").unionAll(changed))
-    raise RuntimeError(f"no end after {most_rounds} rounds")
 
 
 def hops(starts: DataFrame, edges: DataFrame) -> DataFrame:
@@ -65,29 +64,27 @@ def hops(starts: DataFrame, edges: DataFrame) -> DataFrame:
     return shortest(starts, steps).select("node", F.col("cost").cast("int").alias("hops"))
 
 
-def route_edges(paths: DataFrame, ends: DataFrame, *, most_rounds: int = 1000) -> DataFrame:
+def route_edges(paths: DataFrame, ends: DataFrame) -> DataFrame:
     """Edges (src, dst) on the paths to the given nodes, by walking all paths back at once."""
     parents = paths.filter("parent is not null").select(F.col("node").alias("dst"), F.col("parent").alias("src"))
     frontier = checkpoint(ends.select(F.col("node").alias("dst")).distinct().join(parents, "dst"))
     found = frontier
-    for _ in range(most_rounds):
+    while True:
         if frontier.isEmpty():
             return found
         up = frontier.select(F.col("src").alias("dst")).distinct().join(parents, "dst").join(found.select("dst"), "dst", "left_anti")
         frontier = checkpoint(up)
         found = checkpoint(found.unionByName(frontier))
-    raise RuntimeError(f"no end after {most_rounds} rounds")
 
 
-def zones(paths: DataFrame, *, most_rounds: int = 1000) -> DataFrame:
+def zones(paths: DataFrame) -> DataFrame:
     """The start that each node's path begins at (node, zone), by pointer doubling: rounds grow as the log of the length."""
     at = checkpoint(paths.select("node", F.coalesce("parent", "node").alias("zone")))
-    for _ in range(most_rounds):
+    while True:
         step = at.join(at.select(F.col("node").alias("zone"), F.col("zone").alias("next")), "zone")
         if step.filter("next <> zone").isEmpty():
             return at
         at = checkpoint(step.select("node", F.col("next").alias("zone")))
-    raise RuntimeError(f"no end after {most_rounds} rounds")
 
 
 def mark_unreachable(sites: DataFrame, levels: DataFrame, most_hops: int | None = None) -> DataFrame:

@@ -52,20 +52,22 @@ def sinr(links: DataFrame, noise: float) -> DataFrame:
 
 
 def power_control(links: DataFrame, noise: float, max_power: float, min_power: float, *, most_rounds: int = 10, tolerance: float = 1e-5) -> DataFrame:
-    """Turns each sender down to what its class needs until no power changes: link_row, mcs, sinr, tx_power, gbps.
+    """Turns each sender down to what its class needs until no power changes: link_row, mcs, sinr, tx_power, gbps, settled.
+
+    It ends after most_rounds, the limit of the procedure; settled tells for each link if its power was still to change then.
 
     links as for interference, with tx_power to begin with. Each round is cut by a checkpoint.
     """
+    # the class is kept with the least power that still meets its level under this interference
+    needed = F.col("tx_power") - (F.col("sinr") - rf.snr_of_mcs("mcs"))
+    power = F.when(F.col("mcs") > 0, F.least(F.greatest(needed, F.lit(min_power)), F.lit(max_power) - rf.backoff_of_mcs("mcs"))).otherwise(F.lit(min_power))
+    step = lambda df: sinr(df, noise).withColumn("mcs", rf.mcs_of_snr("sinr")).withColumn("next", power)
+    moves = F.abs(F.col("next") - F.col("tx_power"))
     state = checkpoint(links)
     for _ in range(most_rounds):
-        now = sinr(state, noise).withColumn("mcs", rf.mcs_of_snr("sinr"))
-        # the class is kept with the least power that still meets its level under this interference
-        needed = F.col("tx_power") - (F.col("sinr") - rf.snr_of_mcs("mcs"))
-        power = F.when(F.col("mcs") > 0, F.least(F.greatest(needed, F.lit(min_power)), F.lit(max_power) - rf.backoff_of_mcs("mcs"))).otherwise(F.lit(min_power))
-        now = checkpoint(now.withColumn("next", power))
-        moved = now.agg(F.max(F.abs(F.col("next") - F.col("tx_power"))).alias("m")).collect()[0]["m"]
+        now = checkpoint(step(state))
+        moved = now.agg(F.max(moves).alias("m")).collect()[0]["m"]
         state = now.withColumn("tx_power", F.col("next")).select(*links.columns)
         if moved is None or moved <= tolerance:
             break
-    out = sinr(state, noise).withColumn("mcs", rf.mcs_of_snr("sinr"))
-    return out.select("link_row", "mcs", "sinr", "tx_power", rf.capacity_of_mcs("mcs").alias("gbps"))
+    return step(state).select("link_row", "mcs", "sinr", "tx_power", rf.capacity_of_mcs("mcs").alias("gbps"), (moves <= tolerance).alias("settled"))

@@ -12,13 +12,13 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from meshwright.operators.graph import SOURCE, max_flow
 
 MOST_CELLS = 4_000_000
 
 
-
 def flow_balance_rows(edges: DataFrame) -> DataFrame:
     """For each site: incoming less outgoing flow is 0, and for each demand incoming flow plus its shortage is its size (1).
 
@@ -64,10 +64,10 @@ def polarity_rows(links: DataFrame) -> DataFrame:
 
 
 def colocated_rows(sites: DataFrame) -> DataFrame:
-    """Of the sites at one place at most one is built."""
-    place = F.concat_ws(":", F.lit("place"), F.round("lon", 6), F.round("lat", 6), F.coalesce("alt", F.lit(0.0)))
-    n = sites.groupBy(place.alias("row_id")).agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
-    return sites.select("plan_id", place.alias("row_id"), F.concat(F.lit("site:"), "site_id").alias("variable"), F.lit(1.0).alias("coefficient"), F.lit("<=").alias("sense"), F.lit(1.0).alias("bound")).join(n.select("row_id"), "row_id", "left_semi").select("plan_id", "row_id", "variable", "coefficient", "sense", "bound")
+    """Of the sites at one place at most one is built; a row is named by the first site there."""
+    at = Window.partitionBy("plan_id", "lon", "lat", "alt")
+    rows = sites.select("plan_id", "site_id", F.min("site_id").over(at).alias("first"), F.count(F.lit(1)).over(at).alias("n")).filter("n > 1")
+    return rows.select("plan_id", F.concat(F.lit("place:"), "first").alias("row_id"), F.concat(F.lit("site:"), "site_id").alias("variable"), F.lit(1.0).alias("coefficient"), F.lit("<=").alias("sense"), F.lit(1.0).alias("bound"))
 
 
 # --- solvers -----------------------------------------------------------------------------------------------------------
@@ -170,18 +170,25 @@ def branch_and_bound(c, a, b, senses, binaries: list[int], *, gap: float = 0.0,
     return best if not heap or count < most_nodes else ("stopped", best[1], best[2])
 
 
-def max_min_flow(edges: pd.DataFrame, most: float = 100.0, precision: float = 1e-4) -> tuple[float, int]:
-    """Largest flow that all connected demands can have at once, and how many they are. edges: src, dst, kind, capacity (null: any)."""
+def max_min_flow(edges: pd.DataFrame, precision: float = 1e-4) -> tuple[float, int]:
+    """Largest flow that all connected demands can have at once, and how many they are. edges: src, dst, kind, capacity (null: any).
+
+    A demand is connected if a path of edges with capacity leads to it. Wired edges carry anything, so where nothing else
+    limits the flow it is infinite.
+    """
     rows = [(a, b, 1e9 if not c == c or c is None else float(c)) for a, b, c in zip(edges["src"], edges["dst"], edges["capacity"], strict=True)]
-    demands = sorted({b for b in edges["dst"] if b.startswith("demand:")})
-    connected = [d for d in demands if max_flow(rows, SOURCE, d) > 1e-9] if len(demands) <= 50 else _reached(rows, demands)
+    connected = _reached(rows, sorted({b for b in edges["dst"] if b.startswith("demand:")}))
     if not connected:
         return 0.0, 0
-    low, high = 0.0, most
+    carries = lambda x: max_flow([*rows, *((d, "sink", x) for d in connected)], SOURCE, "sink") >= x * len(connected) - 1e-7 * len(connected)
+    low, high = 0.0, 1.0
+    while carries(high):
+        low, high = high, high * 2
+        if high * len(connected) > 1e9:
+            return np.inf, len(connected)
     while high - low > precision:
         middle = (low + high) / 2
-        flow = max_flow([*rows, *((d, "sink", middle) for d in connected)], SOURCE, "sink")
-        low, high = (middle, high) if flow >= middle * len(connected) - 1e-7 * len(connected) else (low, middle)
+        low, high = (middle, high) if carries(middle) else (low, middle)
     return low, len(connected)
 
 

@@ -6,11 +6,12 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from meshwright.functions import geo, rf
 from meshwright.operators import graph, interference, placement, planning
 from meshwright.plans.domain import RADIO, delta_sql, links, sites, wireless
 from meshwright.plans.networks import _edges
 from meshwright.plans.relational import _SECTORED, _with_sectors
-from meshwright.plans.scalars import _gain_sql, r, with_gain
+from meshwright.plans.scalars import _MCS, _OFF, _SNR, _gain_sql, r, with_gain
 from meshwright.streaming import failures
 from meshwright.tables import table
 
@@ -24,16 +25,30 @@ def _radio(spark: SparkSession, d: str) -> DataFrame:
 
 def intf_path_levels(spark: SparkSession, d: str) -> DataFrame:
     """Mean level of each interfering path at its receiver, in dBm."""
-    from meshwright.functions import rf
-
     paths, _ = interference.sector_levels(_radio(spark, d))
     return paths.select("path_row", r(rf.to_log("level")).alias("dbm"))
 
 
+def intf_net_gain_map(spark: SparkSession, d: str) -> DataFrame:
+    """Net gain of each interfering path while its sender turns to each of the other links of its sector."""
+    ls = _radio(spark, d)
+    turned = ls.select("tx_sector", F.col("rx_id").alias("sends_to"), F.col("link_row").alias("sent_row"), F.col("azimuth").alias("send_azimuth"))
+    each = ls.select(F.col("link_row").alias("path_row"), "tx_sector", "rx_id", "azimuth", "gain").join(turned, "tx_sector").filter("sends_to <> rx_id")
+    gain = F.col("gain") + interference.turn_loss(F.abs(geo.angle_delta("send_azimuth", "azimuth")))
+    return each.select("path_row", "sent_row", r(gain).alias("net_gain_db"))
+
+
+def rf_tx_power_descent(spark: SparkSession, d: str) -> DataFrame:
+    """For each class that a link can hold, from the best down, the least power that holds it."""
+    gained = _radio(spark, d).select("link_row", "gain", F.explode(F.sequence(F.lit(1), F.lit(12))).alias("mcs"))
+    need = F.greatest(F.lit(RADIO["min_power"]), rf.snr_of_mcs("mcs") + F.lit(RADIO["noise"]) - F.col("gain"))
+    full = rf.mcs_of_snr(F.lit(RADIO["max_power"]) + F.col("gain") - F.lit(RADIO["noise"]))
+    rows = gained.withColumns({"need": need, "full": full}).filter((F.col("mcs") <= F.col("full")) & (F.col("need") <= F.lit(RADIO["max_power"]) - rf.backoff_of_mcs("mcs")))
+    return rows.select("link_row", "mcs", r("need").alias("tx_power"))
+
+
 def intf_rsl_map(spark: SparkSession, d: str) -> DataFrame:
     """Summed interference on each link, in dBm."""
-    from meshwright.functions import rf
-
     return interference.interference(_radio(spark, d)).select("link_row", r(rf.to_log("mw")).alias("dbm"))
 
 
@@ -54,36 +69,32 @@ def plan_sector_equidistant(spark: SparkSession, d: str) -> DataFrame:
 
 
 def plan_sector_dp(spark: SparkSession, d: str) -> DataFrame:
-    return placement.place_sectors(_bins(spark, d), 4, 70.0, 15).select("site_id", "cost", F.size("azimuths").alias("sectors"))
+    return placement.place_sectors(_bins(spark, d), 4, 70.0, 15).select("site_id", "cost", "azimuths")
 
 
-def _summary(rows: DataFrame) -> DataFrame:
-    """Rows of constraints by plan: how many rows, coefficients and variables, and the sums."""
-    kind = F.split("row_id", ":")[0]
-    return rows.groupBy("plan_id", kind.alias("kind"), "sense").agg(
-        F.countDistinct("row_id").alias("model_rows"), F.count(F.lit(1)).alias("coefficients"), F.countDistinct("variable").alias("variables"), r(F.sum("coefficient"), 6).alias("coefficient_sum"), F.sum("bound").alias("bound_sum")
-    )
+def _rows(rows: DataFrame) -> DataFrame:
+    return rows.select("plan_id", "row_id", "variable", r("coefficient", 6).alias("coefficient"), "sense", "bound")
 
 
 def plan_flow_rows(spark: SparkSession, d: str) -> DataFrame:
-    return _summary(planning.flow_balance_rows(_edges(spark, d)))
+    return _rows(planning.flow_balance_rows(_edges(spark, d)))
 
 
 def plan_polarity_rows(spark: SparkSession, d: str) -> DataFrame:
-    return _summary(planning.polarity_rows(wireless(links(spark, d))))
+    return _rows(planning.polarity_rows(wireless(links(spark, d))))
 
 
 def plan_sector_time_rows(spark: SparkSession, d: str) -> DataFrame:
-    return _summary(planning.sector_time_rows(_with_sectors(wireless(links(spark, d)))))
+    return _rows(planning.sector_time_rows(_with_sectors(wireless(links(spark, d)))))
 
 
 def plan_capacity_rows(spark: SparkSession, d: str) -> DataFrame:
     edges = wireless(links(spark, d)).select("plan_id", F.col("tx_id").alias("src"), F.col("rx_id").alias("dst"), F.lit("WIRELESS").alias("kind"), F.coalesce("capacity", F.lit(0.0)).alias("capacity"))
-    return _summary(planning.capacity_rows(edges))
+    return _rows(planning.capacity_rows(edges))
 
 
 def plan_colocated_rows(spark: SparkSession, d: str) -> DataFrame:
-    return _summary(planning.colocated_rows(sites(spark, d)))
+    return _rows(planning.colocated_rows(sites(spark, d)))
 
 
 def _largest_equal_flow(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -109,24 +120,27 @@ def stream_windowed_counts(spark: SparkSession, d: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
-        intf_path_levels, intf_rsl_map, intf_sinr, intf_tpc_converged, plan_sector_equidistant, plan_sector_dp, plan_flow_rows, plan_polarity_rows, plan_sector_time_rows, plan_capacity_rows, plan_colocated_rows,
+        intf_path_levels, intf_net_gain_map, rf_tx_power_descent, intf_rsl_map, intf_sinr, intf_tpc_converged, plan_sector_equidistant, plan_sector_dp, plan_flow_rows, plan_polarity_rows, plan_sector_time_rows, plan_capacity_rows, plan_colocated_rows,
         plan_max_min_flow, stream_down_time, stream_windowed_counts,
     )
 }
 
 _TURN = lambda dev: f"(-least(12 * pow({dev} / 65e0, 2), 30e0))"
+_TURN_AWAY = _TURN(f"abs({delta_sql('s.azimuth', 'p.azimuth')})")
 _INTF = _SECTORED + f""", rd AS (SELECT link_row, tx_id, rx_id, tx_sector, rx_sector, round(azimuth, 6) AS azimuth, round({_gain_sql('length_m')}, 9) AS gain FROM sc WHERE is_wireless AND tx_type <> 'CN'),
 pt AS (SELECT p.link_row AS path_row, p.tx_id, p.rx_sector, p.azimuth AS paz, avg(pow(10, ({RADIO['max_power']}e0 + p.gain + {_TURN(f"abs({delta_sql('s.azimuth', 'p.azimuth')})")}) / 10)) AS level
   FROM rd p JOIN rd s ON p.tx_sector = s.tx_sector AND s.rx_id <> p.rx_id GROUP BY ALL),
 vi AS (SELECT v.link_row, sum(level * pow(10, {_TURN(f"abs({delta_sql('paz', 'v.azimuth')})")} / 10)) AS mw FROM pt JOIN rd v ON pt.rx_sector = v.rx_sector AND pt.tx_id <> v.tx_id GROUP BY 1)
 """
-_SUM = " SELECT plan_id, split_part(row_id, ':', 1) AS kind, sense, count(DISTINCT row_id) AS model_rows, count(*) AS coefficients, count(DISTINCT variable) AS variables, round(sum(coefficient), 6) + 0 AS coefficient_sum, sum(bound) AS bound_sum FROM m GROUP BY ALL"
+_SUM = " SELECT plan_id, row_id, variable, round(coefficient, 6) + 0 AS coefficient, sense, bound FROM m"
 _NET = _SECTORED.replace("WITH ", "WITH ", 1) + """, re AS (SELECT plan_id, tx_id AS src, rx_id AS dst FROM ln WHERE status <> 'UNAVAILABLE' AND tx_status <> 'UNAVAILABLE' AND rx_status <> 'UNAVAILABLE' AND (tx_type <> 'CN' OR NOT is_wireless)
   UNION ALL SELECT plan_id, 'SUPERSOURCE', site_id FROM st WHERE site_type = 'POP' AND status <> 'UNAVAILABLE' UNION ALL SELECT plan_id, site_id, 'demand:' || site_id FROM st WHERE site_type = 'CN' AND status <> 'UNAVAILABLE')
 """
 _WL = "ln WHERE is_wireless AND tx_type <> 'CN'"
 ORACLES = {
     "intf_path_levels": _INTF + "SELECT path_row, CASE WHEN level > 0 THEN round(10 * log10(level), 3) + 0 END AS dbm FROM pt",
+    "intf_net_gain_map": _INTF + f"SELECT p.link_row AS path_row, s.link_row AS sent_row, round(p.gain + {_TURN_AWAY}, 3) + 0 AS net_gain_db FROM rd p JOIN rd s ON p.tx_sector = s.tx_sector AND s.rx_id <> p.rx_id",
+    "rf_tx_power_descent": _INTF + f", k AS (SELECT link_row, gain, CAST(unnest(range(1, 13)) AS INTEGER) AS mcs FROM rd), n AS (SELECT *, greatest({RADIO['min_power']}e0, ({_SNR('mcs')}) + {RADIO['noise']}e0 - gain) AS need FROM k) SELECT link_row, mcs, round(need, 3) + 0 AS tx_power FROM n WHERE mcs <= {_MCS(f"({RADIO['max_power']}e0 + gain - {RADIO['noise']}e0)")} AND need <= {RADIO['max_power']}e0 - ({_OFF('mcs')})",
     "intf_rsl_map": _INTF + "SELECT link_row, CASE WHEN mw > 0 THEN round(10 * log10(mw), 3) + 0 END AS dbm FROM vi",
     "intf_sinr": _INTF + f"SELECT link_row, round({RADIO['max_power']}e0 + gain - 10 * log10(coalesce(mw, 0) + {10 ** (RADIO['noise'] / 10)!r}), 3) + 0 AS sinr FROM rd LEFT JOIN vi USING (link_row)",
     "plan_sector_equidistant": _SECTORED + """, bn AS (SELECT tx_id AS site_id, CAST(floor(round(azimuth, 6) / 3) * 3 AS INTEGER) % 360 AS bin, count(*) AS n FROM sc WHERE tx_type <> 'CN' GROUP BY 1, 2),
@@ -137,7 +151,7 @@ SELECT site_id, CAST(arg_min(turn, (cost, turn)) AS INTEGER) AS turn, min(cost)
     "plan_polarity_rows": _SECTORED + ", b AS (SELECT plan_id, tx_id, rx_id, tx_id || '>' || rx_id AS l, unnest([{'k': 'low', 's': -1e0, 'b': 0e0}, {'k': 'high', 's': 1e0, 'b': 2e0}]) AS x FROM " + _WL + " AND rx_type <> 'CN'), t AS (SELECT plan_id, l, x, unnest([{'v': 'time:' || l, 'c': 1e0}, {'v': 'odd:' || tx_id, 'c': x.s}, {'v': 'odd:' || rx_id, 'c': x.s}]) AS t FROM b), m AS (SELECT plan_id, 'polarity_' || x.k || ':' || l AS row_id, t.v AS variable, t.c AS coefficient, '<=' AS sense, x.b AS bound FROM t)" + _SUM,
     "plan_sector_time_rows": _SECTORED + ", m AS (SELECT plan_id, 'sector:' || unnest(['tx:' || tx_sector, 'rx:' || rx_sector]) AS row_id, 'time:' || tx_id || '>' || rx_id AS variable, 1e0 AS coefficient, '<=' AS sense, 1e0 AS bound FROM sc WHERE tx_type <> 'CN')" + _SUM,
     "plan_capacity_rows": _SECTORED + ", m AS (SELECT plan_id, 'capacity:' || tx_id || '>' || rx_id AS row_id, 'flow:' || tx_id || '>' || rx_id AS variable, 1e0 AS coefficient, '<=' AS sense, 0e0 AS bound FROM " + _WL + " UNION ALL SELECT plan_id, 'capacity:' || tx_id || '>' || rx_id, 'time:' || tx_id || '>' || rx_id, -coalesce(capacity, 0), '<=', 0e0 FROM " + _WL + ")" + _SUM,
-    "plan_colocated_rows": _SECTORED + ", g AS (SELECT plan_id, site_id, 'place:' || round(lon, 6) || ':' || round(lat, 6) || ':' || coalesce(alt, 0) AS row_id FROM st), m AS (SELECT plan_id, row_id, 'site:' || site_id AS variable, 1e0 AS coefficient, '<=' AS sense, 1e0 AS bound FROM g WHERE row_id IN (SELECT row_id FROM g GROUP BY 1 HAVING count(*) > 1))" + _SUM,
+    "plan_colocated_rows": _SECTORED + ", g AS (SELECT plan_id, site_id, min(site_id) OVER w AS first, count(*) OVER w AS n FROM st WINDOW w AS (PARTITION BY plan_id, lon, lat, alt)), m AS (SELECT plan_id, 'place:' || first AS row_id, 'site:' || site_id AS variable, 1e0 AS coefficient, '<=' AS sense, 1e0 AS bound FROM g WHERE n > 1)" + _SUM,
     "stream_down_time": """WITH e AS (SELECT *, lag(event_type) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS before FROM events WHERE event_type IN ('error', 'purchase')),
 t AS (SELECT *, lead(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS next, lead(event_type) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS next_type FROM e WHERE before IS NULL OR before <> event_type)
 SELECT user_id, count(*) AS outages, round(sum(epoch_us(next) - epoch_us(ts)) / 1e6, 3) AS down_s FROM t WHERE event_type = 'error' AND next_type = 'purchase' GROUP BY 1""",

@@ -11,7 +11,7 @@ from meshwright.operators import topology as topo
 from meshwright.operators.rangejoin import nearest, radius_join
 from meshwright.plans.domain import ACTIVE, BASE_SQL, LINK_TYPE_SQL, RADIO, bearing_sql, delta_sql, hav_sql, length_sql, link_length, link_type, links, raw_links, sites, wireless
 from meshwright.plans.scalars import ENDS, r
-from meshwright.tables import name_key, table
+from meshwright.tables import fixed, name_key, table
 
 ACTIVE_SQL = "('PROPOSED', 'EXISTING')"
 SECTORS = {"DN": 4, "POP": 4, "CN": 1}
@@ -27,7 +27,7 @@ def site_dedup(spark: SparkSession, d: str) -> DataFrame:
 
 def site_device_expand(spark: SparkSession, d: str) -> DataFrame:
     """A site with a device keeps it; one without gets a row for each device of its type (devices are a fixed table)."""
-    devices = F.broadcast(table(spark, d, "devices").select(F.upper("device_sku").alias("device"), "device_type"))
+    devices = fixed(table(spark, d, "devices").select(F.upper("device_sku").alias("device"), "device_type"))
     ss = sites(spark, d).withColumn("want", F.when(F.col("site_type") == "CN", "CN").otherwise("DN"))
     with_sku = ss.filter("sku is not null").join(devices, F.col("sku") == F.col("device"), "left_semi").select("site_id", "sku")
     free = ss.filter("sku is null").join(devices, F.col("want") == F.col("device_type")).select("site_id", F.col("device").alias("sku"))
@@ -35,7 +35,7 @@ def site_device_expand(spark: SparkSession, d: str) -> DataFrame:
 
 
 def site_unknown_device(spark: SparkSession, d: str) -> DataFrame:
-    devices = F.broadcast(table(spark, d, "devices").select(F.upper("device_sku").alias("sku")))
+    devices = fixed(table(spark, d, "devices").select(F.upper("device_sku").alias("sku")))
     return sites(spark, d).filter("sku is not null").join(devices, "sku", "left_anti").select("site_id", "sku")
 
 
@@ -63,7 +63,7 @@ def site_point_in_polygon(spark: SparkSession, d: str) -> DataFrame:
     areas = table(spark, d, "areas").filter("size(outer_ring) >= 3").select(
         "area_id", "outer_ring", "hole_ring", *(f(_side(k)).alias(f"{k}_{n}") for k in ("lon", "lat") for n, f in (("lo", F.array_min), ("hi", F.array_max)))
     )
-    boxed = sites(spark, d).join(F.broadcast(areas), F.expr("lat between lat_lo and lat_hi and lon between lon_lo and lon_hi"))
+    boxed = sites(spark, d).join(fixed(areas), F.expr("lat between lat_lo and lat_hi and lon between lon_lo and lon_hi"))
     inside = geo.in_ring("outer_ring", "lon", "lat") & ~F.coalesce(geo.in_ring("hole_ring", "lon", "lat"), F.lit(False))
     return boxed.filter(inside).select("area_id", "site_id")
 
@@ -323,6 +323,13 @@ def demand_cn(spark: SparkSession, d: str) -> DataFrame:
     return out.select("demand_id", "subscribers", "sites")
 
 
+def demand_connect_colocated(spark: SparkSession, d: str) -> DataFrame:
+    """Each demand with all sites at its place that can serve it: its clients, and relays or sources that stand there, too."""
+    s = sites(spark, d).filter("status <> 'UNAVAILABLE'")
+    demands = s.filter("site_type = 'CN'").groupBy("plan_id", "lon", "lat").agg(F.min("site_id").alias("demand_id"))
+    return demands.join(s.select("plan_id", "lon", "lat", "site_id", "site_type"), ["plan_id", "lon", "lat"]).select("demand_id", "site_id", "site_type")
+
+
 def demand_uniform_grid(spark: SparkSession, d: str) -> DataFrame:
     """Points of a half-degree grid over each plan's box, counted; the box is found with partial aggregation."""
     box = sites(spark, d).groupBy("plan_id").agg(F.min("lon").alias("x0"), F.max("lon").alias("x1"), F.min("lat").alias("y0"), F.max("lat").alias("y1"))
@@ -339,7 +346,7 @@ QUERIES = {
         join_radius_demand, join_nearest_site, join_building_rooftop, join_missing_sites_anti, join_link_sectors_argmin, agg_component_counts, agg_links_rollup, agg_redundant_sites, agg_pop_capacity,
         agg_link_stats, agg_percentiles, agg_mcs_histogram, agg_links_per_sector, agg_site_flow, agg_pivot_types, rule_angle_pairs, rule_near_far_pairs, rule_sector_limits, rule_status_violations,
         rule_los_simple_checks, report_links, report_sites, report_sectors, report_bidirectional_collapse, topk_best_site_per_building, topk_busiest_sites, window_rank_in_plan, set_inactive_links,
-        set_candidate_union_active, demand_cn, demand_uniform_grid,
+        set_candidate_union_active, demand_cn, demand_connect_colocated, demand_uniform_grid,
     )
 }
 
@@ -432,6 +439,7 @@ SELECT building_id, site_id, degree FROM w WHERE k = 1""",
     "set_inactive_links": BASE_SQL + f"SELECT link_row FROM ln WHERE status NOT IN {ACTIVE_SQL} OR tx_status NOT IN {ACTIVE_SQL} OR rx_status NOT IN {ACTIVE_SQL}",
     "set_candidate_union_active": BASE_SQL + f", k AS (SELECT unnest([tx_id, rx_id]) AS site_id FROM ln WHERE status = 'CANDIDATE'), a AS (SELECT unnest([tx_id, rx_id]) AS site_id FROM ln WHERE status IN {ACTIVE_SQL}) SELECT site_id, 'only_candidate' AS part FROM (SELECT site_id FROM k EXCEPT SELECT site_id FROM a) UNION ALL SELECT site_id, 'both' FROM (SELECT site_id FROM k INTERSECT SELECT site_id FROM a)",
     "demand_cn": BASE_SQL + "SELECT min(site_id) AS demand_id, arg_min(coalesce(nullif(subscribers, 0), 1), site_id) AS subscribers, count(*) AS sites FROM st WHERE site_type = 'CN' GROUP BY lon, lat",
+    "demand_connect_colocated": BASE_SQL + ", a AS (SELECT * FROM st WHERE status <> 'UNAVAILABLE') SELECT demand_id, a.site_id, a.site_type FROM (SELECT plan_id, lon, lat, min(site_id) AS demand_id FROM a WHERE site_type = 'CN' GROUP BY 1, 2, 3) JOIN a USING (plan_id, lon, lat)",
     "demand_uniform_grid": BASE_SQL + """, b AS (SELECT plan_id, min(lon) AS x0, max(lon) AS x1, min(lat) AS y0, max(lat) AS y1 FROM st GROUP BY 1),
 n AS (SELECT plan_id, CAST(ceil((x1 - x0) / 0.5e0) AS INTEGER) + 1 AS nx, CAST(ceil((y1 - y0) / 0.5e0) AS INTEGER) + 1 AS ny FROM b) SELECT plan_id, CAST(nx AS BIGINT) * ny AS points, nx - 1 AS last_column, ny - 1 AS last_row FROM n""",
 }

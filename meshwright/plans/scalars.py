@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from meshwright.functions import geo, rf
 from meshwright.plans.domain import BASE_SQL, RADIO, bearing_sql, delta_sql, hav_sql, length_sql, link_length, links, sites, wireless
-from meshwright.tables import table
+from meshwright.tables import fixed, table
 
 R = RADIO
 ENDS = ("tx_lon", "tx_lat", "rx_lon", "rx_lat")
@@ -129,9 +129,9 @@ def rf_max_range_per_device_pair(spark: SparkSession, d: str) -> DataFrame:
     """Largest whole metre at which a pair of devices still has throughput; devices are a fixed table."""
     devices = table(spark, d, "devices")
     side = lambda k: devices.select(F.col("device_sku").alias(f"{k}_sku"), F.col("device_type").alias(f"{k}_type"), F.col("max_mcs").alias(f"{k}_mcs"), F.lit(1).alias("one"))
-    pairs = side("tx").join(F.broadcast(side("rx")), "one").filter("tx_type = 'DN'").drop("one")
+    pairs = side("tx").join(fixed(side("rx")), "one").filter("tx_type = 'DN'").drop("one")
     # the budget hangs on the length only, so it is found once for each metre
-    metres = spark.range(1, 2001).select(F.col("id").cast("double").alias("m"))
+    metres = spark.range(1, 10_001).select(F.col("id").cast("double").alias("m"))
     able = budget(with_gain(metres)).select("m", F.col("mcs").alias("able"))
     able = able.groupBy("able").agg(F.max("m").alias("m"))  # one row a class
     reach = pairs.join(F.broadcast(able), F.least("able", "tx_mcs", "rx_mcs") > 3)
@@ -246,7 +246,7 @@ SELECT meas_id, round(CASE WHEN neg THEN -v ELSE v END, 6) + 0 AS lon_deg FROM v
     "rf_link_budget": BASE_SQL + _BUDGET + f", o AS (SELECT link_row, best, g, {R['max_power']}e0 - ({_OFF('best')}) AS p FROM b) SELECT link_row, best AS mcs, round(p + g, 3) + 0 AS rsl, round(p + g - {R['noise']}e0, 3) + 0 AS snr, round({_CAP('best')}, 3) + 0 AS capacity, round(p, 3) + 0 AS tx_power FROM o",
     "rf_link_budget_report": BASE_SQL + _BUDGET + f"SELECT rx_type, best AS mcs, count(*) AS links, round(avg(m), 2) + 0 AS avg_m, round(max(m), 2) + 0 AS max_m, round(min(m), 2) + 0 AS min_m, round(sum({_CAP('best')}), 5) + 0 AS gbps FROM b GROUP BY ALL",
     "rf_max_range_per_device_pair": f"""WITH q AS (SELECT a.device_sku AS tx_sku, b.device_sku AS rx_sku, least(a.max_mcs, b.max_mcs) AS most FROM devices a, devices b WHERE a.device_type = 'DN'),
-m AS (SELECT *, round({_gain_sql('m')}, 9) AS g FROM (SELECT tx_sku, rx_sku, most, unnest(range(1, 2001)) AS m FROM q)),
+m AS (SELECT *, round({_gain_sql('m')}, 9) AS g FROM (SELECT tx_sku, rx_sku, most, unnest(range(1, 10001)) AS m FROM q)),
 b AS (SELECT tx_sku, rx_sku, m, least(most, {_FITS(_MCS(f"({R['max_power']}e0 + g - {R['noise']}e0)"), 'g')}) AS best FROM m)
 SELECT tx_sku, rx_sku, CAST(max(m) AS INTEGER) AS max_range_m FROM b WHERE best > 3 GROUP BY 1, 2""",
     "rf_pattern_gain": BASE_SQL + f""", u AS (SELECT link_row, round({_B}, 4) AS a FROM ln WHERE tx_lat <> rx_lat OR tx_lon <> rx_lon),

@@ -13,6 +13,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(os.path.join(sf_dir, f"{name}.parquet"))
 
 
+def fixed(df: DataFrame, most: int = 10_000) -> DataFrame:
+    """A table that is small by definition, to be broadcast; refused beyond so many rows."""
+    if df.limit(most + 1).count() > most:
+        raise ValueError(f"more than {most} rows in a table that should be fixed")
+    return F.broadcast(df)
+
+
 def checkpoint(df: DataFrame) -> DataFrame:
     """Materialise df in the shared checkpoint folder and cut its lineage.
 
