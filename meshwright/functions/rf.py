@@ -157,3 +157,8 @@ def fresnel_radius(meters, mhz) -> Column:
 def mcs_cost(mcs) -> Column:
     """Routing cost by class: the slower the dearer; infinite for a class without throughput."""
     return F.when(c(mcs) >= 9, 1.0).when(c(mcs) >= 4, 3.0).when(c(mcs) >= 2, 15.0).otherwise(F.lit(math.inf))
+
+
+def noise_power(noise_figure, thermal_noise) -> Column:
+    """Noise power in dBm: the receiver's noise figure over the thermal noise."""
+    return c(noise_figure) + c(thermal_noise)

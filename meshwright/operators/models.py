@@ -635,6 +635,45 @@ def site_solution(net: Network, rules: Rules, solution: DataFrame) -> tuple[Data
     return built, links.filter(fits & sectors).select("plan_id", "src", "dst")
 
 
+#: Shares of the demand that are asked for one after the other until a plan can give one.
+COVERAGES = (1.0, 0.9, 0.8, 0.7, 0.6, 0.5)
+
+
+def least_weight_at_best_coverage(net: Network, rules: Rules, **more) -> DataFrame:
+    """Each plan's solution of least weight at the highest of COVERAGES that it can reach, with that coverage; else its last status."""
+    net = prepared(net)
+    out, left = None, net.sites.select("plan_id").distinct()
+    for share in COVERAGES:
+        part = lambda df: df.join(left, "plan_id", "left_semi")  # noqa: B023, E731
+        some = Network(part(net.sites), part(net.sectors), part(net.links), part(net.demands), part(net.real), part(net.edges))
+        got = checkpoint(solve(site_model(some, replace(rules, coverage=share), **more)).withColumn("coverage", F.lit(share)))
+        last = share == COVERAGES[-1]
+        done = got if last else got.filter("status <> 'infeasible'")
+        out = done if out is None else out.unionAll(done)
+        left = checkpoint(got.filter("status = 'infeasible'").select("plan_id").distinct())
+        if left.isEmpty():
+            break
+    return out
+
+
+def with_statuses(net: Network, rules: Rules, solution: DataFrame) -> Network:
+    """The network with what the solution uses proposed and other proposals made candidates again; existing and unavailable parts stay.
+
+    Plans without a solution stay as they are.
+    """
+    built, used = site_solution(net, rules, solution)
+    solved = solution.filter("status = 'optimal'").select("plan_id").distinct()
+
+    def marked(df: DataFrame, chosen: DataFrame, keys: list[str]) -> DataFrame:
+        both = _status(df).join(chosen.select("plan_id", *keys).distinct().withColumn("chosen", F.lit(True)), ["plan_id", *keys], "left").join(solved.withColumn("solved", F.lit(True)), "plan_id", "left")
+        free = F.col("solved") & ~F.col("status").isin("EXISTING", "UNAVAILABLE")
+        return both.withColumn("status", F.when(free, F.when(F.col("chosen"), "PROPOSED").when(F.col("status") == "PROPOSED", "CANDIDATE").otherwise(F.col("status"))).otherwise(F.col("status"))).select(*df.columns)
+
+    ends = used.join(real_links(net).select("plan_id", "src", "dst", "tx_sector", "rx_sector"), ["plan_id", "src", "dst"])
+    sectors = ends.select("plan_id", F.explode(F.array("tx_sector", "rx_sector")).alias("sector_id")).filter("sector_id is not null")
+    return Network(marked(net.sites, built, ["site_id"]), marked(net.sectors, sectors, ["sector_id"]), marked(net.links, used, ["src", "dst"]), net.demands)
+
+
 def relays_as_sources(net: Network, suffix: str = "_source") -> Network:
     """Each relay once more as a source at its place, with copies of its sectors and links; links among relays are left out.
 

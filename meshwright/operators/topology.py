@@ -133,3 +133,32 @@ def close_angle_pairs(links: DataFrame, limit_deg: float) -> DataFrame:
     pairs = a.join(b, ["tx_id", "slot"]).filter("first < second")
     pairs = pairs.withColumn("angle", F.abs(geo.angle_delta("az1", "az2")))
     return pairs.filter(F.col("angle") <= limit_deg).drop("slot")
+
+
+def elevation_off(rise: Column, length: Column) -> Column:
+    """Angle of a link over the horizontal in degrees; 0 without a length or a rise."""
+    return F.when(length > 0, F.coalesce(F.degrees(F.asin(F.greatest(F.least(rise / length, F.lit(1.0)), F.lit(-1.0)))), F.lit(0.0))).otherwise(F.lit(0.0))
+
+
+def link_channel(status: Column, tx_channel: Column, rx_channel: Column) -> Column:
+    """Channel of a link in use, that of both its sectors; -1 for others and where the sectors differ."""
+    return F.when(status.isin("PROPOSED", "EXISTING") & (tx_channel == rx_channel), tx_channel).otherwise(F.lit(-1))
+
+
+def violating_links(links: DataFrame, pairs: DataFrame) -> DataFrame:
+    """Links of any of the pairs (first, second: link_row), in both directions: link_row."""
+    named = pairs.select(F.explode(F.array("first", "second")).alias("link_row")).distinct()
+    there = links.join(named, "link_row", "left_semi").select("tx_id", "rx_id")
+    both = there.unionAll(there.select(F.col("rx_id").alias("tx_id"), F.col("tx_id").alias("rx_id"))).distinct()
+    return links.join(both, ["tx_id", "rx_id"], "left_semi").select("link_row")
+
+
+def connectable_status(sites: DataFrame, links: DataFrame, reached: DataFrame) -> DataFrame:
+    """site_id and state: picked sites are connected or unconnected; others are connectable (one link from a connected one) or not.
+
+    sites: site_id, picked. links: tx_id, rx_id. reached: node, the picked sites that a picked source reaches over picked ones.
+    """
+    near = links.join(reached.select(F.col("node").alias("tx_id")), "tx_id", "left_semi").select(F.col("rx_id").alias("site_id"), F.lit(True).alias("near")).distinct()
+    on = reached.select(F.col("node").alias("site_id"), F.lit(True).alias("on")).distinct()
+    state = F.when(F.col("picked"), F.when(F.col("on"), "connected").otherwise("unconnected")).when(F.col("near"), "potential_connectable").otherwise("potential_other")
+    return sites.select("site_id", "picked").join(on, "site_id", "left").join(near, "site_id", "left").select("site_id", state.alias("state"))

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from meshwright.functions import geo, rf
+from meshwright.operators import graph
 from meshwright.operators import topology as topo
 from meshwright.operators.rangejoin import nearest, radius_join
 from meshwright.plans.domain import ACTIVE, BASE_SQL, LINK_TYPE_SQL, RADIO, bearing_sql, delta_sql, hav_sql, length_sql, link_length, link_type, links, raw_links, sites, wireless
@@ -213,6 +214,28 @@ def rule_angle_pairs(spark: SparkSession, d: str) -> DataFrame:
     return _angle_pairs(spark, d, 25.0).filter("s1 <> s2").select("first", "second", r("angle", 2).alias("angle"))
 
 
+def rule_violating_links(spark: SparkSession, d: str) -> DataFrame:
+    """All links, in both directions, of pairs that break the angle rule."""
+    pairs = _angle_pairs(spark, d, 25.0).filter("s1 <> s2").select("first", "second")
+    return topo.violating_links(links(spark, d), pairs)
+
+
+def geo_elevation(spark: SparkSession, d: str) -> DataFrame:
+    """Angle of each link over the horizontal."""
+    ls = links(spark, d).withColumn("length_m", link_length())
+    return ls.select("link_row", r(topo.elevation_off(F.col("rx_alt") - F.col("tx_alt"), F.col("length_m"))).alias("elevation_deg"))
+
+
+def sites_connectable(spark: SparkSession, d: str) -> DataFrame:
+    """Sites in use that sources in use reach over such sites, and the others by whether a link from those leads to them."""
+    s = sites(spark, d).withColumn("picked", F.coalesce(F.col("status").isin(*ACTIVE), F.lit(False)))
+    ls = links(spark, d).filter("is_wireless and tx_type <> 'CN'").select("tx_id", "rx_id").distinct()
+    picked = s.filter("picked")
+    among = ls.join(picked.select(F.col("site_id").alias("tx_id")), "tx_id", "left_semi").join(picked.select(F.col("site_id").alias("rx_id")), "rx_id", "left_semi")
+    reached = graph.hops(picked.filter("site_type = 'POP'").select(F.col("site_id").alias("node")), among.select(F.col("tx_id").alias("src"), F.col("rx_id").alias("dst")))
+    return topo.connectable_status(s, ls, reached)
+
+
 def rule_near_far_pairs(spark: SparkSession, d: str) -> DataFrame:
     """Links of one site up to 45 degrees apart of which one is at least three times as long."""
     ratio = F.greatest("len1", "len2") / F.least("len1", "len2")
@@ -344,7 +367,7 @@ QUERIES = {
     for f in (
         site_dedup, site_device_expand, site_unknown_device, site_name_disambiguate, site_colocated_groups, site_point_in_polygon, area_measures, join_candidate_links, join_reverse_link, join_neighbors,
         join_radius_demand, join_nearest_site, join_building_rooftop, join_missing_sites_anti, join_link_sectors_argmin, agg_component_counts, agg_links_rollup, agg_redundant_sites, agg_pop_capacity,
-        agg_link_stats, agg_percentiles, agg_mcs_histogram, agg_links_per_sector, agg_site_flow, agg_pivot_types, rule_angle_pairs, rule_near_far_pairs, rule_sector_limits, rule_status_violations,
+        agg_link_stats, agg_percentiles, agg_mcs_histogram, agg_links_per_sector, agg_site_flow, agg_pivot_types, rule_angle_pairs, rule_violating_links, geo_elevation, sites_connectable, rule_near_far_pairs, rule_sector_limits, rule_status_violations,
         rule_los_simple_checks, report_links, report_sites, report_sectors, report_bidirectional_collapse, topk_best_site_per_building, topk_busiest_sites, window_rank_in_plan, set_inactive_links,
         set_candidate_union_active, demand_cn, demand_connect_colocated, demand_uniform_grid,
     )
@@ -416,6 +439,11 @@ SELECT site_id, count(*) FILTER (k = 'out') AS "out", count(*) FILTER (k = 'out_
     "agg_links_per_sector": _SECTORED + ", g AS (SELECT tx_sector, count(*) AS n FROM sc WHERE tx_type <> 'CN' GROUP BY 1) SELECT n, count(*) AS sectors FROM g GROUP BY 1",
     "agg_site_flow": BASE_SQL + ", f AS (SELECT tx_id, rx_id, coalesce(capacity, 0) * coalesce(confidence, 0) AS f FROM ln), e AS (SELECT tx_id AS site_id, f AS o, 0e0 AS i FROM f UNION ALL SELECT rx_id, 0e0, f FROM f) SELECT site_id, round(sum(i), 8) + 0 AS flow_in, round(sum(o), 8) + 0 AS flow_out FROM e GROUP BY 1",
     "agg_pivot_types": BASE_SQL + "SELECT plan_id, count(*) FILTER (site_type = 'POP') AS pop, count(*) FILTER (site_type = 'DN') AS dn, count(*) FILTER (site_type = 'CN') AS cn FROM st GROUP BY 1",
+    "rule_violating_links": _ANGLES + ", vl AS (SELECT DISTINCT unnest([first, second]) AS link_row FROM ap WHERE angle <= 25 AND s1 <> s2), ve AS (SELECT tx_id, rx_id FROM ln JOIN vl USING (link_row)) SELECT link_row FROM ln WHERE (tx_id, rx_id) IN (SELECT (tx_id, rx_id) FROM ve) OR (rx_id, tx_id) IN (SELECT (tx_id, rx_id) FROM ve)",
+    "geo_elevation": BASE_SQL + f"SELECT link_row, round(CASE WHEN {length_sql()} > 0 THEN coalesce(degrees(asin(greatest(least((rx_alt - tx_alt) / {length_sql()}, 1), -1))), 0) ELSE 0 END, 3) + 0 AS elevation_deg FROM ln",
+    "sites_connectable": BASE_SQL.replace("WITH ", "WITH RECURSIVE ", 1) + f""", pk AS (SELECT * FROM st WHERE status IN {ACTIVE_SQL}), wl AS (SELECT DISTINCT tx_id, rx_id FROM ln WHERE is_wireless AND tx_type <> 'CN'),
+h AS (SELECT site_id AS node FROM pk WHERE site_type = 'POP' UNION SELECT rx_id FROM h JOIN wl ON tx_id = node WHERE rx_id IN (SELECT site_id FROM pk))
+SELECT site_id, CASE WHEN site_id IN (SELECT site_id FROM pk) THEN CASE WHEN site_id IN (SELECT node FROM h) THEN 'connected' ELSE 'unconnected' END WHEN site_id IN (SELECT rx_id FROM wl JOIN h ON node = tx_id) THEN 'potential_connectable' ELSE 'potential_other' END AS state FROM st""",
     "rule_angle_pairs": _ANGLES + "SELECT first, second, round(angle, 2) + 0 AS angle FROM ap WHERE angle <= 25 AND s1 <> s2",
     "rule_near_far_pairs": _ANGLES + "SELECT first, second, round(angle, 2) + 0 AS angle FROM ap WHERE angle <= 45 AND ratio >= 3",
     "rule_sector_limits": _SECTORED + "SELECT tx_sector, count(*) FILTER (rx_type <> 'CN') AS relays, count(*) AS total FROM sc WHERE tx_type <> 'CN' GROUP BY 1 HAVING count(*) FILTER (rx_type <> 'CN') > 2 OR count(*) > 15",

@@ -99,6 +99,8 @@ def repeated_links(links: DataFrame) -> DataFrame:
 def read_network(spark: SparkSession, sites_path: str, links_path: str) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Sites, links between them in both directions but from clients, and the names of links that no site has."""
     sites, links = read_sites(spark, sites_path, for_network=True), read_links(spark, links_path)
+    if twice := [f"{r.tx_site} -> {r.rx_site}" for r in repeated_links(links).limit(10).collect()]:
+        raise InputError(f"links given more than once: {', '.join(twice)}")
     ends = links.select(F.explode(F.array("tx_site", "rx_site")).alias("name")).distinct()
     unknown = ends.join(sites.select("name"), "name", "left_anti")
     both = links.unionAll(links.select(F.col("rx_site").alias("tx_site"), F.col("tx_site").alias("rx_site"), "confidence")).dropDuplicates(["tx_site", "rx_site"])
@@ -127,18 +129,24 @@ def read_mcs(spark: SparkSession, path: str, *, min_mcs: int | None = None) -> l
 
 
 def read_antenna_pattern(spark: SparkSession, path: str) -> DataFrame:
-    """Antenna file -> antenna, axis (HORIZONTAL, VERTICAL), degree, gain: sections of 360 lines, losses turned into gains."""
-    lines = spark.read.text(path, wholetext=True).select(F.posexplode(F.split("value", r"\r?\n")).alias("line", "text"))
+    """Antenna files -> antenna, axis (HORIZONTAL, VERTICAL), degree, gain: sections of 360 lines, losses turned into gains.
+
+    Each file is read by itself; a section with another number of lines is refused.
+    """
+    lines = spark.read.text(path, wholetext=True).select(F.input_file_name().alias("file"), F.posexplode(F.split("value", r"\r?\n")).alias("line", "text"))
     lines = lines.withColumn("w", F.split(F.trim("text"), r"[\s,;]+")).filter("trim(text) <> ''")
     head = F.upper(F.col("w")[0])
-    order = Window.orderBy("line")  # a file of some hundred lines
+    order = Window.partitionBy("file").orderBy("line")  # a file of some hundred lines
     upto = order.rowsBetween(Window.unboundedPreceding, 0)
     name = F.when(head == "NAME", F.array_join(F.slice("w", 2, 99), " "))
     axis = F.when(head.isin("HORIZONTAL", "VERTICAL"), head)
     lines = lines.withColumns({"antenna": F.last(name, True).over(upto), "axis": F.last(axis, True).over(upto)})
     rows = lines.filter(axis.isNull() & name.isNull() & F.col("axis").isNotNull())
     degree, loss = F.col("w")[0].try_cast("double"), F.try_element_at("w", F.lit(2)).try_cast("double")
-    return rows.select("antenna", "axis", degree.cast("int").alias("degree"), (-loss).alias("gain")).filter("degree is not null and gain is not null")
+    rows = rows.select("file", "antenna", "axis", degree.cast("int").alias("degree"), (-loss).alias("gain")).filter("degree is not null and gain is not null")
+    if bad := rows.groupBy("file", "antenna", "axis").count().filter("count <> 360").limit(10).collect():
+        raise InputError("sections without 360 lines: " + ", ".join(f"{r.antenna} {r.axis} ({r['count']})" for r in bad))
+    return rows.drop("file")
 
 
 def read_scan_pattern(spark: SparkSession, path: str) -> DataFrame:

@@ -121,6 +121,18 @@ def test_relays_as_sources(spark):
     assert "r1_source" in chosen and "r2_source" not in chosen and "s" not in chosen
 
 
+def test_best_coverage_and_statuses(spark):
+    sites, links, _ = _small(spark)
+    net = _network(spark, sites, links[:2] + [("r1", "c1", 2.0)], {"c1": 0.5, "c2": 0.4})  # c2 hangs on nothing
+    solution = models.least_weight_at_best_coverage(net, Rules()).cache()
+    assert {r.coverage for r in solution.select("coverage").distinct().collect()} == {0.5}
+    after = models.with_statuses(net, Rules(), solution)
+    assert {r.site_id for r in after.sites.filter("status = 'PROPOSED'").collect()} == {"s", "r1", "c1"}
+    assert {(r.src, r.dst) for r in after.links.filter("status = 'PROPOSED'").collect()} == {("s", "r1"), ("r1", "c1")}
+    assert after.sectors.filter("status = 'PROPOSED'").count() == 3 and after.sites.count() == 5
+    solution.unpersist()
+
+
 def test_empty_and_large(spark, monkeypatch):
     empty = _network(spark, {}, [], {})
     model = models.site_model(empty, Rules())
