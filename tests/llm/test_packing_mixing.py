@@ -53,7 +53,10 @@ def test_stream_phases():
     assert phases[1][2] == pytest.approx([0, 0.6, 0.4]) and phases[2][3] == pytest.approx([100, 450, 300])
 
 
-def test_mixture_in_first_and_last_shards(spark):
+def test_mixture_in_first_and_last_shards(spark, monkeypatch):
+    from meshwright.llm import packing
+
+    monkeypatch.setattr(packing, "MOST_TASKS", 8)  # many small shards a task
     docs = spark.range(300_000).selectExpr("id AS doc_id", "CASE WHEN id % 10 < 6 THEN 'a' WHEN id % 10 < 9 THEN 'b' ELSE 'c' END AS source", "1 + id % 7 % 5 AS n_tokens")
     specs, targets = spark.createDataFrame([("p", 10)], "pack_name string, capacity_tokens bigint"), spark.createDataFrame([("a", 0.6, 1), ("b", 0.3, 1), ("c", 0.1, 1)], T)
     out = pack(docs, specs, targets, shard_tokens=800).cache()
