@@ -72,3 +72,34 @@ def ellipsoid_confidence(pairs: DataFrame, cells: DataFrame, size: float, thresh
     out = pairs.select("pair_id", "radius").join(least, "pair_id", "left")
     clear = F.least(F.coalesce(F.col("r") / F.col("radius"), F.lit(1.0)), F.lit(1.0))
     return out.select("pair_id", F.when(clear < F.lit(threshold), F.lit(0.0)).otherwise(clear).alias("confidence"))
+
+
+def _side(ax, ay, bx, by, cx, cy) -> Column:
+    """On which side of the line from a to b the point c lies: the sign of twice the triangle's area."""
+    return (bx - ax) * (cy - ay) - (by - ay) * (cx - ax)
+
+
+def meets_ring(x1: Column, y1: Column, x2: Column, y2: Column, ring: Column) -> Column:
+    """Whether the line between two points touches a closed ring (array of lon, lat) or lies in it; edges are straight in both."""
+    edges = F.zip_with(F.slice(ring, 1, F.size(ring) - 1), F.slice(ring, 2, F.size(ring) - 1), lambda a, b: F.struct(a.alias("a"), b.alias("b")))
+
+    def crosses(e: Column) -> Column:
+        ax, ay, bx, by = e["a"]["lon"], e["a"]["lat"], e["b"]["lon"], e["b"]["lat"]
+        boxes = (F.greatest(ax, bx) >= F.least(x1, x2)) & (F.least(ax, bx) <= F.greatest(x1, x2)) & (F.greatest(ay, by) >= F.least(y1, y2)) & (F.least(ay, by) <= F.greatest(y1, y2))
+        ends = F.signum(_side(x1, y1, x2, y2, ax, ay)) * F.signum(_side(x1, y1, x2, y2, bx, by)) <= 0
+        return boxes & ends & (F.signum(_side(ax, ay, bx, by, x1, y1)) * F.signum(_side(ax, ay, bx, by, x2, y2)) <= 0)
+
+    def above(e: Column) -> Column:
+        ax, ay, bx, by = e["a"]["lon"], e["a"]["lat"], e["b"]["lon"], e["b"]["lat"]
+        return ((ay > y1) != (by > y1)) & (x1 < (bx - ax) * (y1 - ay) / (by - ay) + ax)
+
+    odd = F.size(F.filter(edges, above)) % 2 == 1
+    return F.coalesce((F.size(ring) > 3) & (F.exists(edges, crosses) | odd), F.lit(False))
+
+
+def through_zone(ring: Column, lon1="l_lon", lat1="l_lat", lon2="r_lon", lat2="r_lat") -> Column:
+    """Whether the line of sight between two places meets a zone, seen from above; lines over the date line are tried on both sides."""
+    x1, y1, y2 = F.col(lon1), F.col(lat1), F.col(lat2)
+    x2 = x1 + (F.pmod(F.col(lon2) - x1 + 180, F.lit(360.0)) - 180)
+    turn = F.when(x1 > 0, -360.0).otherwise(360.0)
+    return meets_ring(x1, y1, x2, y2, ring) | (((x2 > 180) | (x2 < -180)) & meets_ring(x1 + turn, y1, x2 + turn, y2, ring))

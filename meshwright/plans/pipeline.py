@@ -14,7 +14,7 @@ from meshwright.operators.rangejoin import radius_join
 from meshwright.plans.domain import ACTIVE, BASE_SQL, RADIO, length_sql, link_length, link_type, links, sites
 from meshwright.plans.networks import _edges
 from meshwright.plans.scalars import budget, r, with_gain
-from meshwright.tables import checkpoint
+from meshwright.tables import checkpoint, fixed, table
 
 
 @dataclass(frozen=True)
@@ -28,12 +28,13 @@ class LosRules:
     mount_m: float = 2.0
 
 
-def candidate_network(places: DataFrame, rules: LosRules = LosRules()) -> DataFrame:
+def candidate_network(places: DataFrame, rules: LosRules = LosRules(), zones: DataFrame | None = None) -> DataFrame:
     """Links that sites (site_id, plan_id, site_type, lon, lat, alt, building_id, location_type) of one plan could have.
 
     Relays and sources send to all, clients only receive. Pairs pass distance, slope and building checks, the line of
     sight over the surface of all sites, and a link budget with throughput. Each pair's sight is computed once, in the zone
-    of its first end; places near a border are in the surface of the zones on both sides.
+    of its first end; places near a border are in the surface of the zones on both sides. zones (ring: array of lon, lat) are
+    areas that no line of sight may meet, a table that is small by definition.
     """
     known = places.filter("alt is not null")
     side = lambda k: known.select(F.col("plan_id").alias(f"{k}_plan"), *(F.col(c).alias(f"{k}_{c}") for c in ("site_id", "site_type", "lon", "lat", "alt", "building_id", "location_type")))
@@ -43,6 +44,8 @@ def candidate_network(places: DataFrame, rules: LosRules = LosRules()) -> DataFr
     rise = F.abs(F.col("r_alt") - F.col("l_alt"))
     pairs = pairs.withColumn("length_m", F.sqrt(F.col("distance_m") ** 2 + rise**2)).filter((F.col("length_m") >= rules.least_m) & (F.col("length_m") <= rules.most_m) & ~F.coalesce(one_roof, F.lit(False)))
     pairs = pairs.filter(F.degrees(F.asin(F.least(rise / F.col("length_m"), F.lit(1.0)))) <= rules.steepest_deg)
+    if zones is not None:
+        pairs = pairs.join(fixed(zones.select("ring")), los.through_zone(F.col("ring")), "left_anti")
     pairs = pairs.withColumn("zone", geo.utm_epsg("l_lon", "l_lat"))
     for k, n in (("l", 1), ("r", 2)):
         x, y = geo.to_utm(f"{k}_lon", f"{k}_lat", "zone")
@@ -66,6 +69,17 @@ def pipe_candidate_network(spark: SparkSession, d: str) -> DataFrame:
     return out.select("plan_id", "tx_id", "rx_id", r("length_m", 2).alias("length_m"), r("confidence", 3).alias("confidence"), "mcs")
 
 
+def los_exclusion_zones(spark: SparkSession, d: str) -> DataFrame:
+    """Links whose line of sight meets an area's outer ring, each with the area."""
+    zones = fixed(table(spark, d, "areas").select("area_id", F.col("outer_ring").alias("ring")))
+    ls = links(spark, d)
+    side = lambda k, f: f(F.transform("ring", lambda p: p[k]))
+    boxed = zones.select("*", *(side(k, f).alias(f"{k}{n}") for k in ("lon", "lat") for n, f in ((0, F.array_min), (1, F.array_max))))
+    near = F.expr("greatest(tx_lat, rx_lat) >= lat0 and least(tx_lat, rx_lat) <= lat1 and (abs(tx_lon - rx_lon) > 180 or (greatest(tx_lon, rx_lon) >= lon0 and least(tx_lon, rx_lon) <= lon1))")
+    hit = ls.join(F.broadcast(boxed), near).filter(los.through_zone(F.col("ring"), "tx_lon", "tx_lat", "rx_lon", "rx_lat"))  # a fixed table
+    return hit.select("link_row", "area_id")
+
+
 def metrics(network_sites: DataFrame, network_links: DataFrame) -> DataFrame:
     """One row of figures of a network: counts, lengths and classes, as nested structs; two scans, each combined before it moves."""
     active = F.col("status").isin(*ACTIVE)
@@ -173,8 +187,16 @@ def pipe_two_way_edges(spark: SparkSession, d: str) -> DataFrame:
     return graph.per_plan(_edges(spark, d), two_way_edges, "src string, dst string, relays bigint")
 
 
-QUERIES = {f.__name__: f for f in (pipe_candidate_network, pipe_metrics, pipe_cover_clients, pipe_two_way_edges)}
+QUERIES = {f.__name__: f for f in (pipe_candidate_network, los_exclusion_zones, pipe_metrics, pipe_cover_clients, pipe_two_way_edges)}
 ORACLES = {
+    "los_exclusion_zones": BASE_SQL + """, co AS (SELECT area_id, unnest(outer_ring) AS p, generate_subscripts(outer_ring, 1) AS i FROM areas WHERE len(outer_ring) > 3),
+eg AS (SELECT a.area_id, a.p.lon AS ax, a.p.lat AS ay, b.p.lon AS bx, b.p.lat AS by_ FROM co a JOIN co b ON a.area_id = b.area_id AND b.i = a.i + 1),
+lw AS (SELECT link_row, tx_lon AS x1, tx_lat AS y1, tx_lon + CASE WHEN rx_lon - tx_lon >= 180 THEN rx_lon - tx_lon - 360 WHEN rx_lon - tx_lon < -180 THEN rx_lon - tx_lon + 360 ELSE rx_lon - tx_lon END AS x2, rx_lat AS y2 FROM ln),
+li AS (SELECT * FROM lw UNION ALL SELECT link_row, x1 - 360, y1, x2 - 360, y2 FROM lw WHERE x2 > 180 UNION ALL SELECT link_row, x1 + 360, y1, x2 + 360, y2 FROM lw WHERE x2 < -180),
+tc AS (SELECT DISTINCT link_row, area_id FROM li JOIN eg ON greatest(ax, bx) >= least(x1, x2) AND least(ax, bx) <= greatest(x1, x2) AND greatest(ay, by_) >= least(y1, y2) AND least(ay, by_) <= greatest(y1, y2)
+  WHERE sign((x2 - x1) * (ay - y1) - (y2 - y1) * (ax - x1)) * sign((x2 - x1) * (by_ - y1) - (y2 - y1) * (bx - x1)) <= 0 AND sign((bx - ax) * (y1 - ay) - (by_ - ay) * (x1 - ax)) * sign((bx - ax) * (y2 - ay) - (by_ - ay) * (x2 - ax)) <= 0),
+ins AS (SELECT link_row, area_id FROM li JOIN eg ON (ay > y1) <> (by_ > y1) AND x1 < (bx - ax) * (y1 - ay) / (by_ - ay) + ax GROUP BY link_row, area_id, x1 HAVING count(*) % 2 = 1)
+SELECT link_row, area_id FROM tc UNION SELECT link_row, area_id FROM ins""",
     "pipe_metrics": BASE_SQL
     + f""", s AS (SELECT count(*) AS sites_total, {", ".join(f"count(*) FILTER (status IN ('PROPOSED', 'EXISTING'){x}) AS sites_{n}" for n, x in (("active", ""), ("pop", " AND site_type = 'POP'"), ("dn", " AND site_type = 'DN'"), ("cn", " AND site_type = 'CN'")))} FROM st),
 l AS (SELECT count(*) AS links_total, count(*) FILTER (status IN ('PROPOSED', 'EXISTING')) AS links_active, round(avg(round({length_sql()}, 6)), 2) + 0 AS links_avg_m, round(max(round({length_sql()}, 6)), 2) + 0 AS links_max_m, round(sum(capacity) FILTER (status IN ('PROPOSED', 'EXISTING')), 6) + 0 AS links_gbps FROM ln)

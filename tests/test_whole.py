@@ -71,6 +71,19 @@ def test_pairs_over_a_border(spark, border):
     assert got == [("clear/a", "clear/b"), ("clear/b", "clear/a")]
 
 
+def test_no_link_through_a_zone(spark):
+    square = lambda x, y, r: [(x - r, y - r), (x + r, y - r), (x + r, y + r), (x - r, y + r), (x - r, y - r)]
+    schema, zone = "site_id string, plan_id string, site_type string, lat double, lon double, alt double, building_id bigint, location_type string", "ring array<struct<lon double, lat double>>"
+    for border in ("date_line", "equator"):
+        (a_lat, a_lon), (b_lat, b_lon) = _across(border, -60, 60)
+        places = spark.createDataFrame([("a", "p", "DN", a_lat, a_lon, 20.0, None, None), ("b", "p", "DN", b_lat, b_lon, 20.0, None, None)], schema)
+        run = lambda *rings, places=places: candidate_network(places, LosRules(cell_m=0.02), spark.createDataFrame([(r,) for r in rings], zone)).count()
+        assert run() == 2 and run(square(a_lon, a_lat + 0.01, 0.001)) == 2 and run(None, [(0.0, 0.0)]) == 2
+        assert run(square(b_lon, b_lat, 0.0001)) == 0  # the far end is inside
+        between = (a_lon if border == "equator" else -179.99995, (a_lat + b_lat) / 2)
+        assert run(square(*between, 0.00002)) == 0  # only the line passes
+
+
 @pytest.mark.parametrize("name", ["los_cylinder", "los_ellipsoid"])
 def test_sight_over_a_border(spark, tmp_path, name):
     ends = {(b, k): p for b in BORDERS for k, p in zip("xy", _across(b, -60, 60), strict=True)}
