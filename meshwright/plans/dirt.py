@@ -66,6 +66,11 @@ def p4_sites(spark: SparkSession, d: str) -> DataFrame:
     return schemadrift.consistent_table(table(spark, d, "feed_records"), table(spark, d, "field_aliases"))
 
 
+def p4_properties(spark: SparkSession, d: str) -> DataFrame:
+    """The consistent table without the values of other names."""
+    return p4_sites(spark, d).drop("other_fields")
+
+
 def p5_found(spark: SparkSession, d: str) -> DataFrame:
     return units.recorded_elsewise(p5_converted(spark, d)).select("meas_id", "field_name")
 
@@ -79,7 +84,7 @@ def p5_values(spark: SparkSession, d: str) -> DataFrame:
     return p5_converted(spark, d).filter("value is not null").select("meas_id", "field_name", (F.round("value", 6) + 0.0).alias("value"))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_orphans_by_month, p2_found, p3_found, p3_typed, p3_errors, p3_recovered, p4_found, p4_alternatives, p4_sites, p5_found, p5_converted, p5_values)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_orphans_by_month, p2_found, p3_found, p3_typed, p3_errors, p3_recovered, p4_found, p4_alternatives, p4_sites, p4_properties, p5_found, p5_converted, p5_values)}
 
 _CASES = """
 WITH e AS (

@@ -25,6 +25,33 @@ UNION ALL SELECT feed_id, file_seq, 'removed', k FROM gn WHERE NOT EXISTS (SELEC
 UNION ALL SELECT p.feed_id, p.file_seq, 'retyped', s.k FROM pr p JOIN sc s USING (feed_id, file_seq) JOIN sc o ON o.feed_id = p.feed_id AND o.file_seq = p.prev AND o.k = s.k WHERE len(s.kinds) > 0 AND len(o.kinds) > 0 AND s.kinds <> o.kinds"""
 P4_ALTERNATIVES = _P4 + "SELECT feed_id, k AS field_name, kind, min(file_seq) AS first_file, max(file_seq) AS last_file, count(DISTINCT file_seq) AS files FROM e WHERE kind IS NOT NULL GROUP BY 1, 2, 3"
 
+_DMS = r"^([+-]?\d+(?:\.\d+)?)[\s°]*(?:(\d+(?:\.\d+)?)[\s''′]+)?(?:(\d+(?:\.\d+)?)[\s\"″]*)?([NSEWnsew]?)$".replace('\\"', '"')
+
+
+def _degrees_of(t: str) -> str:
+    part = lambda i: f"TRY_CAST(regexp_extract(trim({t}), '{_DMS}', {i}) AS DOUBLE)"
+    sign = f"CASE WHEN (upper(regexp_extract(trim({t}), '{_DMS}', 4)) IN ('S', 'W')) <> starts_with(trim({t}), '-') THEN -1 ELSE 1 END"
+    return f"coalesce(TRY_CAST({t} AS DOUBLE), {sign} * (abs({part(1)}) + coalesce({part(2)}, 0) / 60 + coalesce({part(3)}, 0) / 3600))"
+
+
+_PROPERTIES = {"site_name": "text", "site_type": "text", "longitude": "deg", "latitude": "deg", "altitude": "number", "height": "number", "device_sku": "text", "subscribers": "whole"}
+_AS = {"text": "{}", "deg": "{}", "number": "TRY_CAST({} AS DOUBLE)", "whole": "CAST(trunc(TRY_CAST({} AS DOUBLE)) AS BIGINT)"}
+
+
+def _property(p: str, kind: str) -> str:
+    t = f"min(v) FILTER (property = '{p}')"
+    return (_degrees_of(t) if kind == "deg" else _AS[kind].format(t)) + f" AS {p}"
+
+
+_BRANCH = {"string": "{}", "number": "TRY_CAST({} AS DOUBLE)", "boolean": "CAST({} AS BOOLEAN)"}
+P4_PROPERTIES = _P4.replace("WITH al AS", "WITH RECURSIVE al AS", 1) + f""", en AS (SELECT feed_id, g AS a, n AS b FROM rn UNION SELECT feed_id, n, g FROM rn),
+ms AS (SELECT DISTINCT en.feed_id, en.a, al.f AS property, 0 AS steps FROM en JOIN al ON al.a = en.a UNION SELECT en.feed_id, en.a, property, steps + 1 FROM ms JOIN en ON en.feed_id = ms.feed_id AND en.b = ms.a WHERE steps < 12),
+mn AS (SELECT feed_id, a, arg_min(property, (steps, property)) AS learnt FROM ms GROUP BY 1, 2),
+pv AS (SELECT e.record_id, e.kind, e.v, coalesce(al.f, mn.learnt) AS property FROM e LEFT JOIN al ON al.a = e.k LEFT JOIN mn ON mn.feed_id = e.feed_id AND mn.a = e.k WHERE e.kind IS NOT NULL),
+pt AS (SELECT record_id, {", ".join(_property(p, k) for p, k in _PROPERTIES.items())},
+  {", ".join(_BRANCH[b].format(f"min(v) FILTER (property = '{p}' AND kind = '{b}')") + f" AS {p}_{b}" for p, k in _PROPERTIES.items() for b in _BRANCH if b != ("string" if k == "text" else "number"))} FROM pv GROUP BY 1)
+SELECT r.record_id, r.feed_id, r.file_seq, pt.* EXCLUDE (record_id) FROM feed_records r LEFT JOIN pt USING (record_id)"""
+
 #: Phrases of notes, by the unit they name. Fixed values.
 _HEIGHT = {
     "cm": ("Zentimeter", "heights are centimetres", "height column in cm", "height x 100", "hauteur: cm"), "mm": ("height [mm]", "millimetres for all heights", "height in mm"),
@@ -113,4 +140,4 @@ _COLUMNS = {
 P3_TYPED = _P3 + ", " + f"""ty AS (SELECT line_id, {", ".join(f"max(CASE WHEN {when} THEN {x} END) AS {c}" for c, x, when in _COLUMNS.values())} FROM tx GROUP BY 1),
 gd AS (SELECT line_id FROM ok GROUP BY 1 HAVING bool_and(coalesce(ok, false)))
 SELECT line_id, file_name, lower(trim(raw_lines.file_kind)) AS file_kind, line_no, CAST(mcs AS BIGINT) AS mcs, ty.* EXCLUDE (line_id, mcs) FROM gd JOIN ty USING (line_id) JOIN raw_lines USING (line_id)"""
-ORACLES = {"p3_found": P3_FOUND, "p3_typed": P3_TYPED, "p4_found": P4_FOUND, "p4_alternatives": P4_ALTERNATIVES, "p5_found": P5_FOUND, "p5_values": P5_VALUES}
+ORACLES = {"p3_found": P3_FOUND, "p3_typed": P3_TYPED, "p4_found": P4_FOUND, "p4_alternatives": P4_ALTERNATIVES, "p4_properties": P4_PROPERTIES, "p5_found": P5_FOUND, "p5_values": P5_VALUES}
