@@ -339,6 +339,61 @@ def prune_loops(flows: dict[tuple[str, str], float]) -> dict[tuple[str, str], fl
                 del flows[e]
 
 
+class LiveTree:
+    """What a source reaches while links go down and up: a spanning tree in which only what hangs on a changed link is touched.
+
+    lost has the time each node has been out of reach so far, up to the last time it was reached again.
+    """
+
+    def __init__(self, g: Graph, start: int, pair_of: dict[tuple[int, int], int]) -> None:
+        n = len(g.names)
+        self.out = [[(j, pair_of.get((i, j), -1)) for j in g.out[i]] for i in range(n)]
+        self.into = [[(i, pair_of.get((i, j), -1)) for i in g.into[j]] for j in range(n)]
+        self.down: set[int] = set()
+        self.parent, self.children = [-1] * n, [set() for _ in range(n)]
+        self.reached, self.since, self.lost = [False] * n, [0.0] * n, [0.0] * n
+        self.reached[start] = True
+        self._spread([start], 0.0)
+
+    def _attach(self, node: int, parent: int, now: float) -> None:
+        self.parent[node], self.reached[node] = parent, True
+        self.children[parent].add(node)
+        self.lost[node] += now - self.since[node]
+
+    def _spread(self, queue: list[int], now: float) -> None:
+        for i in queue:
+            for j, pair in self.out[i]:
+                if not self.reached[j] and pair not in self.down:
+                    self._attach(j, i, now)
+                    queue.append(j)
+
+    def fail(self, pair: int, ends: tuple[int, int], now: float) -> None:
+        self.down.add(pair)
+        for a, b in (ends, ends[::-1]):
+            if self.parent[b] == a:
+                self.children[a].discard(b)
+                below = [b]
+                for i in below:
+                    below += self.children[i]
+                for i in below:
+                    self.reached[i], self.parent[i], self.since[i] = False, -1, now
+                    self.children[i].clear()
+                # what another link still holds is back at once, with all behind it
+                for i in below:
+                    if not self.reached[i]:
+                        up = next((u for u, p in self.into[i] if self.reached[u] and p not in self.down), None)
+                        if up is not None:
+                            self._attach(i, up, now)
+                            self._spread([i], now)
+
+    def repair(self, pair: int, ends: tuple[int, int], now: float) -> None:
+        self.down.discard(pair)
+        for a, b in (ends, ends[::-1]):
+            if self.reached[a] and not self.reached[b] and any(j == b for j, _ in self.out[a]):
+                self._attach(b, a, now)
+                self._spread([b], now)
+
+
 def availability(edges: pd.DataFrame, link_availability: float, horizon: float, seed: int) -> pd.DataFrame:
     """Share of time in which each demand is connected while wireless links fail and are repaired at random: demand, availability.
 
@@ -350,27 +405,17 @@ def availability(edges: pd.DataFrame, link_availability: float, horizon: float,
     if SOURCE not in g.at:
         return pd.DataFrame({"demand": demands, "availability": [0.0] * len(demands)})
     pairs = sorted({(min(a, b), max(a, b)) for a, b, k in zip(src, dst, kind, strict=True) if k == "WIRELESS"})
+    ends = [(g.at[a], g.at[b]) for a, b in pairs]
+    tree = LiveTree(g, g.at[SOURCE], {e: k for k, (a, b) in enumerate(ends) for e in ((a, b), (b, a))})
     rng = np.random.default_rng(seed)
     events = [(float(rng.exponential(link_availability)), i, True) for i in range(len(pairs))]
     heapq.heapify(events)
-    down: set[int] = set()
-    up_time = np.zeros(len(g.names))
-    now, known = 0.0, {}
-    while now < horizon:
-        t, i, fails = heapq.heappop(events) if events else (horizon, -1, False)
-        state = frozenset(down)
-        if state not in known:
-            if len(known) > 10_000:
-                known.clear()
-            gone = {e for k in state for a, b in [pairs[k]] for e in ((g.at[a], g.at[b]), (g.at[b], g.at[a]))}
-            known[state] = np.fromiter(g.reached(g.at[SOURCE], gone), int)
-        up_time[known[state]] += min(t, horizon) - now
-        now = min(t, horizon)
-        if i < 0:
-            break
-        (down.add if fails else down.discard)(i)
+    while events and events[0][0] < horizon:
+        t, i, fails = heapq.heappop(events)
+        (tree.fail if fails else tree.repair)(i, ends[i], t)
         heapq.heappush(events, (t + float(rng.exponential(1 - link_availability if fails else link_availability)), i, not fails))
-    return pd.DataFrame({"demand": demands, "availability": [up_time[g.at[n]] / horizon for n in demands]})
+    gone = [tree.lost[k] + (0.0 if tree.reached[k] else horizon - tree.since[k]) for k in range(len(g.names))]
+    return pd.DataFrame({"demand": demands, "availability": [1 - gone[g.at[n]] / horizon for n in demands]})
 
 
 def per_plan(edges: DataFrame, kernel, schema: str) -> DataFrame:

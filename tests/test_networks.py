@@ -1,5 +1,7 @@
 import random
 
+import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -95,3 +97,43 @@ def test_interference(spark):
     assert got == {1: pytest.approx(1e-7)}
     done = {r.link_row: r for r in interference.power_control(links, -74.0, 16.0, 0.0).collect()}
     assert done[3].mcs == 12 and done[3].tx_power <= 10.0 and done[1].sinr <= 14.0
+
+
+def _simulated_anew(edges, link_availability, horizon, seed):
+    """The same run of failures with everything reached found anew after each."""
+    import heapq
+
+    g = graph.Graph(list(edges["src"]), list(edges["dst"]))
+    pairs = sorted({(min(a, b), max(a, b)) for a, b, k in edges[["src", "dst", "kind"]].itertuples(index=False, name=None) if k == "WIRELESS"})
+    rng = np.random.default_rng(seed)
+    events = [(float(rng.exponential(link_availability)), i, True) for i in range(len(pairs))]
+    heapq.heapify(events)
+    down, up, now = set(), dict.fromkeys(g.names, 0.0), 0.0
+    while now < horizon:
+        t, i, fails = heapq.heappop(events) if events else (horizon, -1, True)
+        gone = {e for k in down for a, b in [pairs[k]] for e in ((g.at[a], g.at[b]), (g.at[b], g.at[a]))}
+        for n in g.reached(g.at["SUPERSOURCE"], gone):
+            up[g.names[n]] += min(t, horizon) - now
+        now = min(t, horizon)
+        (down.add if fails else down.discard)(i)
+        heapq.heappush(events, (t + float(rng.exponential(1 - link_availability if fails else link_availability)), i, not fails))
+    return {n: x / horizon for n, x in up.items() if n.startswith("demand:")}
+
+
+def test_availability_against_reaching_anew():
+    rng = np.random.default_rng(1)
+    for trial in range(25):
+        n = int(rng.integers(3, 25))
+        rows, seen = [("SUPERSOURCE", f"s{i}", "SOURCE") for i in range(int(rng.integers(1, 3)))], set()
+        for _ in range(int(rng.integers(n, 3 * n))):
+            a, b = (int(x) for x in rng.choice(n, 2, replace=False))
+            if not {(a, b), (b, a)} & seen:
+                seen.add((a, b))
+                kind = "WIRED" if rng.random() < 0.1 else "WIRELESS"
+                rows += [(f"s{a}", f"s{b}", kind), (f"s{b}", f"s{a}", kind)][: 1 + (rng.random() < 0.7)]
+        rows += [(f"s{i}", f"demand:s{i}", "DEMAND") for i in range(n) if rng.random() < 0.6]
+        edges = pd.DataFrame(rows, columns=["src", "dst", "kind"])
+        for share in (0.6, 0.95):
+            got = graph.availability(edges, share, 20.0, trial)
+            want = _simulated_anew(edges, share, 20.0, trial)
+            assert dict(zip(got.demand, got.availability, strict=True)) == pytest.approx(want, abs=1e-9)
