@@ -419,12 +419,11 @@ def availability(edges: pd.DataFrame, link_availability: float, horizon: float,
 
 
 def per_plan(edges: DataFrame, kernel, schema: str) -> DataFrame:
-    """Runs a kernel over each plan's network, after a check that none has more than MOST_EDGES edges."""
-    over = edges.groupBy("plan_id").count().filter(F.col("count") > MOST_EDGES).limit(1).collect()
-    if over:
-        raise ValueError(f"plan {over[0]['plan_id']} has more than {MOST_EDGES} edges")
+    """Runs a kernel over each plan's network; fails if one has more than MOST_EDGES edges. The edges are computed once."""
 
     def run(key, pdf: pd.DataFrame) -> pd.DataFrame:
+        if len(pdf) > MOST_EDGES:
+            raise ValueError(f"plan {key[0]} has more than {MOST_EDGES} edges")
         out = kernel(pdf.sort_values(["src", "dst"], kind="stable"))
         out.insert(0, "plan_id", key[0])
         return out

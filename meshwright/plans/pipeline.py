@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import heapq
 from dataclasses import dataclass
 
 import pandas as pd
@@ -105,24 +106,55 @@ def cover_clients(edges: pd.DataFrame) -> pd.DataFrame:
     for a, b, k in zip(edges["src"], edges["dst"], edges["kind"], strict=True):
         if k in ("WIRELESS", "WIRED"):
             (clients if b in homes else out_of).setdefault(a, set()).add(b)
-    ready = {b for b, k in zip(edges["dst"], edges["kind"], strict=True) if k == "SOURCE"}
+    heard_by: dict[str, list[str]] = {}
+    into: dict[str, list[str]] = {}
+    for back, to in ((heard_by, clients), (into, out_of)):
+        for a, ends in to.items():
+            for b in ends:
+                back.setdefault(b, []).append(a)
+    gains = {a: len(c) for a, c in clients.items()}  # clients not covered yet
+    leads = {a: sum(b in gains for b in ends) for a, ends in out_of.items()}  # neighbours that are not picked and have such clients
+    # both only fall: an entry of by_gain may be too good and is put back then, one of by_name that leads nowhere never will again
+    known = {b for b, k in zip(edges["dst"], edges["kind"], strict=True) if k == "SOURCE"}
+    by_name = sorted(known)
+    by_gain = [(-gains.get(n, 0), n) for n in by_name]
+    heapq.heapify(by_gain)
     picked: list[tuple[int, str, int]] = []
     covered: set[str] = set()
     used: set[str] = set()
-    while ready:
-        best = min(ready, key=lambda n: (-len(clients.get(n, set()) - covered), n))
-        gain = clients.get(best, set()) - covered
-        if not gain:
+    while True:
+        best = None
+        while by_gain and best is None:
+            had, n = by_gain[0]
+            if n in used or not had:
+                heapq.heappop(by_gain)
+            elif -had != gains[n]:
+                heapq.heapreplace(by_gain, (-gains[n], n))
+            else:
+                best = n
+        if best is None:
             # a relay that leads on to others may still be needed
-            wider = sorted((n for n in ready if any(clients.get(x, set()) - covered for x in out_of.get(n, ()) if x not in used)), key=str)
-            if not wider:
+            while by_name and (by_name[0] in used or not leads.get(by_name[0])):
+                heapq.heappop(by_name)
+            if not by_name:
                 break
-            best = wider[0]
-            gain = clients.get(best, set()) - covered
+            best = by_name[0]
+        gain = clients.get(best, set()) - covered
         picked.append((len(picked) + 1, best, len(gain)))
-        covered |= gain
         used.add(best)
-        ready = (ready | out_of.get(best, set())) - used
+        if gain:
+            for n in into.get(best, ()):
+                leads[n] -= 1
+        covered |= gain
+        for n in (x for c in gain for x in heard_by[c]):
+            gains[n] -= 1
+            if not gains[n] and n not in used:
+                for x in into.get(n, ()):
+                    leads[x] -= 1
+        for n in out_of.get(best, set()) - known:
+            known.add(n)
+            heapq.heappush(by_name, n)
+            heapq.heappush(by_gain, (-gains.get(n, 0), n))
     return pd.DataFrame(picked, columns=["step", "site_id", "clients"])
 
 

@@ -1,13 +1,16 @@
 """Queries over the whole of their input: small tables, and SQL of the registry without the condition that cuts it."""
 
 import math
+import random
+import time
 from datetime import datetime
 from pathlib import Path
 
+import pandas as pd
 import pytest
 
 import __spark_entry__ as entry
-from meshwright.plans.pipeline import LosRules, candidate_network
+from meshwright.plans.pipeline import LosRules, candidate_network, cover_clients
 
 SF = Path("/root/testdata/sf0.001")
 SITE = "site_row bigint, plan_id string, site_name string, site_type string, latitude double, longitude double, altitude double, device_sku string, site_status string, location_type string, building_id bigint, subscribers bigint, recorded_at timestamp"
@@ -103,3 +106,52 @@ def test_availability_over_the_whole_time(spark, tmp_path):
     got = [r.availability for r in entry.queries()["graph_availability"](spark, d).collect()]
     # each hangs on one link, which fails about 100 times in that time
     assert len(got) == 40 and max(got) < 1.0 and sum(got) / 40 == pytest.approx(0.999, abs=2e-4)
+
+
+def _network(links, sources, clients):
+    """A plan's graph as pandas rows in the order that kernels get."""
+    rows = [("SUPERSOURCE", s, "SOURCE") for s in sources] + [(a, b, "WIRELESS") for a, b in links] + [(c, f"demand:{c}", "DEMAND") for c in clients]
+    return pd.DataFrame(rows, columns=["src", "dst", "kind"]).sort_values(["src", "dst"], kind="stable")
+
+
+def _random_network(rng):
+    n = rng.randint(2, 25)
+    links = {(f"s{a}", f"s{b}") for _ in range(rng.randint(1, 3 * n)) for a, b in [rng.sample(range(n), 2)]}
+    links |= {(b, a) for a, b in links if rng.random() < 0.7}
+    return _network(sorted(links), [f"s{i}" for i in rng.sample(range(n), min(n, rng.randint(1, 3)))], [f"s{i}" for i in range(n) if rng.random() < 0.5])
+
+
+def _within(seconds, kernel, edges):
+    began = time.process_time()
+    out = kernel(edges)
+    assert time.process_time() - began < seconds
+    return out
+
+
+def _covered_by_trying_all(edges):
+    ends = {k: [(a, b) for a, b, x in edges.itertuples(index=False, name=None) if x == k] for k in ("SOURCE", "WIRELESS", "DEMAND")}
+    homes, ready, used, covered, out = {a for a, _ in ends["DEMAND"]}, {b for _, b in ends["SOURCE"]}, set(), set(), []
+    near = lambda n, home: {b for a, b in ends["WIRELESS"] if a == n and (b in homes) == home}
+    gain = lambda n: near(n, True) - covered
+    while ready:
+        best = min(ready, key=lambda n: (-len(gain(n)), n))
+        if not gain(best):
+            best = min((n for n in ready if any(gain(x) for x in near(n, False) - used)), default=None)
+            if best is None:
+                break
+        out.append((len(out) + 1, best, len(gain(best))))
+        covered |= gain(best)
+        used.add(best)
+        ready = (ready | near(best, False)) - used
+    return out
+
+
+def test_cover_clients():
+    rng = random.Random(1)
+    for _ in range(300):
+        edges = _random_network(rng)
+        assert list(cover_clients(edges).itertuples(index=False, name=None)) == _covered_by_trying_all(edges)
+    n = 8000
+    links = [x for i in range(n) for x in (("s", f"r{i}"), (f"r{i}", f"c{i}"))]
+    out = _within(4, cover_clients, _network(links, ["s"], [f"c{i}" for i in range(n)]))
+    assert len(out) == n + 1 and out["clients"].sum() == n
