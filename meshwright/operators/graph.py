@@ -230,17 +230,60 @@ def failures(edges: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame(out, columns=["kind", "a", "b", "lost"])
 
 
+def breadth_first(out: list[list[int]], starts: list[int]) -> tuple[list[int], list[int], list[int]]:
+    """Nodes in the order in which they are reached, and each node's parent and level; -1 where none is."""
+    order, parent, level = list(starts), [-1] * len(out), [-1] * len(out)
+    for n in starts:
+        level[n] = 0
+    for i in order:
+        for j in out[i]:
+            if level[j] < 0:
+                parent[j], level[j] = i, level[i] + 1
+                order.append(j)
+    return order, parent, level
+
+
 def disjoint(edges: pd.DataFrame) -> pd.DataFrame:
-    """For each connected demand whether a second path exists without the links of its shortest one (but its last hop): demand, hops, two_paths."""
+    """For each connected demand whether a second path exists without the links of its shortest one (but its last hop): demand, hops, two_paths.
+
+    All shortest paths are in one breadth-first tree. A path that does not begin with the same link shares none with it,
+    so a second one is looked for backwards and only among the nodes behind that link.
+    """
     g = Graph(list(edges["src"]), list(edges["dst"]))
     out = []
     if SOURCE in g.at:
-        start = g.at[SOURCE]
+        order, parent, level = breadth_first(g.out, [g.at[SOURCE]])
+        first = [-1] * len(g.names)  # the node behind the first link of each node's path
+        for n in order:
+            if level[n] > 1:
+                first[n] = n if level[n] == 2 else first[parent[n]]
+        # links into what is behind a first link, besides that one
+        open_to = {first[j] for j in order if first[j] >= 0 for i in g.into[j] if level[i] >= 0 and first[i] != first[j] and not (first[j] == j and parent[j] == i)}
+
+        def second(n: int, last: int) -> bool:
+            top, path, i = first[last], set(), last
+            if top not in open_to:
+                return False
+            while i != parent[top]:
+                path.add(i)
+                i = parent[i]
+            seen, stack = {n}, [n]
+            while stack:
+                j = stack.pop()
+                for i in g.into[j]:
+                    if level[i] < 0 or i in seen or (j in path and parent[j] == i) or (i in path and parent[i] == j):
+                        continue
+                    if first[i] != top:
+                        return True
+                    seen.add(i)
+                    stack.append(i)
+            return False
+
         for n, name in enumerate(g.names):
-            if name.startswith("demand:") and (first := g.path(start, n)):
+            if name.startswith("demand:") and level[n] >= 0:
                 # source and demand edges are imaginary; the last real hop leads to the client
-                used = {e for a, b in zip(first[1:-3], first[2:-2], strict=False) for e in ((a, b), (b, a))}
-                out.append((name, len(first) - 3, bool(used) and g.path(start, n, used) is not None))
+                last = parent[parent[n]] if level[n] > 1 else -1
+                out.append((name, level[n] - 2, last >= 0 and level[last] > 1 and second(n, last)))
     return pd.DataFrame(out, columns=["demand", "hops", "two_paths"])
 
 

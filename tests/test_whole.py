@@ -10,6 +10,7 @@ import pandas as pd
 import pytest
 
 import __spark_entry__ as entry
+from meshwright.operators import graph
 from meshwright.plans.pipeline import LosRules, candidate_network, cover_clients
 
 SF = Path("/root/testdata/sf0.001")
@@ -155,3 +156,25 @@ def test_cover_clients():
     links = [x for i in range(n) for x in (("s", f"r{i}"), (f"r{i}", f"c{i}"))]
     out = _within(4, cover_clients, _network(links, ["s"], [f"c{i}" for i in range(n)]))
     assert len(out) == n + 1 and out["clients"].sum() == n
+
+
+def _second_path_by_search(edges):
+    g = graph.Graph(list(edges["src"]), list(edges["dst"]))
+    out = []
+    for n, name in enumerate(g.names):
+        if name.startswith("demand:") and (path := g.path(g.at["SUPERSOURCE"], n)):
+            used = {e for a, b in zip(path[1:-3], path[2:-2], strict=False) for e in ((a, b), (b, a))}
+            out.append((name, len(path) - 3, bool(used) and g.path(g.at["SUPERSOURCE"], n, used) is not None))
+    return out
+
+
+def test_disjoint_paths():
+    rng = random.Random(2)
+    for _ in range(300):
+        edges = _random_network(rng)
+        assert list(graph.disjoint(edges).itertuples(index=False, name=None)) == _second_path_by_search(edges)
+    # chains of three relays, each joined at its end to the next one's and with a client there
+    n = 1500
+    links = [x for i in range(n) for x in ((f"s{i}", f"a{i}"), (f"a{i}", f"b{i}"), (f"b{i}", f"c{i}"), (f"c{i}", f"c{(i + 1) % n}"), (f"c{i}", f"k{i}"))]
+    out = _within(4, graph.disjoint, _network(links, [f"s{i}" for i in range(n)], [f"k{i}" for i in range(n)]))
+    assert len(out) == n and set(out["hops"]) == {4} and out["two_paths"].all()
