@@ -165,54 +165,97 @@ def pipe_cover_clients(spark: SparkSession, d: str) -> DataFrame:
 def two_way_edges(edges: pd.DataFrame) -> pd.DataFrame:
     """Links that carry two paths from sources to each relay that has them, sharing no other relay: src, dst, relays.
 
-    Relays are split into an entry and an exit of capacity 1; two augmenting paths per relay are all that is needed.
-    Sources are not limited.
+    Relays are split into an entry and an exit of capacity 1; two augmenting paths per relay are all that is needed, each
+    a shortest one, the first in breadth-first order. Sources are not limited. First paths are in one breadth-first tree.
+    Taking one changes neither level nor order of a node behind another first link, as a step back costs two levels, so the
+    second search begins at the links from there into what is behind its own first link.
     """
     sources = {b for b, k in zip(edges["dst"], edges["kind"], strict=True) if k == "SOURCE"}
     homes = {a for a, k in zip(edges["src"], edges["kind"], strict=True) if k == "DEMAND"}
     real = [(a, b) for a, b, k in zip(edges["src"], edges["dst"], edges["kind"], strict=True) if k in ("WIRELESS", "WIRED") and b not in sources and b not in homes]
-    relays = sorted({b for _, b in real})
-    starts = sorted(f"{s}|out" for s in sources)
-    base = [(f"{a}|out", f"{b}|in") for a, b in real] + [(f"{n}|in", f"{n}|out") for n in relays]
-    out: dict[str, list[str]] = {}
-    for a, b in base:
-        out.setdefault(a, []).append(b)
-    count: dict[tuple[str, str], int] = {}
-    for relay in relays:
-        sink, flow = f"{relay}|in", set()
-        paths = 0
-        for _ in range(2):
-            parent, queue = dict.fromkeys(starts), list(starts)
-            back: dict[str, list[str]] = {}
-            for a, b in flow:
-                back.setdefault(b, []).append(a)
-            for n in queue:
-                for m in out.get(n, ()):
-                    if m not in parent and (n, m) not in flow:
-                        parent[m] = n
-                        queue.append(m)
-                for m in back.get(n, ()):
-                    if m not in parent:
-                        parent[m] = n
-                        queue.append(m)
-                if sink in parent:
+    names = sorted(sources.union(*real))
+    at = {n: 2 * i for i, n in enumerate(names)}  # the entry; the exit is the next number
+    out: list[list[int]] = [[] for _ in range(2 * len(names))]
+    into: list[list[int]] = [[] for _ in out]
+    relays = sorted({at[b] for _, b in real})
+    for a, b in [(at[a] + 1, at[b]) for a, b in real] + [(n, n + 1) for n in relays]:
+        out[a].append(b)
+        into[b].append(a)
+    starts = [at[s] + 1 for s in sorted(sources, key=lambda s: f"{s}|out")]
+    order, parent, level = graph.breadth_first(out, starts)
+    rank = {n: k for k, n in enumerate(order)}
+    first = [-1] * len(out)  # the node behind the first link of each node's path
+    for n in order:
+        if level[n] > 0:
+            first[n] = n if level[n] == 1 else first[parent[n]]
+    entries: dict[int, dict[int, dict[int, int]]] = {}  # by first link, level and node: the foremost of the nodes from which a link enters there
+    for m in order:
+        for n in into[m] if first[m] >= 0 else ():
+            if level[n] >= 0 and first[n] != first[m] and not (first[m] == m and parent[m] == n):
+                here = entries.setdefault(first[m], {}).setdefault(level[n] + 1, {})
+                if m not in here or rank[n] < rank[here[m]]:
+                    here[m] = n
+
+    def second(relay: int, before: dict[int, int]) -> dict[int, int] | None:
+        """Each node's parent behind the first link when one path, of which before has each node's parent, is taken."""
+        top, found, ahead = first[relay], {}, {}
+        there = entries.get(top, {})
+        after = {p: n for n, p in before.items()}
+
+        def earlier(x: int, y: int) -> bool:
+            """Whether x comes before y, both of one level, by the place at which their paths part."""
+            px, py = found.get(x, parent[x]), found.get(y, parent[y])
+            while px != py:
+                if x not in found and y not in found:
+                    return rank[x] < rank[y]
+                if px < 0 or py < 0:
                     break
-            if sink not in parent:
-                break
-            paths, n = paths + 1, sink
-            while parent[n] is not None:
-                p = parent[n]
-                if (n, p) in flow:
-                    flow.discard((n, p))
-                else:
-                    flow.add((p, n))
-                n = p
-        if paths == 2:
-            for a, b in flow:
-                if a.endswith("|out"):
-                    e = (a[:-4], b[:-3])
-                    count[e] = count.get(e, 0) + 1
-    return pd.DataFrame([(a, b, n) for (a, b), n in sorted(count.items())], columns=["src", "dst", "relays"])
+                x, y = px, py
+                px, py = found.get(x, parent[x]), found.get(y, parent[y])
+            if px < 0:
+                return rank[x] < rank[y]
+            place = lambda n: out[px].index(n) if n in out[px] else len(out[px])
+            return place(x) < place(y)
+
+        levels, now = sorted(there, reverse=True), 0
+        while ahead or levels:
+            now = now + 1 if ahead else levels[-1]
+            if levels and levels[-1] == now:
+                levels.pop()
+                for m, n in there[now].items():
+                    if m not in found and (m not in ahead or earlier(n, ahead[m])):
+                        ahead[m] = n
+            found |= ahead
+            if relay in found:
+                return found
+            reached, ahead = ahead, {}
+            for n in reached:
+                for m in (*out[n], before[n]) if n in before else out[n]:
+                    if first[m] == top and m not in found and after.get(n) != m and (m not in ahead or earlier(n, ahead[m])):
+                        ahead[m] = n
+        return None
+
+    count: dict[tuple[int, int], int] = {}
+    for relay in relays:
+        if first[relay] not in entries:
+            continue
+        before, n = {}, relay
+        while parent[n] >= 0:
+            before[n], n = parent[n], parent[n]
+        found = second(relay, before)
+        if found is None:
+            continue
+        flow, n = {(p, n) for n, p in before.items()}, relay
+        while (p := found.get(n, parent[n])) >= 0:
+            if (n, p) in flow:
+                flow.discard((n, p))
+            else:
+                flow.add((p, n))
+            n = p
+        for a, b in flow:
+            if a % 2:
+                count[a, b] = count.get((a, b), 0) + 1
+    return pd.DataFrame([(names[a // 2], names[b // 2], n) for (a, b), n in sorted(count.items())], columns=["src", "dst", "relays"])
 
 
 def pipe_two_way_edges(spark: SparkSession, d: str) -> DataFrame:

@@ -11,7 +11,7 @@ import pytest
 
 import __spark_entry__ as entry
 from meshwright.operators import graph
-from meshwright.plans.pipeline import LosRules, candidate_network, cover_clients
+from meshwright.plans.pipeline import LosRules, candidate_network, cover_clients, two_way_edges
 
 SF = Path("/root/testdata/sf0.001")
 SITE = "site_row bigint, plan_id string, site_name string, site_type string, latitude double, longitude double, altitude double, device_sku string, site_status string, location_type string, building_id bigint, subscribers bigint, recorded_at timestamp"
@@ -178,3 +178,46 @@ def test_disjoint_paths():
     links = [x for i in range(n) for x in ((f"s{i}", f"a{i}"), (f"a{i}", f"b{i}"), (f"b{i}", f"c{i}"), (f"c{i}", f"c{(i + 1) % n}"), (f"c{i}", f"k{i}"))]
     out = _within(4, graph.disjoint, _network(links, [f"s{i}" for i in range(n)], [f"k{i}" for i in range(n)]))
     assert len(out) == n and set(out["hops"]) == {4} and out["two_paths"].all()
+
+
+def _two_ways_by_search(edges):
+    sources, homes = {b for _, b, k in edges.itertuples(index=False) if k == "SOURCE"}, {a for a, _, k in edges.itertuples(index=False) if k == "DEMAND"}
+    real = [(a, b) for a, b, k in edges.itertuples(index=False) if k == "WIRELESS" and b not in sources | homes]
+    relays, count = sorted({b for _, b in real}), {}
+    out = {}
+    for a, b in [((a, "out"), (b, "in")) for a, b in real] + [((n, "in"), (n, "out")) for n in relays]:
+        out.setdefault(a, []).append(b)
+    for relay in relays:
+        flow = set()
+        for ways in range(3):
+            parent = {(s, "out"): None for s in sorted(sources, key=lambda s: f"{s}|out")}
+            queue = list(parent)
+            for n in queue:
+                for m in [m for m in out.get(n, ()) if (n, m) not in flow] + [a for a, b in flow if b == n]:
+                    if m not in parent:
+                        parent[m] = n
+                        queue.append(m)
+            n = (relay, "in")
+            if ways == 2 or n not in parent:
+                break
+            while p := parent[n]:
+                flow.symmetric_difference_update([(n, p) if (n, p) in flow else (p, n)])
+                n = p
+        for (a, side), (b, _) in flow if ways == 2 else ():
+            if side == "out":
+                count[a, b] = count.get((a, b), 0) + 1
+    return [(a, b, n) for (a, b), n in sorted(count.items())]
+
+
+def test_two_way_edges():
+    rng = random.Random(3)
+    for _ in range(300):
+        edges = _random_network(rng)
+        assert list(two_way_edges(edges).itertuples(index=False, name=None)) == _two_ways_by_search(edges)
+    n = 700
+    links = [x for i in range(n) for x in ((f"s{i}", f"a{i}"), (f"a{i}", f"b{i}"), (f"b{i}", f"c{i}"), (f"c{i}", f"c{(i + 1) % n}"))]
+    out = _within(4, two_way_edges, _network(links, [f"s{i}" for i in range(n)], []))
+    assert len(out) == 4 * n and out["relays"].sum() == 7 * n  # only the ends have two, over three and four links
+    # a second path that must take back a part of the first
+    edges = _network([("s", "a"), ("a", "d"), ("d", "z"), ("s", "b"), ("b", "d"), ("a", "e"), ("e", "f"), ("f", "z")], ["s"], [])
+    assert list(two_way_edges(edges).itertuples(index=False, name=None)) == _two_ways_by_search(edges) != []
