@@ -8,7 +8,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from meshwright.operators import graph, polarity
+from meshwright.operators import graph, outages, polarity
 from meshwright.plans.domain import ACTIVE, BASE_SQL, links, sites, wireless
 from meshwright.plans.relational import _SECTORED, _with_sectors
 
@@ -112,7 +112,7 @@ def graph_max_flow(spark: SparkSession, d: str) -> DataFrame:
 
 
 def graph_availability(spark: SparkSession, d: str) -> DataFrame:
-    kernel = functools.partial(graph.availability, link_availability=0.999, horizon=100.0, seed=7)
+    kernel = functools.partial(outages.availability, link_availability=0.999, horizon=100.0, seed=7)
     return graph.per_plan(_edges(spark, d), kernel, "demand string, availability double")
 
 

@@ -6,11 +6,12 @@ import time
 from datetime import datetime
 from pathlib import Path
 
+import numpy as np
 import pandas as pd
 import pytest
 
 import __spark_entry__ as entry
-from meshwright.operators import graph
+from meshwright.operators import graph, outages
 from meshwright.plans.pipeline import LosRules, candidate_network, cover_clients, two_way_edges
 
 SF = Path("/root/testdata/sf0.001")
@@ -221,3 +222,47 @@ def test_two_way_edges():
     # a second path that must take back a part of the first
     edges = _network([("s", "a"), ("a", "d"), ("d", "z"), ("s", "b"), ("b", "d"), ("a", "e"), ("e", "f"), ("f", "z")], ["s"], [])
     assert list(two_way_edges(edges).itertuples(index=False, name=None)) == _two_ways_by_search(edges) != []
+
+
+def test_outages_against_reaching_anew():
+    rng = random.Random(4)
+    for trial in range(150):
+        edges = _random_network(rng)
+        g = graph.Graph(list(edges["src"]), list(edges["dst"]))
+        pairs = sorted({(min(a, b), max(a, b)) for a, b, k in edges.itertuples(index=False) if k == "WIRELESS" and rng.random() < 0.9})
+        pair_of = {e: k for k, (a, b) in enumerate(pairs) for e in ((g.at[a], g.at[b]), (g.at[b], g.at[a]))}
+        net, draws, up = outages.Outages(g, g.at["SUPERSOURCE"], pair_of, len(pairs)), np.random.default_rng(trial), rng.choice([0.6, 0.9, 0.99])
+        want, down = np.zeros(len(g.names)), draws.random(len(pairs)) < 0.2
+        for _ in range(2):
+            link, start, end, after = outages.draw(len(pairs), up, 1 - up, 5.0, down, draws)
+            assert set(link[start == 0]) == set(np.flatnonzero(down)) and set(link[end == 5.0]) == set(np.flatnonzero(after))
+            net.add(link, start, end, 5.0, 1 - up)
+            cuts, down = sorted({0.0, 5.0, *start, *end}), after
+            for a, b in zip(cuts, cuts[1:], strict=False):
+                gone = {int(k) for k in link[(start <= (a + b) / 2) & (end > (a + b) / 2)]}
+                want[[n for n in range(len(want)) if n not in g.reached(g.at["SUPERSOURCE"], {e for e, k in pair_of.items() if k in gone})]] += b - a
+        for n, i in net.number.items():
+            assert net.lost[i] == pytest.approx(want[n], abs=1e-9)
+        assert all(want[n] == pytest.approx(10.0) for n in range(len(want)) if n not in net.number)
+
+
+def test_availability_of_many_links():
+    n = 2000  # two relays in turn behind each source; a client hears the second one, every other client the next one too
+    links = [x for i in range(n) for x in ((f"s{i}", f"a{i}"), (f"a{i}", f"b{i}"), (f"b{i}", f"k{i}"), *([(f"b{(i + 1) % n}", f"k{i}")] if i % 2 else []))]
+    edges = _network(links, [f"s{i}" for i in range(n)], [*(f"k{i}" for i in range(n)), "far"])
+    got = _within(25, lambda e: outages.availability(e, 0.999, 100.0, 7), edges)
+    by = dict(zip(got["demand"], got["availability"], strict=True))
+    one, two = (np.array([by[f"demand:k{i}"] for i in range(k, n, 2)]) for k in (0, 1))
+    assert len(got) == n + 1 and by["demand:far"] == 0.0
+    assert one.mean() == pytest.approx(0.999**3, abs=1e-4) and 1 - two.mean() == pytest.approx((1 - 0.999**3) ** 2, rel=0.3)
+    deep = _network([(f"r{i}", f"r{i + 1}") for i in range(200)], ["r0"], ["r200"])
+    assert 0.7 < outages.availability(deep, 0.999, 100.0, 7)["availability"][0] < 0.9  # 0.999 ** 200 is 0.82
+
+
+def test_queries_of_availability_at_size(spark, tmp_path):
+    n = 900
+    sites = [(f"{k}{i}", t, 1.0 + i / 1e4, 1.0 + j / 1e4, 20.0) for i in range(n) for j, (k, t) in enumerate((("s", "POP"), ("a", "DN"), ("b", "DN"), ("k", "CN")))]
+    d = _folder(spark, tmp_path, sites, [x for i in range(n) for x in ((f"s{i}", f"a{i}"), (f"a{i}", f"b{i}"), (f"b{i}", f"k{i}"))])
+    began = time.time()
+    (row,) = entry.queries()["agg_availability_percentiles"](spark, d).collect()
+    assert time.time() - began < 20 and row["mean"] == pytest.approx(0.999**3, abs=2e-4)
