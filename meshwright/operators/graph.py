@@ -461,13 +461,16 @@ def availability(edges: pd.DataFrame, link_availability: float, horizon: float,
     return pd.DataFrame({"demand": demands, "availability": [1 - gone[g.at[n]] / horizon for n in demands]})
 
 
-def per_plan(edges: DataFrame, kernel, schema: str) -> DataFrame:
-    """Runs a kernel over each plan's network; fails if one has more than MOST_EDGES edges. The edges are computed once."""
+def per_plan(edges: DataFrame, kernel, schema: str, ordered: bool = True) -> DataFrame:
+    """Runs a kernel over each plan's network; fails if one has more than MOST_EDGES edges. The edges are computed once.
+
+    ordered: whether the kernel asks for edges by their ends.
+    """
 
     def run(key, pdf: pd.DataFrame) -> pd.DataFrame:
         if len(pdf) > MOST_EDGES:
             raise ValueError(f"plan {key[0]} has more than {MOST_EDGES} edges")
-        out = kernel(pdf.sort_values(["src", "dst"], kind="stable"))
+        out = kernel(pdf.sort_values(["src", "dst"], kind="stable") if ordered else pdf)
         out.insert(0, "plan_id", key[0])
         return out
 

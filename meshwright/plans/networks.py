@@ -113,7 +113,7 @@ def graph_max_flow(spark: SparkSession, d: str) -> DataFrame:
 
 def graph_availability(spark: SparkSession, d: str) -> DataFrame:
     kernel = functools.partial(outages.availability, link_availability=0.999, horizon=100.0, seed=7)
-    return graph.per_plan(_edges(spark, d), kernel, "demand string, availability double")
+    return graph.per_plan(_edges(spark, d).drop("cost"), kernel, "demand string, availability double", ordered=False)
 
 
 def agg_availability_percentiles(spark: SparkSession, d: str) -> DataFrame:

@@ -266,3 +266,42 @@ def test_queries_of_availability_at_size(spark, tmp_path):
     began = time.time()
     (row,) = entry.queries()["agg_availability_percentiles"](spark, d).collect()
     assert time.time() - began < 20 and row["mean"] == pytest.approx(0.999**3, abs=2e-4)
+
+
+def test_outages_of_links_without_another_way(monkeypatch):
+    # a tree: what hangs on a link that is down is lost, whatever else is down
+    asked = []
+    monkeypatch.setattr(outages.Outages, "_one_by_one", lambda *a: asked.append(a))
+    links = [x for i in range(300) for x in (("s", f"a{i}"), (f"a{i}", f"b{i}"), (f"a{i}", f"k{i}"))]
+    edges = _network(links, ["s"], [f"k{i}" for i in range(300)])
+    got = outages.availability(edges, 0.999, 100.0, 7)
+    assert got["availability"].mean() == pytest.approx(0.999**2, abs=1e-4) and len(asked) < 20  # those that meet two outages above
+    assert outages.availability(edges.sample(frac=1, random_state=1), 0.999, 100.0, 7).equals(got)
+
+
+def test_outages_of_wanted_nodes():
+    rng = random.Random(5)
+    for trial in range(100):
+        edges = _random_network(rng)
+        g = graph.Graph(list(edges["src"]), list(edges["dst"]))
+        pairs = sorted({(min(a, b), max(a, b)) for a, b, k in edges.itertuples(index=False) if k == "WIRELESS"})
+        pair_of = {e: k for k, (a, b) in enumerate(pairs) for e in ((g.at[a], g.at[b]), (g.at[b], g.at[a]))}
+        wanted = {n for n in range(len(g.names)) if rng.random() < 0.3}
+        whole, part = (outages.Outages(g, g.at["SUPERSOURCE"], pair_of, len(pairs), w) for w in (None, wanted))
+        link, start, end, _ = outages.draw(len(pairs), 0.9, 0.1, 5.0, np.zeros(len(pairs), bool), np.random.default_rng(trial))
+        for net in (whole, part):
+            net.add(link, start, end, 5.0, 0.1)
+        assert [part.lost[part.number[n]] for n in wanted if n in part.number] == pytest.approx([whole.lost[whole.number[n]] for n in wanted if n in whole.number])
+
+
+@pytest.mark.parametrize("up", [0.999, 0.7, 0.3])
+def test_draw_alternates(up):
+    rng, down, lasts, shares, failures = np.random.default_rng(3), np.zeros(500, bool), [], [], 0
+    for _ in range(3):
+        link, start, end, down = outages.draw(500, up, 1 - up, 40.0, down, rng)
+        assert (np.diff(link) >= 0).all() and ((start[1:] >= end[:-1]) | (link[1:] != link[:-1])).all() and start.min() >= 0 and end.max() <= 40.0
+        lasts.append((end - start)[(start > 0) & (end < 40.0)].mean())
+        shares.append((end - start).sum() / (500 * 40.0))
+        failures += len(link)
+    assert np.mean(lasts) == pytest.approx(1 - up, rel=0.05) and np.mean(shares) == pytest.approx(1 - up, rel=0.05)
+    assert failures == pytest.approx(500 * 120, rel=0.05)
