@@ -57,12 +57,25 @@ rl AS (SELECT f.plan_id, f.tx, f.rx, f.link_row, l.link_status AS status, l.is_w
   FROM first_rows f JOIN links l USING (link_row))"""
 
 
-def links(spark: SparkSession, d: str) -> DataFrame:
-    """Links whose ends are current sites, with both ends' type, status and place.
+def available_links(spark: SparkSession, d: str) -> DataFrame:
+    """Of raw_links plan_id, tx, rx, is_wireless and status, without those that are unavailable.
+
+    Row and state are one number, of which the least is taken in a hash table; whole rows would have to be sorted for it.
+    """
+    state = F.when(F.col("link_status") != "UNAVAILABLE", F.when(F.col("is_wireless"), 1).when(~F.col("is_wireless"), 2).otherwise(3)).otherwise(0)
+    row = (F.col("link_row").cast("decimal(19,0)") * F.lit(4).cast("decimal(1,0)") + state.cast("decimal(1,0)")).cast("decimal(22,0)")
+    rows = table(spark, d, "links").select("plan_id", name_key(F.col("tx_site")).alias("tx"), name_key(F.col("rx_site")).alias("rx"), row.alias("row"))
+    rows = rows.filter("plan_id is not null and tx is not null and rx is not null and tx <> rx")
+    first = rows.groupBy("plan_id", "tx", "rx").agg(F.min("row").alias("row")).withColumn("state", F.expr("cast(pmod(row, 4) as int)")).filter("state > 0")
+    return first.select("plan_id", "tx", "rx", F.lit("AVAILABLE").alias("status"), F.when(F.col("state") < 3, F.col("state") == 1).alias("is_wireless"))
+
+
+def links(spark: SparkSession, d: str, raw: DataFrame | None = None) -> DataFrame:
+    """Links (raw, or all) whose ends are current sites, with both ends' type, status and place.
 
     link_row, tx_id, rx_id, status, is_wireless, confidence, mcs, snr, capacity, {tx,rx}_{type,status,lat,lon,alt,sku}.
     """
-    s, raw = sites(spark, d), raw_links(spark, d)
+    s, raw = sites(spark, d), raw_links(spark, d) if raw is None else raw
     end = lambda k: s.select("plan_id", F.col("name").alias(k), F.col("site_id").alias(f"{k}_id"), *(F.col(a).alias(f"{k}_{b}") for a, b in (("site_type", "type"), ("status", "status"), ("lat", "lat"), ("lon", "lon"), ("alt", "alt"), ("sku", "sku"))))
     return raw.join(end("tx"), ["plan_id", "tx"]).join(end("rx"), ["plan_id", "rx"]).drop("tx", "rx")
 

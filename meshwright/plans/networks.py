@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from meshwright.operators import graph, outages, polarity
-from meshwright.plans.domain import ACTIVE, BASE_SQL, links, sites, wireless
+from meshwright.plans.domain import ACTIVE, BASE_SQL, available_links, links, sites, wireless
 from meshwright.plans.relational import _SECTORED, _with_sectors
 
 
@@ -17,6 +17,10 @@ def _edges(spark: SparkSession, d: str) -> DataFrame:
     return graph.build_edges(sites(spark, d), links(spark, d))
 
 
+def _edges_without_cost(spark: SparkSession, d: str) -> DataFrame:
+    return graph.build_edges(sites(spark, d), links(spark, d, available_links(spark, d)).withColumn("mcs", F.lit(0))).drop("cost")
+
+
 def _pops(edges: DataFrame) -> DataFrame:
     return edges.filter("kind = 'SOURCE'").select(F.col("dst").alias("node"))
 
@@ -113,7 +117,7 @@ def graph_max_flow(spark: SparkSession, d: str) -> DataFrame:
 
 def graph_availability(spark: SparkSession, d: str) -> DataFrame:
     kernel = functools.partial(outages.availability, link_availability=0.999, horizon=100.0, seed=7)
-    return graph.per_plan(_edges(spark, d).drop("cost"), kernel, "demand string, availability double", ordered=False)
+    return graph.per_plan(_edges_without_cost(spark, d), kernel, "demand string, availability double", ordered=False)
 
 
 def agg_availability_percentiles(spark: SparkSession, d: str) -> DataFrame:

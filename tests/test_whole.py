@@ -12,6 +12,7 @@ import pytest
 
 import __spark_entry__ as entry
 from meshwright.operators import graph, outages
+from meshwright.plans import networks
 from meshwright.plans.pipeline import LosRules, candidate_network, cover_clients, two_way_edges
 
 SF = Path("/root/testdata/sf0.001")
@@ -305,3 +306,21 @@ def test_draw_alternates(up):
         failures += len(link)
     assert np.mean(lasts) == pytest.approx(1 - up, rel=0.05) and np.mean(shares) == pytest.approx(1 - up, rel=0.05)
     assert failures == pytest.approx(500 * 120, rel=0.05)
+
+
+def test_available_links_without_sorting(spark, tmp_path):
+    at = datetime(2024, 1, 1)
+    names = [("s", "POP", "PROPOSED"), ("a", "DN", "EXISTING"), ("b", "DN", "PROPOSED"), ("k", "CN", "PROPOSED"), ("u", "DN", "UNAVAILABLE"), ("v", "DN", None)]
+    spark.createDataFrame([(i, "p", n, t, 1.0, 1.0, 20.0, None, status, None, None, None, at) for i, (n, t, status) in enumerate(names)], SITE).write.parquet(f"{tmp_path}/sites.parquet")
+    rng, rows = random.Random(6), []
+    for i in range(120):
+        a, b = rng.choice("saAbkuvx"), rng.choice(["s", "a", " B", "b ", "k", "K", "u", "v", "", None])
+        rows.append((rng.choice([None, i, -i, 2**62 + i]), rng.choice(["p", "p", "p", None]), a, b, rng.choice(["PROPOSED", "EXISTING", "EXISTING", "EXISTING", "UNAVAILABLE", None]), rng.choice([True, True, False, None]), 1.0, rng.choice([None, 0, 9]), 20.0, 1.0))
+    rows.append((7, "p", "k", "s", "PROPOSED", None, 1.0, 9, 20.0, 1.0))
+    spark.createDataFrame(rows, LINK).write.parquet(f"{tmp_path}/links.parquet")
+    got = networks._edges_without_cost(spark, str(tmp_path))
+    want = networks._edges(spark, str(tmp_path)).drop("cost")
+    assert sorted(got.collect(), key=str) == sorted(want.collect(), key=str) and got.count() > 5
+    assert got.columns == want.columns
+    plan = networks.available_links(spark, str(tmp_path))._jdf.queryExecution().executedPlan().toString()
+    assert "HashAggregate" in plan and "SortAggregate" not in plan
